@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from mailquarry.llm.minhash_dedup import op9_minhash
+from mailquarry.llm.ppm_language import op10_ppm
 
 QUERIES = {
     "op9_minhash": op9_minhash,
+    "op10_ppm": op10_ppm,
 }
 
 ORACLE_SQL: dict[str, str] = {}
