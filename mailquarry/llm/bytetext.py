@@ -101,6 +101,18 @@ def words(data: np.ndarray, offs: np.ndarray, table: np.ndarray) -> tuple[np.nda
     return h, starts, np.searchsorted(starts, offs)
 
 
+def word_prefixes(data: np.ndarray, starts: np.ndarray, table: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of the first ``size`` bytes of each word (of all of a shorter one)."""
+    code = np.concatenate([table[data], np.zeros(size, table.dtype)])
+    h, alive = np.full(len(starts), np.uint64(size)), np.ones(len(starts), bool)
+    with np.errstate(over="ignore"):
+        for k in range(size):
+            c = code[starts + k]
+            alive &= (c > 0) if k == 0 else (c > 0) & (starts + k < len(data))
+            h = h * _B + np.where(alive, c, 0).astype(np.uint64)
+        return mix(h)
+
+
 def shingles(h: np.ndarray, woffs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, text of each) of the k-word shingles; a shorter text is one shingle."""
     n = np.diff(woffs)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from mailquarry.llm.minhash_dedup import op9_minhash
 from mailquarry.llm.ppm_language import op10_ppm
+from mailquarry.llm.toxic_segments import op8_segments
 
 QUERIES = {
+    "op8_segments": op8_segments,
     "op9_minhash": op9_minhash,
     "op10_ppm": op10_ppm,
 }
