@@ -26,6 +26,8 @@ MIN_COUNT = 4
 PREFIXES = (4, 5)
 #: Expected number of as good segments by chance, up to which a segment is significant.
 SIGNIFICANT = 0.05
+#: Bounds of the extreme-value constants; they hold where clean texts show no segment at all.
+RATE_MOST, LOG_K_LEAST = 3.0, -8.0
 _EULER = 0.5772156649015329
 
 
@@ -145,20 +147,20 @@ def fit(texts: list[str], labels: list[int], base: float | None = None) -> Toxic
     clean = np.bincount(at, weights=of == 0, minlength=len(hashes))
     often = toxic + clean >= MIN_COUNT
     hashes, scores = hashes[often], np.clip(log_odds(toxic, clean), -1.0, 8.0)[often]
-    rate, model = 1.0, ToxicModel(hashes, scores, 1.0, 0.0, np.zeros(3))
+    rate, model = RATE_MOST, ToxicModel(hashes, scores, 1.0, 0.0, np.zeros(3))
     drawn = np.concatenate([np.zeros(0), *(_scored(model, t)[label == 0] for t, label in scored_words)])
     if (drawn > 0).any() and (drawn < 0).any():
         low, high = 1e-6, 50.0  # the positive root of E exp(rate * score) = 1 over clean words
         for _ in range(60):
             rate = (low + high) / 2
             low, high = (low, rate) if np.exp(np.minimum(rate * drawn, 700)).mean() > 1 else (rate, high)
-    model.rate = rate = min(max(rate, 0.05), 3.0)
+    model.rate = rate = min(max(rate, 0.05), RATE_MOST)
     found = [f for i, j in pieces(offs) for f in _found(model, data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])]
     quiet = [max((-c for *_, c in f), default=np.nan) for f, label in zip(found, y, strict=True) if label == 0]
     quiet = [x for x in quiet if not np.isnan(x)]
     share = len(quiet) / max((y == 0).sum(), 1)
     # -log E of the best clean segment is Gumbel with mean -log K + 0.577; clean texts without a segment thin K out
-    model.log_k = float(np.clip(np.mean(quiet) - _EULER + np.log(max(share, 1e-3)), -8, 3)) if quiet else 0.0
+    model.log_k = float(np.clip(np.mean(quiet) - _EULER + np.log(max(share, 1e-3)), LOG_K_LEAST, 3)) if quiet else LOG_K_LEAST
     found = [[(a, b, s, c + model.log_k) for a, b, s, c in f] for f in found]
     x = _features(found)
     share = y.mean() if len(y) else 0.5
