@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from mailquarry.llm.minhash_dedup import op9_minhash
 from mailquarry.llm.ppm_language import op10_ppm
+from mailquarry.llm.quality_mil import op7_attention
 from mailquarry.llm.toxic_segments import op8_segments
 
 QUERIES = {
+    "op7_attention": op7_attention,
     "op8_segments": op8_segments,
     "op9_minhash": op9_minhash,
     "op10_ppm": op10_ppm,
