@@ -19,13 +19,15 @@ from mailquarry.llm.storage import bounded_batches, stored
 BANDS, ROWS = 16, 4
 #: Low bits kept of each minimum.
 BITS = 4
+#: Minima of the longer signature that candidate documents get.
+LONG = 512
 #: Ids of candidate documents that are broadcast; beyond it their texts are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
 _K = BANDS * ROWS
 _rng = np.random.RandomState(20240917)
-_MULT = _rng.randint(0, 2**63, _K, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_PLUS = _rng.randint(0, 2**63, _K, dtype=np.int64).astype(np.uint64)
+_MULT = _rng.randint(0, 2**63, _K + LONG, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_PLUS = _rng.randint(0, 2**63, _K + LONG, dtype=np.int64).astype(np.uint64)
 
 _SKETCH = T.StructType(
     [
@@ -38,13 +40,13 @@ _SKETCH = T.StructType(
 )
 
 
-def minima(sets: list[np.ndarray]) -> np.ndarray:
-    """K minima of every set; sets are not empty."""
+def minima(sets: list[np.ndarray], functions: range = range(_K)) -> np.ndarray:
+    """The minimum of every set under each of the hash functions; sets are not empty."""
     all_, at = np.concatenate(sets), np.r_[0, np.cumsum([len(s) for s in sets])[:-1]]
-    out = np.empty((len(sets), _K), np.uint64)
+    out = np.empty((len(sets), len(functions)), np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(_K):
-            out[:, k] = np.minimum.reduceat(all_ * _MULT[k] + _PLUS[k], at)
+        for i, k in enumerate(functions):
+            out[:, i] = np.minimum.reduceat(all_ * _MULT[k] + _PLUS[k], at)
     return out
 
 
@@ -63,7 +65,7 @@ def packed_bits(mins: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         low = mix(mins.copy()) & np.uint64((1 << BITS) - 1)
     per = 64 // BITS
-    low = low.reshape(len(mins), _K // per, per) << (np.arange(per, dtype=np.uint64) * np.uint64(BITS))
+    low = low.reshape(len(mins), -1, per) << (np.arange(per, dtype=np.uint64) * np.uint64(BITS))
     return np.bitwise_or.reduce(low, axis=2).view(np.int64)
 
 
@@ -98,50 +100,54 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
     for batch in batches:
         data, offs = text_buffer(batch.column(1))
         out: list[bytes] = []
+        sizes: list[int] = []
+        bits: list[np.ndarray] = []
         for i, j in pieces(offs):
-            out += [s.tobytes() for s in distinct_shingles(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], words, SPACED)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "shingles"])
+            sets = distinct_shingles(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], words, SPACED)
+            for a in range(0, len(sets), 512):
+                bits += list(packed_bits(minima(sets[a : a + 512], range(_K, _K + LONG))))
+            out += [s.tobytes() for s in sets]
+            sizes += [len(s) for s in sets]
+        columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(out, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "size", "long_bits", "shingles"])
 
 
-def estimated_similarity(a: Column, b: Column) -> Column:
+def estimated_similarity(a: Column, b: Column, hashes: int = _K) -> Column:
     """Jaccard similarity from the share of equal b-bit minima, corrected for chance collisions."""
     ones = F.lit(int("1" * (64 // BITS), 1 << BITS)) if BITS > 1 else F.lit(-1)
     unequal = F.lit(0)
-    for w in range(_K * BITS // 64):
+    for w in range(hashes * BITS // 64):
         x = a[w].bitwiseXOR(b[w])
         folded = x
         for s in range(1, BITS):
             folded = folded.bitwiseOR(F.shiftrightunsigned(x, s))
         unequal = unequal + F.bit_count(folded.bitwiseAND(ones))
     chance = 1 / (1 << BITS)
-    return (1 - unequal / F.lit(float(_K)) - chance) / (1 - chance)
+    return (1 - unequal / F.lit(float(hashes)) - chance) / (1 - chance)
 
 
-def screen(similarity: float) -> float:
-    """The estimate below which no pair of that similarity falls but once in about 1e9."""
+def screen(similarity: float, hashes: int = _K, deviations: float = 6.5) -> float:
+    """The estimate below which a pair of that similarity falls only with a negligible chance."""
     p = similarity + (1 - similarity) / (1 << BITS)
-    lowest = p - 6.5 * (p * (1 - p) / _K) ** 0.5
+    lowest = p - deviations * (p * (1 - p) / hashes) ** 0.5
     return (lowest - 1 / (1 << BITS)) / (1 - 1 / (1 << BITS))
 
 
-def _verified(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Keep the pairs whose full sets have den * intersection >= num * union."""
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Exact sizes of the full sets and of their intersection."""
     for batch in batches:
         a, b, x, y = (batch.column(k) for k in range(4))
-        keep = []
+        nu, nv, common = [], [], []
         for k in range(batch.num_rows):
             p, q = np.frombuffer(x[k].as_buffer(), np.uint64), np.frombuffer(y[k].as_buffer(), np.uint64)
+            nu.append(len(p))
+            nv.append(len(q))
             if len(p) > len(q):
                 p, q = q, p
-            ok = den * len(p) >= num * len(q)
-            if ok:
-                at = np.searchsorted(q, p)
-                at[at == len(q)] = 0
-                common = int((q[at] == p).sum())
-                ok = den * common >= num * (len(p) + len(q) - common)
-            keep.append(ok)
-        mask = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["u", "v"])
+            at = np.searchsorted(q, p)
+            at[at == len(q)] = 0
+            common.append(int((q[at] == p).sum()))
+        yield pa.RecordBatch.from_arrays([a, b, *(pa.array(c, pa.int64()) for c in (nu, nv, common))], names=["u", "v", "nu", "nv", "common"])
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -161,6 +167,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     3. Buckets that still hold several components get the rest of the
        comparisons: members outside the bucket's largest component against all
        members of other components. Links inside a component are not needed.
+       A pair is met in its first common bucket only. The symmetric difference
+       of two sets is at least the difference of their symmetric differences
+       from the bucket's smallest, which rules out most pairs exactly; a
+       signature of LONG minima screens the rest; full sets confirm.
     """
     spark = docs.sparkSession
     docs = docs.where(F.col("doc_id").isNotNull())
@@ -177,25 +187,43 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     ids = stored(members.select(F.col("rep").alias("doc_id")).distinct(), "candidates")
     few = ids.count() <= BROADCAST_IDS
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    sets = stored(texts.mapInArrow(lambda it: _sets(it, words), "doc_id long, shingles binary"), "sets")
+    sets = stored(texts.mapInArrow(lambda it: _sets(it, words), "doc_id long, size long, long_bits array<long>, shingles binary"), "sets")
+    similar = F.col("common") * den >= (F.col("nu") + F.col("nv") - F.col("common")) * num
 
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        """Links among distinct pairs(u, v)."""
+    def compared(pairs: DataFrame, name: str) -> DataFrame:
+        """Set sizes and intersection of distinct pairs(u, v)."""
         full = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("y")), "v").select("u", "v", "x", "y")
-        return stored(full.mapInArrow(lambda it: _verified(it, num, den), "u long, v long"), name)
+        return stored(full.mapInArrow(_compared, "u long, v long, nu long, nv long, common long"), name)
 
-    tried = stored(members.where("rep <> pivot").where(estimated_similarity(F.col("bits"), F.col("pivot_bits")) >= least).select(F.col("rep").alias("u"), F.col("pivot").alias("v")).distinct(), "star")
-    links = confirmed(tried, "links")
+    star = members.where("rep <> pivot").where(estimated_similarity(F.col("bits"), F.col("pivot_bits")) >= least).select(F.col("rep").alias("u"), F.col("pivot").alias("v")).distinct()
+    tried = compared(star, "star")
+    links = tried.where(similar).select("u", "v")
     found = stored(connected_components(links), "components")
 
-    placed = members.select("key", "rep", "bits").join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", "bits", F.coalesce("component", "rep").alias("c"))
+    placed = members.select("key", "rep", "pivot").join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", "pivot", F.coalesce("component", "rep").alias("c"))
     mixed = placed.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("c", "n").alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
-    open_ = stored(placed.join(mixed, "key"), "open")
-    left = open_.where("c <> main").select("key", F.col("rep").alias("u"), F.col("c").alias("cu"), F.col("bits").alias("bu"))
-    right = open_.select("key", F.col("rep").alias("v"), F.col("c").alias("cv"), F.col("bits").alias("bv"), "main")
-    rest = left.join(right, (left.key == right.key) & (F.col("cu") != F.col("cv")) & ((F.col("cv") == F.col("main")) | (F.col("u") < F.col("v"))) & (estimated_similarity(F.col("bu"), F.col("bv")) >= least))
-    pairs = rest.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
-    more = confirmed(stored(pairs, "rest"), "links")
+    away = tried.select(F.col("u").alias("rep"), F.col("v").alias("pivot"), (F.col("nu") + F.col("nv") - 2 * F.col("common")).alias("away"))
+    traits = sets.select(F.col("doc_id").alias("rep"), "size", "long_bits").join(classes.select("rep", "bands"), "rep")
+    open_ = placed.join(mixed, "key").join(away, ["rep", "pivot"], "left").withColumn("away", F.when(F.col("rep") == F.col("pivot"), 0).otherwise(F.col("away"))).join(traits, "rep")
+    open_ = stored(open_.select("key", "main", "rep", "c", "away", "size", "long_bits", "bands"), "open")
+    names = ("rep", "c", "away", "size", "long_bits", "bands")
+    left = open_.where("c <> main").select("key", *(F.col(x).alias(f"{x}_u") for x in names))
+    right = open_.select(F.col("key").alias("key_v"), "main", *(F.col(x).alias(f"{x}_v") for x in names))
+    apart = F.coalesce(F.abs(F.col("away_u") - F.col("away_v")), F.lit(0))
+    sizes = F.col("size_u") + F.col("size_v")
+    agree = F.zip_with("bands_u", "bands_v", lambda x, y: x == y)
+    rest = left.join(
+        right,
+        (F.col("key") == F.col("key_v"))
+        & (F.col("c_u") != F.col("c_v"))
+        & ((F.col("c_v") == F.col("main")) | (F.col("rep_u") < F.col("rep_v")))
+        & (F.least("size_u", "size_v") * den >= F.greatest("size_u", "size_v") * num)
+        & (apart * (den + num) <= sizes * (den - num))
+        & (estimated_similarity(F.col("long_bits_u"), F.col("long_bits_v"), LONG) >= screen(num / den, LONG, 5.5))
+        & (F.get("bands_u", F.array_position(agree, F.lit(True)).cast("int") - 1) == F.col("key")),
+    )
+    pairs = rest.select(F.greatest("rep_u", "rep_v").alias("u"), F.least("rep_u", "rep_v").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
+    more = compared(stored(pairs, "rest"), "more").where(similar).select("u", "v")
     every = connected_components(links.unionByName(more)) if more.limit(1).count() else found
 
     groups = classes.select("fingerprint", "rep").join(every.withColumnRenamed("node", "rep"), "rep", "left").select("fingerprint", F.coalesce("component", "rep").alias("component_id"))
