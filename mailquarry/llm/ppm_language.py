@@ -154,10 +154,11 @@ def code_lengths(model: PpmModel, data: np.ndarray, offs: np.ndarray) -> np.ndar
 def train(docs: DataFrame, per_language: int = SAMPLE_DOCS, max_chars: int = SAMPLE_CHARS) -> PpmModel | None:
     """Fit on a bounded sample of the rows with a language; None if there are none."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars) & (F.length("text") > 0))
-    rows = rows.select("doc_id", "lang", "text")
+    ids = bounded_sample(rows, "lang", "doc_id", per_language)
     samples: dict[str, list[str]] = {}
-    for r in bounded_sample(rows, "lang", "doc_id", per_language).orderBy("lang", "doc_id").toLocalIterator():
-        samples.setdefault(r.lang, []).append(r.text)
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").collect()
+    for r in sorted(found, key=lambda r: (r.lang, r.doc_id, r.text or "")):
+        samples.setdefault(r.lang, []).append(r.text or "")
     return fit(samples) if samples else None
 
 

@@ -182,10 +182,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class:
     """
     one = labels.where(F.col(target).isNotNull()).groupBy("doc_id").agg(F.max(target).cast("int").alias("_y"))
     base = one.agg(F.avg("_y")).first()[0]
-    ids = bounded_sample(one, "_y", "doc_id", per_class).select("doc_id", "_y")
-    rows = docs.where(F.col("text").isNotNull() & (F.length("text") <= max_chars)).select("doc_id", "text").join(F.broadcast(ids), "doc_id").orderBy("doc_id")
+    ids = bounded_sample(one, "_y", "doc_id", per_class)
+    rows = docs.where(F.col("text").isNotNull() & (F.length("text") <= max_chars)).select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     texts, ys = [], []
-    for r in rows.select("_y", "text").toLocalIterator():
+    for r in sorted(rows.select("doc_id", "text", "_y").collect(), key=lambda r: (r.doc_id, r.text)):
         texts.append(r.text)
         ys.append(int(r._y))
     return texts, ys, base
