@@ -6,10 +6,12 @@ from mailquarry.llm.dac_tokens import op2_dac
 from mailquarry.llm.minhash_dedup import op9_minhash
 from mailquarry.llm.ppm_language import op10_ppm
 from mailquarry.llm.quality_mil import op7_attention
+from mailquarry.llm.sentencepiece_tokens import op3_sentencepiece
 from mailquarry.llm.toxic_segments import op8_segments
 
 QUERIES = {
     "op2_dac": op2_dac,
+    "op3_sentencepiece": op3_sentencepiece,
     "op7_attention": op7_attention,
     "op8_segments": op8_segments,
     "op9_minhash": op9_minhash,
