@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from mailquarry.llm.chat_rotation import OP1_SQL, op1_rotation
 from mailquarry.llm.dac_tokens import op2_dac
 from mailquarry.llm.minhash_dedup import op9_minhash
 from mailquarry.llm.ppm_language import op10_ppm
@@ -10,6 +11,7 @@ from mailquarry.llm.sentencepiece_tokens import op3_sentencepiece
 from mailquarry.llm.toxic_segments import op8_segments
 
 QUERIES = {
+    "op1_rotation": op1_rotation,
     "op2_dac": op2_dac,
     "op3_sentencepiece": op3_sentencepiece,
     "op7_attention": op7_attention,
@@ -18,4 +20,4 @@ QUERIES = {
     "op10_ppm": op10_ppm,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_rotation": OP1_SQL}
