@@ -5,6 +5,7 @@ from __future__ import annotations
 from mailquarry.llm.chat_rotation import OP1_SQL, op1_rotation
 from mailquarry.llm.dac_tokens import op2_dac
 from mailquarry.llm.decontamination import OP5_SQL, op5_containment
+from mailquarry.llm.embedding_dedup import op6_int8
 from mailquarry.llm.minhash_dedup import op9_minhash
 from mailquarry.llm.ppm_language import op10_ppm
 from mailquarry.llm.quality_mil import op7_attention
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_dac": op2_dac,
     "op3_sentencepiece": op3_sentencepiece,
     "op5_containment": op5_containment,
+    "op6_int8": op6_int8,
     "op7_attention": op7_attention,
     "op8_segments": op8_segments,
     "op9_minhash": op9_minhash,
