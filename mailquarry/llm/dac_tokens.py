@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from mailquarry.llm.bytetext import text_buffer
 from mailquarry.llm.segment_cache import SegmentCache
 from mailquarry.llm.storage import bounded_batches, documents, fresh_path, stored
 
@@ -108,10 +109,41 @@ class Shard:
         return [self.token(i) for i in range(self.offsets[k], self.offsets[k + 1])]
 
 
-#: Cuts stand before white space that follows other text, and after a run of plain letters before ASCII.
-_SEGMENT = re.compile("[ \t\r\n]*+(?:[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[\x00-\x7f]|\\Z)|[^ \t\r\n]+)|[ \t\r\n]+")
-#: Other white space and separators: such texts are encoded whole.
-_OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
+# Kinds of bytes: ASCII white space, letters (ASCII, and Latin-1 in two bytes), other ASCII.
+_KIND = np.full(256, 2, np.uint8)
+_KIND[[9, 10, 13, 32]] = 0
+_KIND[[b for b in range(256) if b >= 128 or chr(b).isalpha()]] = 1
+_CONTROL = np.zeros(256, bool)
+_CONTROL[[11, 12, 28, 29, 30, 31]] = True
+
+
+def _cut(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cuts before white space that follows other text, and after a run of letters before other ASCII.
+
+    Texts with other white space or with anything beyond Latin-1 letters and
+    ASCII are encoded whole.
+    """
+    kind = _KIND[data]
+    first = np.zeros(len(data), bool)
+    first[1:] = ((kind[1:] == 0) & (kind[:-1] != 0)) | ((kind[1:] == 2) & (kind[:-1] == 1))
+    first[offs[:-1][np.diff(offs) > 0]] = True
+    strange = _CONTROL[data] | (data > 0xC3) | (data == 0xC2)
+    strange[1:] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
+    whole = np.zeros(len(offs) - 1, bool)
+    if strange.any():
+        whole[np.searchsorted(offs, np.flatnonzero(strange), "right") - 1] = True
+    return np.flatnonzero(first), whole
+
+
+#: A segment that the pattern takes as one word: it goes straight to the merges.
+_WORD = re.compile(b" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+
+
+def byte_alphabet() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it prints, else one from 256 on."""
+    prints = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    others = iter(range(256, 512))
+    return {b: chr(b) if b in prints else chr(next(others)) for b in range(256)}
 
 
 def byte_level_encoder(path: str) -> SegmentCache:
@@ -121,27 +153,16 @@ def byte_level_encoder(path: str) -> SegmentCache:
 
     tok = Tokenizer.from_file(path)
     tok.encode_special_tokens = True
-    newline = tok.encode("\n", add_special_tokens=False).ids
-
-    def whole(text: str) -> list[int]:
-        return tok.encode(text, add_special_tokens=False).ids
+    merge = tok.model.tokenize
+    letters = str.maketrans({chr(b): c for b, c in byte_alphabet().items()})
 
-    def encode(segs: list[str]) -> list[list[int]]:
-        # many segments at once, a line each; those with line ends or leading runs of white space alone
-        lines = [s for s in segs if s[0] not in "\t\r\n" and not s[1:2].isspace() and s != " "] if len(newline) == 1 else []
-        out: dict[str, list[int]] = {}
-        if lines:
-            ids = np.array(whole("\n".join(lines)), np.uint32)
-            ends = np.flatnonzero(ids == newline[0])
-            if len(ends) == len(lines) - 1:
-                out = dict(zip(lines, np.split(ids, ends), strict=True))
-                out = {s: x if k == 0 else x[1:] for k, (s, x) in enumerate(out.items())}
-        return [out[s] if s in out else whole(s) for s in segs]
+    def whole(text: bytes) -> list[int]:
+        return tok.encode(text.decode(), add_special_tokens=False).ids
 
-    def cut(text: str) -> list[str] | None:
-        return None if _OTHER_SPACE.search(text) else _SEGMENT.findall(text)
+    def encode(segments: list[bytes]) -> list[list[int]]:
+        return [[t.id for t in merge(s.decode("latin-1").translate(letters))] if _WORD.fullmatch(s) else whole(s) for s in segments]
 
-    return SegmentCache(cut, encode, whole)
+    return SegmentCache(_cut, encode, whole)
 
 
 _encoders: dict[str, SegmentCache] = {}
@@ -156,37 +177,35 @@ def _write(batches: Iterator[pa.RecordBatch], vocabulary: str, folder: str) -> I
     if vocabulary not in _encoders:
         _encoders[vocabulary] = byte_level_encoder(vocabulary)
     encoder = _encoders[vocabulary]
-    end = np.array([END], "<u4").tobytes()
-    docs: list[int] = []
-    sizes: list[int] = []
-    parts: list[bytes] = []
-    seq = 0
+    docs: list[np.ndarray] = []
+    sizes: list[np.ndarray] = []
+    parts: list[np.ndarray] = []
+    seq = total = 0
 
     def close() -> pa.RecordBatch:
-        nonlocal seq
-        offsets = np.r_[0, np.cumsum(sizes)]
+        nonlocal seq, total
+        offsets = np.r_[0, np.cumsum(np.concatenate(sizes))]
         name = f"{part:08d}-{seq:06d}.dac"
         draft = f"{base}/.{name}.{uuid.uuid4().hex}"
         with store.open_output_stream(draft) as f:
-            f.write(pack(np.array(docs), offsets, np.frombuffer(b"".join(parts), "<u4")))
+            f.write(pack(np.concatenate(docs), offsets, np.concatenate(parts)))
         store.move(draft, f"{base}/{name}")  # a repeated task puts the same bytes in the same place
-        row = pa.RecordBatch.from_pylist([{"shard": name, "docs": len(docs), "tokens": int(offsets[-1])}])
+        row = pa.RecordBatch.from_pylist([{"shard": name, "docs": len(offsets) - 1, "tokens": int(offsets[-1])}])
         docs.clear(), sizes.clear(), parts.clear()
-        seq += 1
+        seq, total = seq + 1, 0
         return row
 
-    total = 0
     for batch in batches:
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        for doc, x in zip(batch.column(0).to_pylist(), encoder.ids(texts), strict=True):
-            docs.append(doc)
-            sizes.append(len(x) // 4 + 1)
-            parts += (x, end)
-            total += sizes[-1]
-            if total >= SHARD_TOKENS:
-                yield close()
-                total = 0
-    if docs:
+        data, offs = text_buffer(batch.column(1))
+        ids, at, _ = encoder.ids(data, offs, END)
+        if len(offs) > 1:
+            docs.append(batch.column(0).to_numpy())
+            sizes.append(np.diff(at))
+            parts.append(ids)
+            total += len(ids)
+        if total >= SHARD_TOKENS:
+            yield close()
+    if total:
         yield close()
 
 

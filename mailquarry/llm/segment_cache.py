@@ -1,7 +1,9 @@
 """Token ids of whole texts from the ids of their segments, each encoded once.
 
 A text is cut only where no token of the vocabulary can reach across, so the
-concatenated ids of the segments are the ids of the whole text.
+concatenated ids of the segments are the ids of the whole text. Segments are
+known by a 64-bit hash of their bytes; two different ones among a worker's
+few million meet with a chance of about one in a million.
 """
 
 from __future__ import annotations
@@ -10,30 +12,95 @@ from collections.abc import Callable
 
 import numpy as np
 
+from mailquarry.llm.bytetext import mix, pieces, powers
+
 #: Segments remembered by a worker; the memory is emptied when it is full.
-REMEMBERED = 400_000
+REMEMBERED = 3_000_000
+#: Bytes that are cut and looked up at once.
+CHUNK = 4 << 20
 
 
 class SegmentCache:
-    """``encode`` maps a list of segments to a list of id lists."""
+    """Encodes texts given as one UTF-8 buffer with offsets.
+
+    ``cut(data, offs)`` gives (first byte of each segment, flags of the texts
+    that must be encoded whole); every text that isn't empty starts a segment.
+    ``encode(segments)`` encodes segments, ``whole(text)`` one whole text.
+    """
 
-    def __init__(self, cut: Callable[[str], list[str] | None], encode: Callable[[list[str]], list[list[int]]], whole: Callable[[str], list[int]]):
+    def __init__(self, cut: Callable, encode: Callable[[list[bytes]], list[list[int]]], whole: Callable[[bytes], list[int]]):
         self.cut, self.encode, self.whole = cut, encode, whole
-        self.known: dict[str, bytes] = {}
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        cuts = [self.cut(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new: set[str] = set()
-        for c in cuts:
-            if c is not None:
-                new.update(c)
-        todo = sorted(new.difference(self.known))
-        for a in range(0, len(todo), 4000):
-            part = todo[a : a + 4000]
-            for s, x in zip(part, self.encode(part), strict=True):
-                self.known[s] = np.asarray(x, "<u4").tobytes()
-        get = self.known.__getitem__
-        return [np.asarray(self.whole(t), "<u4").tobytes() if c is None else b"".join(map(get, c)) for t, c in zip(texts, cuts, strict=True)]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.odd = np.zeros(0, np.uint8)
+
+    def noted(self, segments: list[bytes], ids: list[list[int]]) -> list[int]:
+        """Flags (1, 2 or both) of new segments; a text has the flags of all its segments."""
+        return [0] * len(segments)
+
+    def _rows(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Row of each segment in the memory; new ones are encoded and remembered."""
+        span = np.diff(np.r_[at, len(data)])
+        rank = np.arange(len(data)) - np.repeat(at, span)
+        with np.errstate(over="ignore"):
+            h = mix(np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * powers(int(span.max()) + 1)[rank], at))
+        found, first, back = np.unique(h, return_index=True, return_inverse=True)
+        place = np.searchsorted(self.hashes, found)
+        known = np.zeros(len(found), bool)
+        inside = place < len(self.hashes)
+        known[inside] = self.hashes[place[inside]] == found[inside]
+        new = np.flatnonzero(~known)
+        if len(new):
+            raw = data.tobytes()
+            segments = [raw[a : a + n] for a, n in zip(at[first[new]].tolist(), span[first[new]].tolist(), strict=True)]
+            ids = self.encode(segments)
+            self.odd = np.r_[self.odd, np.array(self.noted(segments, ids), np.uint8)]
+            sizes = np.array([len(x) for x in ids], np.int64)
+            rows = len(self.starts) + np.arange(len(new))
+            self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(sizes) - sizes]
+            self.sizes = np.r_[self.sizes, sizes]
+            self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))])
+            self.hashes = np.insert(self.hashes, place[new], found[new])
+            self.rows = np.insert(self.rows, place[new], rows)
+            place = np.searchsorted(self.hashes, found)
+        return self.rows[place][back]
+
+    def ids(self, data: np.ndarray, offs: np.ndarray, end: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all texts, offsets into them, flags by text); ``end`` is appended to each text."""
+        out, sizes, flags = [], [], []
+        for i, j in pieces(offs, CHUNK):
+            x, n, f = self._piece(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], end)
+            out.append(x), sizes.append(n), flags.append(f)
+        if not out:
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.uint8)
+        return np.concatenate(out), np.r_[0, np.cumsum(np.concatenate(sizes))], np.concatenate(flags)
+
+    def _piece(self, data: np.ndarray, offs: np.ndarray, end: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = len(offs) - 1
+        if len(self.hashes) > REMEMBERED:
+            self._forget()
+        at, whole = self.cut(data, offs) if len(data) else (np.zeros(0, np.int64), np.zeros(n, bool))
+        rows = self._rows(data, at) if len(at) else np.zeros(0, np.int64)
+        by = np.searchsorted(at, offs)
+        size = self.sizes[rows] if len(rows) else np.zeros(0, np.int64)
+        total = np.r_[0, np.cumsum(size)]
+        here = np.repeat(self.starts[rows] - total[:-1], size) + np.arange(total[-1]) if len(rows) else np.zeros(0, np.int64)
+        ids = self.flat[here]
+        counts = np.diff(total[by])
+        odd = np.zeros(n, np.uint8)
+        for bit in (1, 2) if len(rows) and self.odd.any() else ():
+            odd |= (np.diff(np.r_[0, np.cumsum(self.odd[rows] & bit > 0)][by]) > 0).astype(np.uint8) * bit
+        if whole.any():
+            parts = np.split(ids, np.cumsum(counts)[:-1])
+            raw = data.tobytes()
+            for d in np.flatnonzero(whole):
+                parts[d] = np.array(self.whole(raw[offs[d] : offs[d + 1]]), np.uint32)
+                counts[d] = len(parts[d])
+            ids = np.concatenate(parts)
+        if end is not None:
+            ids = np.insert(ids, np.cumsum(counts), np.uint32(end))
+            counts = counts + 1
+        return ids, counts, odd

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mailquarry.llm.bytetext import text_buffer
 from mailquarry.llm.segment_cache import SegmentCache
 from mailquarry.llm.storage import bounded_batches, documents
 
@@ -154,64 +155,83 @@ class PieceTokenizer:
             import sentencepiece
 
             self.other = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.unequal: set[str] = set()
-        self.changed: set[str] = set()
-        self.cache = SegmentCache(self.cut, self._encode_segments, lambda t: self._encode_segments([t])[0])
+        self.cache = SegmentCache(self._cut, self._encode, lambda t: self._encode([t])[0])
+        self.cache.noted = self._noted
+        #: Normalisation leaves the text as it is, but for the dummy prefix.
+        self.plain = self.map is None and not m.squeeze and m.dummy_prefix
 
     def normal(self, text: str) -> str:
-        """The normalised text with markers for spaces; empty stays empty."""
+        """The normalised text with the dummy prefix, markers as spaces; empty stays empty."""
         if self.map is not None:
             text = self.map.normalize_str(text)
+        text = text.replace(SPACE, " ")
         if self.model.squeeze:
-            text = re.sub(f"[ {SPACE}]+", " ", text).strip(" ")
-        if not text:
-            return ""
-        return (SPACE if self.model.dummy_prefix else "") + text.replace(" ", SPACE)
-
-    def cut(self, text: str) -> list[str]:
-        text = self.normal(text)
-        if not text:
-            return []
-        return re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", text) if self.by_word else [text]
-
-    def _encode_segments(self, segs: list[str]) -> list[list[int]]:
-        """Ids of marked segments, all in one multithreaded call; notes where the other library or decoding differs."""
-        got = [e.ids for e in self.core.encode_batch(segs, add_special_tokens=False)]
-        if self.other is not None and self.model.dummy_prefix and not self.model.squeeze and self.map is None:
-            for s, mine, theirs in zip(segs, got, self.other.encode([s[1:].replace(SPACE, " ") if s[:1] == SPACE and len(s) > 1 else s for s in segs]), strict=True):
-                if s[:1] == SPACE and len(s) > 1 and mine != theirs:
-                    self.unequal.add(s)
-        for s, back in zip(segs, self.core.decode_batch(got, skip_special_tokens=False), strict=True):
-            if back != s.replace(SPACE, " "):
-                self.changed.add(s)
-        return got
-
-    def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.cache.ids([text])[0], "<u4").tolist()
+            text = re.sub(" +", " ", text).strip(" ")
+        return (" " if self.model.dummy_prefix else "") + text if text else ""
+
+    def _normal_buffer(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes, offsets, whether decoding can give the text back) after normalisation."""
+        size = np.diff(offs)
+        raw = data.tobytes()
+        if self.plain and SPACE.encode() not in raw:
+            full = size > 0
+            return np.insert(data, offs[:-1][full], np.uint8(32)), np.r_[0, np.cumsum(size + full)], np.ones(len(size), bool)
+        texts = [raw[a:b].decode() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+        changed = [self.normal(t).encode() for t in texts]
+        same = [(n[1:] if self.model.dummy_prefix else n) == t.encode() for n, t in zip(changed, texts, strict=True)]
+        return np.frombuffer(b"".join(changed), np.uint8), np.r_[0, np.cumsum([len(c) for c in changed])].astype(np.int64), np.array(same, bool)
+
+    def _cut(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first = np.zeros(len(data), bool)
+        if self.by_word:
+            first[1:] = (data[1:] == 32) & (data[:-1] != 32)
+        first[offs[:-1][np.diff(offs) > 0]] = True
+        return np.flatnonzero(first), np.zeros(len(offs) - 1, bool)
+
+    def _encode(self, segments: list[bytes]) -> list[list[int]]:
+        """Ids of segments, all in one multithreaded call."""
+        return [e.ids for e in self.core.encode_batch([s.decode().replace(" ", SPACE) for s in segments], add_special_tokens=False)]
+
+    def _noted(self, segments: list[bytes], ids: list[list[int]]) -> list[int]:
+        """1 where the other library gives other ids for a segment, 2 where decoding gives another text."""
+        texts = [s.decode() for s in segments]
+        back = self.core.decode_batch(ids, skip_special_tokens=False)
+        flags = [2 * (x != t) for x, t in zip(back, texts, strict=True)]
+        if self.other is not None and self.plain and self.by_word:
+            ask = [k for k, t in enumerate(texts) if len(t) > 1]  # its own prefix stands for the first space
+            for k, theirs in zip(ask, self.other.encode([texts[k][1:] for k in ask]), strict=True):
+                flags[k] |= theirs != ids[k]
+        return flags
+
+    def checked(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bool], list[bool]]:
+        """(ids, offsets, whether the other library agrees, whether decoding gives the text back) of a buffer of texts.
+
+        Where tokens can't reach over words, both questions are asked once for
+        each distinct word; else the other library encodes every text.
+        """
+        ready, at, same = self._normal_buffer(data, offs)
+        ids, ends, flags = self.cache.ids(ready, at)
+        if self.other is None or (self.plain and self.by_word):
+            parity = (flags & 1 == 0).tolist()
+        else:
+            raw = data.tobytes()
+            texts = [raw[a:b].decode() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+            parity = [x == ids[a:b].tolist() for x, a, b in zip(self.other.encode(texts), ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        return ids, ends, parity, (same & (flags & 2 == 0)).tolist()
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        return [np.frombuffer(x, "<u4").tolist() for x in self.cache.ids(texts)]
+        raw = [t.encode() for t in texts]
+        ids, at, *_ = self.checked(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(t) for t in raw])].astype(np.int64))
+        return [ids[a:b].tolist() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+    def encode(self, text: str) -> list[int]:
+        return self.encode_batch([text])[0]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; control pieces have none."""
         text = self.core.decode([i for i in ids if i not in self.hidden], skip_special_tokens=False)
         return text[1:] if self.model.dummy_prefix and text[:1] == " " else text
 
-    def checked(self, texts: list[str]) -> tuple[list[bytes], list[bool], list[bool]]:
-        """(ids, whether the other library gives the same ids, whether decoding gives the text back)."""
-        ids = self.cache.ids(texts)
-        whole_parity = self.other is not None and not (self.model.dummy_prefix and not self.model.squeeze and self.map is None and self.by_word)
-        parity, trip = [], []
-        for text, x in zip(texts, ids, strict=True):
-            segs = self.cut(text) if self.unequal or self.changed else []
-            if whole_parity:
-                parity.append(self.other.encode(text) == np.frombuffer(x, "<u4").tolist())
-            else:
-                parity.append(self.unequal.isdisjoint(segs))
-            plain = self.map is None and not self.model.squeeze and SPACE not in text
-            trip.append(self.changed.isdisjoint(segs) if plain else self.decode(np.frombuffer(x, "<u4").tolist()) == text)
-        return ids, parity, trip
-
 
 _tokenizers: dict[tuple, PieceTokenizer] = {}
 
@@ -238,10 +258,12 @@ def encode_documents(docs: DataFrame, path: str, threads: int = 1, keep_ids: boo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path, threads)
         for batch in batches:
-            ids, parity, trip = tok.checked([t or "" for t in batch.column(1).to_pylist()])
-            columns = [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(parity, pa.bool_()), pa.array(trip, pa.bool_())]
+            ids, at, parity, trip = tok.checked(*text_buffer(batch.column(1)))
+            view = memoryview(ids.astype("<u4").tobytes())
+            crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            columns = [batch.column(0), pa.array(np.diff(at), pa.int64()), pa.array(crc, pa.int64()), pa.array(parity, pa.bool_()), pa.array(trip, pa.bool_())]
             if keep_ids:
-                columns.append(pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32())))
+                columns.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32))))
             yield pa.RecordBatch.from_arrays(columns, names=names + ["ids"] * keep_ids)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -58,8 +58,9 @@ def test_unigram_parity(tmp_path, squeeze):
     for text in ("the tea ate at", " a  tea", "é the", "", "t", "ateathe heat  "):
         assert mine.encode(text) == theirs.encode(text), text
         assert mine.decode(mine.encode(text)) == theirs.decode(theirs.encode(text))
-    _, parity, _ = mine.checked(["the tea", " a  tea "])
-    assert parity == [True, True]
+    raw = "the tea a  tea ".encode()
+    _, _, parity, trip = mine.checked(np.frombuffer(raw, np.uint8), np.array([0, 7, len(raw)]))
+    assert parity == [True, True] and trip == [True, not squeeze]
 
 
 def test_query_matches_the_library(spark, tiny):
