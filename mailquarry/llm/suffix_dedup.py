@@ -19,11 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailquarry.llm.bytetext import mix, pieces, text_buffer
-from mailquarry.llm.storage import bounded_batches, documents, dropped, fresh_path, stored, stored_at
+from mailquarry.llm.storage import bounded_batches, documents, dropped, freed, fresh_path, stored, stored_at, trimmed
 
 SPAN = 50
 #: Bytes of an anchor.
 GRAM = 20
+#: Contexts that are cut out, and contexts that are sorted, at once.
+CHUNK, SORTED = 20_000, 30_000
 #: Rows (document ids) that are broadcast to leave copies out; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -80,9 +82,10 @@ def contexts(data: np.ndarray, offs: np.ndarray, at: np.ndarray, of: np.ndarray,
     side = span - gram
     left = np.minimum(at - offs[of], side)
     right = np.minimum(offs[of + 1] - at - gram, side)
-    column = np.arange(-side, gram + side)
-    out = data[np.clip(at[:, None] + column, 0, len(data) - 1)]
-    out[(column[None] < -left[:, None]) | (column[None] >= gram + right[:, None])] = 0
+    pad = np.zeros(side, np.uint8)
+    out = np.lib.stride_tricks.sliding_window_view(np.concatenate([pad, data, pad]), 2 * side + gram)[at]
+    column = np.arange(-side, gram + side, dtype=np.int32)[None]
+    out[(column < -left[:, None].astype(np.int32)) | (column >= gram + right[:, None].astype(np.int32))] = 0
     return out, left, right
 
 
@@ -263,10 +266,16 @@ def _context_rows(texts: pa.Table, shared: pa.Table, buckets: int, span: int, gr
     known = {b: np.sort(np.concatenate([np.frombuffer(x, "<u8") for x, c in zip(shared.column("blob").to_pylist(), shared.column("bucket").to_pylist(), strict=True) if c == b])) for b in set(shared.column("bucket").to_pylist())}
     rows: list[tuple[int, int, bytes]] = []
     if known and texts.num_rows:
+        texts = texts.sort_by([("doc_id", "ascending")])  # so the first text with a context is the one with the smallest doc_id
         part = texts.column("part")[0].as_py()
         doc = texts.column("doc_id").to_numpy()
+        tid = texts.column("tid").to_numpy()
         data, offs = text_buffer(texts.column("text"))
-        keep: list[tuple] = []
+        size = -(-(width + 2) // 8) * 8
+        kind = np.dtype([("code", "<u8"), ("doc", "<i8"), ("ctx", "u1", size)])
+        seen = np.zeros(0, np.uint64)
+        blobs: dict[int, list[bytes]] = {}
+        occ: list[bytes] = []
         for i, j in pieces(offs):
             own, at_offs = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
             at, h, of = anchors(own, at_offs, span, gram)
@@ -280,33 +289,35 @@ def _context_rows(texts: pa.Table, shared: pa.Table, buckets: int, span: int, gr
                 spot[spot == len(have)] = 0
                 good[mine] = have[spot] == low[mine]
             at, of, bucket = at[good], of[good], bucket[good]
-            for k in range(0, len(at), 50_000):
-                a, o = at[k : k + 50_000], of[k : k + 50_000]
-                ctx, left, right = contexts(own, at_offs, a, o, span, gram)
-                full = np.zeros((len(ctx), -(-(width + 2) // 8) * 8), np.uint8)
-                full[:, :width], full[:, width], full[:, width + 1] = ctx, left, right
-                code = np.zeros(len(ctx), np.uint64)
+            for k in range(0, len(at), CHUNK):
+                a, o, b_of = at[k : k + CHUNK], of[k : k + CHUNK], bucket[k : k + CHUNK]
+                full = np.zeros((len(a), size), np.uint8)
+                full[:, :width], full[:, width], full[:, width + 1] = contexts(own, at_offs, a, o, span, gram)
+                code = np.zeros(len(a), np.uint64)
                 with np.errstate(over="ignore"):
                     for w in full.view("<u8").T:
                         code = mix(code * _B + w + np.uint64(1))
-                keep.append((full, code, bucket[k : k + 50_000], o + i, a - at_offs[o]))
-        if keep:
-            full, code, bucket, of, at = (np.concatenate(z) for z in zip(*keep, strict=True))
-            occ = np.zeros(len(code), [("code", "<u8"), ("text", "<i4"), ("at", "<i4")])
-            occ["code"], occ["text"], occ["at"] = code, of, at
-            rows.append((-1, part, occ.tobytes()))
-            order = np.lexsort((doc[of], code))
-            first = order[np.flatnonzero(np.r_[True, code[order][1:] != code[order][:-1]])]  # with the smallest doc_id
-            first = first[np.argsort(bucket[first], kind="stable")]
-            cut = np.searchsorted(bucket[first], np.arange(buckets + 1))
-            for b in range(buckets):
-                e = first[cut[b] : cut[b + 1]]
-                if len(e):
-                    rec = np.zeros(len(e), [("code", "<u8"), ("doc", "<i8"), ("ctx", "u1", full.shape[1])])
-                    rec["code"], rec["doc"], rec["ctx"] = code[e], doc[of[e]], full[e]
-                    rows.append((b, part, rec.tobytes()))
-            rows.append((-2, part, np.stack([doc, np.array(texts.column("tid").to_numpy())]).astype("<i8").tobytes()))
-    return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "part": pa.array([r[1] for r in rows], pa.int32()), "blob": pa.array([r[2] for r in rows], pa.binary())})
+                where = np.zeros(len(a), [("code", "<u8"), ("text", "<i4"), ("at", "<i4")])
+                where["code"], where["text"], where["at"] = code, o + i, a - at_offs[o]
+                occ.append(where.tobytes())
+                found, first = np.unique(code, return_index=True)
+                spot = np.searchsorted(seen, found)
+                spot[spot == len(seen)] = 0
+                new = seen[spot] != found if len(seen) else np.ones(len(found), bool)
+                found, first = found[new], first[new]
+                seen = np.insert(seen, np.searchsorted(seen, found), found)
+                first = first[np.argsort(b_of[first], kind="stable")]
+                rec = np.zeros(len(first), kind)
+                rec["code"], rec["doc"], rec["ctx"] = code[first], doc[o[first] + i], full[first]
+                cut = np.searchsorted(b_of[first], np.arange(buckets + 1))
+                for b in np.flatnonzero(np.diff(cut)):
+                    blobs.setdefault(int(b), []).append(rec[cut[b] : cut[b + 1]].tobytes())
+        if occ:
+            rows = [(b, part, b"".join(x)) for b, x in blobs.items()]
+            rows += [(-1, part, b"".join(occ)), (-2, part, np.stack([doc, tid]).astype("<i8").tobytes())]
+    out = pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "part": pa.array([r[1] for r in rows], pa.int32()), "blob": pa.array([r[2] for r in rows], pa.binary())})
+    trimmed()
+    return out
 
 
 def _sorted_rows(span: int, gram: int):
@@ -334,7 +345,7 @@ def _sorted_rows(span: int, gram: int):
         result = []
         a = 0
         while a < len(order):
-            b = min(len(order), a + 60_000)
+            b = min(len(order), a + SORTED)
             while b < len(order) and gram_hash[order[b]] == gram_hash[order[b - 1]]:
                 b += 1
             own = order[a:b]
@@ -357,6 +368,7 @@ def _sorted_rows(span: int, gram: int):
             n = hi - lo
             take = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
             out.append((int(p), runs[take].tobytes()))
+        trimmed()
         return pa.table({"part": pa.array([p for p, _ in out], pa.int32()), "blob": pa.array([x for _, x in out], pa.binary())})
 
     def spans(places: pa.Table, runs: pa.Table) -> pa.Table:
@@ -430,19 +442,23 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> tuple
     name = f"mailquarry_texts_{uuid.uuid4().hex}"
     parted = own.select(F.pmod(F.xxhash64(F.lit(3), "doc_id", "tid"), F.lit(n)).cast("int").alias("part"), "doc_id", "tid", "text").repartition(n, "part")
     parted.write.bucketBy(n, "part").sortBy("part").option("path", fresh_path(spark, "texts")).option("compression", "zstd").saveAsTable(name)
-    spark.sparkContext._jvm.System.gc()  # the shuffle files of the texts are not read again
+    freed(spark)
     texts = spark.table(name)
 
     rows = texts.select("part", "doc_id", "text").mapInArrow(lambda it: _anchor_rows(it, n, span, gram), "part int, bucket int, blob binary")
     shared = stored(rows.groupBy("bucket").applyInArrow(_shared_rows, "part int, bucket int, blob binary"), "shared_anchors")
+    freed(spark)
     made, made_at = stored_at(
         texts.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(lambda x, y: _context_rows(x, y, n, span, gram), "bucket int, part int, blob binary"),
         "contexts",
+        "zstd",
     )
+    freed(spark)
     sort, spans = _sorted_rows(span, gram)
     runs = stored(made.where("bucket >= 0").groupBy("bucket").applyInArrow(sort, "part int, blob binary"), "runs")
     found = stored(made.where("bucket < 0").groupBy("part").cogroup(runs.groupBy("part")).applyInArrow(spans, "part int, doc_id long, tid long, spans binary"), "spans")
     dropped(spark, made_at)
+    freed(spark)
     left = texts.join(found, ["part", "doc_id", "tid"]).select("doc_id", "tid", "text", "spans").mapInArrow(_kept, "doc_id long, tid long, n_removed long, n_spans long, kept binary")
     return info, left, name
 
