@@ -59,7 +59,12 @@ def freed(spark: SparkSession) -> None:
 
 
 def trimmed() -> None:
-    """Give a Python worker's free memory back to the system, after a step that used much of it."""
+    """Give a Python worker's free memory back to the system, after a step that used much of it.
+
+    Arrow's own pool keeps what it frees, so from the first call on the system's is used.
+    """
+    if pa.default_memory_pool().backend_name != "system":
+        pa.set_memory_pool(pa.system_memory_pool())
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)

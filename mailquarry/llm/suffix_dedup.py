@@ -24,6 +24,8 @@ from mailquarry.llm.storage import bounded_batches, documents, dropped, freed, f
 SPAN = 50
 #: Bytes of an anchor.
 GRAM = 20
+#: Bytes of text in which anchors are looked for at once; a longer text goes alone.
+PIECE = 1 << 18
 #: Contexts that are cut out, and contexts that are sorted, at once.
 CHUNK, SORTED = 20_000, 30_000
 #: Rows (document ids) that are broadcast to leave copies out; more are joined by shuffle.
@@ -213,7 +215,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], buckets: int, span: int, gra
         found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         part, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         data, offs = text_buffer(batch.column(2))
-        for i, j in pieces(offs):
+        for i, j in pieces(offs, PIECE):
             _, h, of = anchors(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], span, gram)
             for p in np.unique(part[i:j]):
                 own = part[i:j][of] == p
@@ -235,6 +237,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], buckets: int, span: int, gra
             rows = [(b, entry[cut[b] : cut[b + 1]]) for b in range(buckets) if cut[b + 1] > cut[b]]
             packed = _packed(rows)
             yield pa.RecordBatch.from_arrays([pa.array([p] * len(rows), pa.int32()), *packed.columns], names=["part", "bucket", "blob"])
+        trimmed()
 
 
 def _five(blob: bytes) -> np.ndarray:
@@ -262,6 +265,7 @@ def _shared_rows(table: pa.Table) -> pa.Table:
 
 def _context_rows(texts: pa.Table, shared: pa.Table, buckets: int, span: int, gram: int) -> pa.Table:
     """A part's texts and shared anchors -> its distinct contexts for each bucket, and where they occur."""
+    trimmed()
     width = 2 * span - gram
     known = {b: np.sort(np.concatenate([np.frombuffer(x, "<u8") for x, c in zip(shared.column("blob").to_pylist(), shared.column("bucket").to_pylist(), strict=True) if c == b])) for b in set(shared.column("bucket").to_pylist())}
     rows: list[tuple[int, int, bytes]] = []
@@ -276,7 +280,7 @@ def _context_rows(texts: pa.Table, shared: pa.Table, buckets: int, span: int, gr
         seen = np.zeros(0, np.uint64)
         blobs: dict[int, list[bytes]] = {}
         occ: list[bytes] = []
-        for i, j in pieces(offs):
+        for i, j in pieces(offs, PIECE):
             own, at_offs = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
             at, h, of = anchors(own, at_offs, span, gram)
             bucket, low = ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64), h & _LOW39
@@ -315,7 +319,9 @@ def _context_rows(texts: pa.Table, shared: pa.Table, buckets: int, span: int, gr
         if occ:
             rows = [(b, part, b"".join(x)) for b, x in blobs.items()]
             rows += [(-1, part, b"".join(occ)), (-2, part, np.stack([doc, tid]).astype("<i8").tobytes())]
+    blobs = occ = texts = data = None  # only the rows are needed from here on
     out = pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "part": pa.array([r[1] for r in rows], pa.int32()), "blob": pa.array([r[2] for r in rows], pa.binary())})
+    rows.clear()
     trimmed()
     return out
 
@@ -327,6 +333,7 @@ def _sorted_rows(span: int, gram: int):
 
     def sort(table: pa.Table) -> pa.Table:
         """One shard -> for each part the runs of offsets of its contexts with the smallest document that has the string."""
+        trimmed()
         blobs = [np.frombuffer(b, kind) for b in table.column("blob").to_pylist()]
         part = np.repeat(np.array(table.column("part").to_pylist()), [len(b) for b in blobs])
         rec = np.concatenate(blobs)
