@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from mailquarry.llm.bytetext import text_buffer
 from mailquarry.llm.segment_cache import SegmentCache
-from mailquarry.llm.storage import bounded_batches, documents, fresh_path, stored
+from mailquarry.llm.storage import bounded_batches, documents, fresh_path, stored, trimmed
 
 MAGIC, BLOCK = b"DAC1", 512
 #: A shard is closed when it has so many tokens.
@@ -192,6 +192,7 @@ def _write(batches: Iterator[pa.RecordBatch], vocabulary: str, folder: str) -> I
         store.move(draft, f"{base}/{name}")  # a repeated task puts the same bytes in the same place
         row = pa.RecordBatch.from_pylist([{"shard": name, "docs": len(offsets) - 1, "tokens": int(offsets[-1])}])
         docs.clear(), sizes.clear(), parts.clear()
+        trimmed()
         seq, total = seq + 1, 0
         return row
 

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from mailquarry.llm.bytetext import SPACED, distinct_shingles, mix, pieces, text_buffer
 from mailquarry.llm.components import connected_components
-from mailquarry.llm.storage import bounded_batches, stored
+from mailquarry.llm.storage import bounded_batches, documents, stored, trimmed
 
 #: 16 bands of 4 minima: a pair at similarity 0.85 shares no band with chance 8e-6, at 0.8 with 2e-4.
 BANDS, ROWS = 16, 4
@@ -88,6 +88,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Record
             [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
             names=_SKETCH.names,
         )
+        trimmed()
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
@@ -110,6 +111,7 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
             sizes += [len(s) for s in sets]
         columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(out, pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "size", "long_bits", "shingles"])
+        trimmed()
 
 
 def estimated_similarity(a: Column, b: Column, hashes: int = _K) -> Column:
@@ -233,6 +235,4 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
 
 def op9_minhash(spark, sf_dir: str) -> DataFrame:
     """Three-word shingles, similarity 0.85, over the whole documents table."""
-    from mailquarry.llm.storage import documents
-
     return near_duplicates(documents(spark, sf_dir), words=3, num=85, den=100)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from mailquarry.llm.bytetext import pieces, text_buffer
 from mailquarry.llm.sampling import bounded_sample, fold
-from mailquarry.llm.storage import bounded_batches, documents
+from mailquarry.llm.storage import bounded_batches, documents, trimmed
 
 #: Training documents for each language, and the longest text among them, in characters.
 SAMPLE_DOCS, SAMPLE_CHARS = 300, 20_000
@@ -195,6 +195,7 @@ def identify(docs: DataFrame, model: PpmModel | None) -> DataFrame:
                     rate[i:j] = least / np.maximum(np.diff(own), 1)
                     names[i:j] = [m.languages[b] if o else UNDETERMINED for b, o in zip(best, ok[i:j], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(rate)], names=["doc_id", "lang_pred", "score", "bits_per_byte"])
+            trimmed()
 
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, bits_per_byte double")
 

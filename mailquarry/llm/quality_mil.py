@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from mailquarry.llm.bytetext import SPACED, pieces, text_buffer, words
 from mailquarry.llm.sampling import fold
-from mailquarry.llm.storage import bounded_batches, documents
+from mailquarry.llm.storage import bounded_batches, documents, trimmed
 from mailquarry.llm.toxic_segments import labelled_sample
 
 #: Labelled documents for each class, and the longest text among them, in characters.
@@ -198,6 +198,7 @@ def score_documents(docs: DataFrame, model: MilModel) -> DataFrame:
             got = [score(shared.value, data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]) for i, j in pieces(offs)]
             columns = [np.concatenate(c) for c in zip(*got, strict=True)] if got else [np.zeros(0)] * 3
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.float64()), pa.array(columns[1].astype(np.int64)), pa.array(columns[2], pa.float64())], names=["doc_id", "score", "top_passage", "top_weight"])
+            trimmed()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double, top_passage long, top_weight double")

@@ -15,9 +15,9 @@ import numpy as np
 from mailquarry.llm.bytetext import mix, pieces, powers
 
 #: Segments remembered by a worker; the memory is emptied when it is full.
-REMEMBERED = 3_000_000
+REMEMBERED = 1_000_000
 #: Bytes that are cut and looked up at once.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 
 class SegmentCache:

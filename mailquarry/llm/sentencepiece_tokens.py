@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from mailquarry.llm.bytetext import text_buffer
 from mailquarry.llm.segment_cache import SegmentCache
-from mailquarry.llm.storage import bounded_batches, documents
+from mailquarry.llm.storage import bounded_batches, documents, trimmed
 
 # Fixed values of the SentencePiece model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -265,6 +265,7 @@ def encode_documents(docs: DataFrame, path: str, threads: int = 1, keep_ids: boo
             if keep_ids:
                 columns.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32))))
             yield pa.RecordBatch.from_arrays(columns, names=names + ["ids"] * keep_ids)
+            trimmed()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, parity boolean, round_trip boolean" + ", ids array<int>" * keep_ids)

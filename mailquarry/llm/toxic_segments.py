@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from mailquarry.llm.bytetext import LETTERED, pieces, text_buffer, word_prefixes, words
 from mailquarry.llm.sampling import bounded_sample, fold
-from mailquarry.llm.storage import bounded_batches, documents
+from mailquarry.llm.storage import bounded_batches, documents, trimmed
 
 #: Labelled documents for each class, and the longest text among them, in characters.
 SAMPLE_DOCS, SAMPLE_CHARS = 2500, 12_000
@@ -230,6 +230,7 @@ def score_documents(docs: DataFrame, model: ToxicModel, significant: float = SIG
             columns = [batch.column(0), pa.array(score, pa.float64()), pa.array([len(k) for k in kept], pa.int64()), pa.array(best, pa.float64())]
             columns.append(pa.array(kept, pa.list_(pa.struct([("start", pa.int64()), ("last_word", pa.int64()), ("score", pa.float64()), ("log_expected", pa.float64())]))))
             yield pa.RecordBatch.from_arrays(columns, names=_OUT.names)
+            trimmed()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _OUT)
 
