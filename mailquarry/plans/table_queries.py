@@ -495,3 +495,46 @@ def as_of_observation(spark, sf_dir):
     o = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("user_id"), F.col("o_orderdate").alias("observed")).agg(F.max("o_totalprice").alias("price"))
     e = read(spark, sf_dir, "events").select("event_id", "user_id", F.expr("timestamp_ntz'1995-06-17' + (ts - timestamp_ntz'2024-01-01')").alias("ts"))
     return hosts.as_of(e, o, "event_id", "user_id", "ts", "observed", "price").select("event_id", "price")
+
+
+@query(
+    r"""WITH a AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}')) AS a FROM documents)
+SELECT count(*) AS rows, count(*) FILTER (regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS with_mail, count(*) FILTER (regexp_matches(text, '(?i)https?://')) AS with_link,
+  count(*) FILTER (regexp_matches(text, '[0-9]{1,3}(\.[0-9]{1,3}){3}')) AS with_ipv4, (SELECT count(*) FROM a) AS accounts FROM documents"""
+)
+def privacy_audit(spark, sf_dir):
+    from mailquarry.sinks import privacy_audit as audit
+
+    return audit(read(spark, sf_dir, "documents")).drop("valid_accounts")
+
+
+@query(
+    """WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag = 'R' AS cta FROM lineitem), a AS (SELECT *, bool_or(cta) OVER (PARTITION BY l_orderkey) AS has_cta FROM l)
+SELECT l_orderkey, l_linenumber, l_partkey FROM a WHERE cta OR NOT has_cta"""
+)
+def primary_link_choice(spark, sf_dir):
+    from mailquarry.operators.actions import primary_links
+
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("msg_id"), "l_linenumber", "l_partkey", (F.col("l_returnflag") == "R").alias("cta"))
+    return primary_links(rows).select(F.col("msg_id").alias("l_orderkey"), "l_linenumber", "l_partkey")
+
+
+_SNAPSHOT = [("example.com", "malicious"), ("www.example.org", "clean"), ("example.net", "suspicious")]
+
+
+@query(
+    f"""WITH {_REGISTERED}, s AS (SELECT * FROM {dims.sql_values(_SNAPSHOT, "v", "domain, status")})
+SELECT r.host, coalesce(o.status, p.status) AS status, o.status IS NULL AND p.status IS NOT NULL AS used_parent_fallback FROM registered r LEFT JOIN s o ON o.domain = r.host LEFT JOIN s p ON p.domain = r.registered_domain"""
+)
+def domain_reputation_fallback(spark, sf_dir):
+    known = hosts.registered_domains(_page_hosts(spark, sf_dir), dims.table(spark, dims.PUBLIC_SUFFIXES, "suffix string, private boolean"))
+    return hosts.domain_reputation(known.select("host", "registered_domain"), dims.table(spark, _SNAPSHOT, "domain string, status string")).select("host", "status", "used_parent_fallback")
+
+
+@query(
+    """WITH n AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events)
+SELECT c_custkey, event_type AS status FROM customer LEFT JOIN n ON c_custkey = user_id AND rn = 1"""
+)
+def reputation_join(spark, sf_dir):
+    snapshot = read(spark, sf_dir, "events").select(F.col("user_id").alias("c_custkey"), F.struct("ts", "event_id").alias("observed_at"), F.col("event_type").alias("status"))
+    return hosts.reputation(read(spark, sf_dir, "customer").select("c_custkey"), snapshot, "c_custkey")
