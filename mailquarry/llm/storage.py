@@ -12,6 +12,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,8 +30,31 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_scratch: list[list[str]] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(path)
+    return path
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` returns, as a table; the tables it wrote on the way are deleted and their shuffle files freed."""
+    out = fresh_path(spark, name)
+    _scratch.append([])
+    try:
+        df = make()
+        df.write.parquet(out)
+        schema = df.schema
+        del df
+    finally:
+        made = _scratch.pop()
+    for path in made:
+        dropped(spark, path)
+    freed(spark)
+    return spark.read.schema(schema).parquet(out)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -430,9 +430,9 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tid", "n_removed", "n_spans", "kept"])
 
 
-def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> tuple[DataFrame, DataFrame, str]:
+def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> tuple[DataFrame, DataFrame, str, str]:
     """(doc_id, tid, n_bytes, sha256, first) of every distinct row, and (doc_id, tid, n_removed, n_spans, kept) of
-    the texts that lose something but not everything; kept is binary. The third is a catalog table to drop later."""
+    the texts that lose something but not everything; kept is binary. Then the catalog table of the texts and its place, to drop later."""
     spark = docs.sparkSession
     bounded_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -448,7 +448,8 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> tuple
 
     name = f"mailquarry_texts_{uuid.uuid4().hex}"
     parted = own.select(F.pmod(F.xxhash64(F.lit(3), "doc_id", "tid"), F.lit(n)).cast("int").alias("part"), "doc_id", "tid", "text").repartition(n, "part")
-    parted.write.bucketBy(n, "part").sortBy("part").option("path", fresh_path(spark, "texts")).option("compression", "zstd").saveAsTable(name)
+    texts_at = fresh_path(spark, "texts")
+    parted.write.bucketBy(n, "part").sortBy("part").option("path", texts_at).option("compression", "zstd").saveAsTable(name)
     freed(spark)
     texts = spark.table(name)
 
@@ -466,8 +467,9 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> tuple
     found = stored(made.where("bucket < 0").groupBy("part").cogroup(runs.groupBy("part")).applyInArrow(spans, "part int, doc_id long, tid long, spans binary"), "spans")
     dropped(spark, made_at)
     freed(spark)
+    # the texts are already dealt by part, which is enough to bring equal rows together
     left = texts.join(found, ["part", "doc_id", "tid"]).select("doc_id", "tid", "text", "spans").mapInArrow(_kept, "doc_id long, tid long, n_removed long, n_spans long, kept binary")
-    return info, left, name
+    return info, left, name, texts_at
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
@@ -480,8 +482,18 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataF
     as a whole give one row, and texts under the same doc_id don't remove from
     each other. Only doc_id and text are looked at.
     """
-    info, left, _ = repeated_spans(docs, span, gram)
-    left = stored(left.withColumn("kept_sha", F.sha2("kept", 256)), "kept")
+    spark = docs.sparkSession
+    info, left, name, texts_at = repeated_spans(docs, span, gram)
+    subset = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(subset, "true")
+    spark.conf.set(subset, "false")
+    try:
+        left = stored(left.withColumn("kept_sha", F.sha2("kept", 256)), "kept")
+    finally:
+        spark.conf.set(subset, before)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    dropped(spark, texts_at)
+    freed(spark)
     whole = F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False))
     return info.join(left, ["doc_id", "tid"], "left").select(
         "doc_id",
