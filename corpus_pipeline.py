@@ -14,20 +14,20 @@ from mailquarry.llm.minhash_dedup import near_duplicates
 from mailquarry.llm.ppm_language import UNDETERMINED, identify, train
 from mailquarry.llm.sampling import fold
 from mailquarry.llm.sentencepiece_tokens import encode_documents
-from mailquarry.llm.storage import stored
+from mailquarry.llm.storage import settled, stored
 from mailquarry.llm.suffix_dedup import remove_repeats
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a language: null, empty and letterless texts."""
     model = train(docs.where(fold(F.col("doc_id"), 4) != 2))
-    rejected = stored(identify(docs, model).where(F.col("lang_pred") == UNDETERMINED).select("doc_id"), "rejected")
+    rejected = settled(spark, lambda: identify(docs, model).where(F.col("lang_pred") == UNDETERMINED).select("doc_id"), "rejected")
     return docs.where(F.col("doc_id").isNotNull()).join(rejected, "doc_id", "left_anti").select(docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, the one with the smallest doc_id, of each group of near copies (five words, 0.8)."""
-    dropped = stored(near_duplicates(docs, words=5, num=80, den=100).where(~F.col("kept")).select("doc_id"), "copies")
+    dropped = settled(spark, lambda: near_duplicates(docs, words=5, num=80, den=100).where(~F.col("kept")).select("doc_id"), "copies")
     return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
 
 
@@ -36,7 +36,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Cuts can split a character: what is left of it becomes a replacement character.
     """
-    found = remove_repeats(docs).where("kept is not null").select("doc_id", F.col("kept").alias("_kept"))
+    found = settled(spark, lambda: remove_repeats(docs).where("kept is not null").select("doc_id", F.col("kept").alias("_kept")), "cut")
     out = docs.join(found, "doc_id", "left")
     text = F.when(F.col("_kept").isNull(), F.col("text")).otherwise(F.make_valid_utf8(F.col("_kept").cast("string")))
     out = out.withColumn("text", text).where((F.length("text") > 0) | F.col("_kept").isNull())
@@ -45,7 +45,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item (five words, containment 0.8)."""
-    leaked = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    leaked = settled(spark, lambda: contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct(), "leaked")
     return docs.join(leaked, "doc_id", "left_anti").select(docs.columns)
 
 
