@@ -109,14 +109,16 @@ def test_registry(spark):
 
 
 def test_lookalikes_and_suffixes(spark):
-    names = ["www.contoso.com", "c0ntoso.com", "contosoo.com", "contoso-login.com", "mycontoso.net", "contoso.net", "a.b.co.uk", "co.uk", "host.unknown", "shop.pages.dev", "fabrikarn.com", "other.com"]
+    names = ["www.contoso.com", "c0ntoso.com", "contosoo.com", "contoso-login.com", "mycontoso.net", "contoso.net", "a.b.co.uk", "co.uk", "host.unknown", "shop.pages.dev", "fabrikarn.com", "other.com", "contoso.com.evil.test", "contoso.evil.test", "contoso-shop.com"]
     df = spark.createDataFrame([(n,) for n in names], "host string")
     sfx = dims.table(spark, dims.PUBLIC_SUFFIXES, "suffix string, private boolean")
     known = hosts.registered_domains(df, sfx)
     got = {r.host: r.registered_domain for r in known.collect()}
     assert (got["www.contoso.com"], got["a.b.co.uk"], got["co.uk"], got["host.unknown"], got["shop.pages.dev"]) == ("contoso.com", "b.co.uk", "co.uk", "host.unknown", "shop.pages.dev")
     found = {r.host: (r.brand, r.technique, r.level) for r in hosts.lookalikes(known, dims.table(spark, dims.BRANDS, "brand string, token string, official string")).collect()}
-    assert found == {"c0ntoso.com": ("Contoso", "confusable", "HIGH"), "contosoo.com": ("Contoso", "edit_distance", "HIGH"), "contoso-login.com": ("Contoso", "combosquat", "MEDIUM"), "mycontoso.net": ("Contoso", "embedded", "MEDIUM"), "fabrikarn.com": ("Fabrikam", "confusable", "HIGH")}
+    assert found == {"c0ntoso.com": ("Contoso", "confusable", "HIGH"), "contosoo.com": ("Contoso", "edit_distance", "HIGH"), "contoso-login.com": ("Contoso", "lure_word", "HIGH"), "contoso-shop.com": ("Contoso", "combosquat", "MEDIUM"), "contoso.com.evil.test": ("Contoso", "official_prefix", "HIGH"), "contoso.evil.test": ("Contoso", "subdomain", "MEDIUM"), "mycontoso.net": ("Contoso", "embedded", "MEDIUM"), "fabrikarn.com": ("Fabrikam", "confusable", "HIGH")}
+    senders = spark.createDataFrame([("m", "from", "c0ntoso.com"), ("m", "reply_to", "gmail.com"), ("n", "from", "contoso.com")], "msg_id string, role string, domain string")
+    assert [(r.msg_id, r.role, r.technique) for r in hosts.sender_lookalikes(senders, sfx, dims.table(spark, dims.BRANDS, "brand string, token string, official string")).collect()] == [("m", "from", "confusable")]
     kinds = hosts.hosting_kind(spark.createDataFrame([("x.ipfs.io",), ("bit.ly",), ("a.pages.dev",), ("ok.com",)], "host string"), dims.table(spark, dims.LINK_HOSTS, "domain string, kind string"))
     assert {r.host: r.kind for r in kinds.collect()} == {"x.ipfs.io": "ipfs", "bit.ly": "shortener", "a.pages.dev": "abused_hosting"}
 
