@@ -309,7 +309,8 @@ _NAMES = [("Supplier", "supplier", "supplier.example"), ("Thing", "thandthe", "t
 SELECT label, brand, levenshtein(label, token) AS distance FROM w, n WHERE label <> '' AND levenshtein(label, token) BETWEEN 1 AND 3"""
 )
 def edit_distance_names(spark, sf_dir):
-    w = read(spark, sf_dir, "documents").select(F.lower(F.regexp_extract("text", r"^[^A-Za-z]*([A-Za-z]+)", 1)).alias("label")).where("label <> ''").distinct()
+    words = read(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), 1)).alias("word"))
+    w = words.select(F.lower("word").alias("label")).distinct()
     n = F.broadcast(dims.table(spark, _NAMES, "brand string, token string, official string"))
     return w.join(n, F.levenshtein("label", "token").between(1, 3)).select("label", "brand", F.levenshtein("label", "token").cast("bigint").alias("distance"))
 

@@ -26,3 +26,19 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+#: As the query's SQL, but over all words of a text.
+ALL_WORDS = """
+WITH w AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS label FROM documents),
+n AS (SELECT * FROM (VALUES ('Supplier', 'supplier'), ('Thing', 'thandthe'), ('Notion', 'nottion'), ('Rather', 'erther')) AS v(brand, token))
+SELECT label, brand, levenshtein(label, token) AS distance FROM w, n WHERE levenshtein(label, token) BETWEEN 1 AND 3
+"""
+
+
+def test_edit_distance_takes_every_word(spark, tiny, tmp_path):
+    assert same(table_queries.edit_distance_names(spark, tiny), ALL_WORDS, tiny) > 500
+    texts = [("The SUPLIER sent 2 suppliers'supplie", 1), (None, 2), ("", 3), ("12 ?!", 4), ("zzzzzzzzzz " * 5000 + "suppller", 5), ("supplier", 6)]
+    spark.createDataFrame(texts, "text string, doc_id long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r.label, r.distance) for r in table_queries.edit_distance_names(spark, str(tmp_path)).where("brand = 'Supplier'").collect()]
+    assert sorted(got) == [("suplier", 1), ("supplie", 1), ("suppliers", 1), ("suppller", 1)]
