@@ -36,8 +36,8 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Cuts can split a character: what is left of it becomes a replacement character.
     """
-    found = settled(spark, lambda: remove_repeats(docs).where("kept is not null").select("doc_id", F.col("kept").alias("_kept")), "cut")
-    out = docs.join(found, "doc_id", "left")
+    found = settled(spark, lambda: remove_repeats(docs).where("kept is not null").select("doc_id", F.col("tid").alias("_tid"), F.col("kept").alias("_kept")), "cut")
+    out = docs.withColumn("_tid", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).join(found, ["doc_id", "_tid"], "left")
     text = F.when(F.col("_kept").isNull(), F.col("text")).otherwise(F.make_valid_utf8(F.col("_kept").cast("string")))
     out = out.withColumn("text", text).where((F.length("text") > 0) | F.col("_kept").isNull())
     return out.withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)

@@ -395,6 +395,8 @@ def _sorted_rows(span: int, gram: int):
         o = np.repeat(np.arange(len(occ)), n)
         text = occ["text"][o]
         good = r["doc"][take] < doc[text]
+        if not good.any():
+            return pa.table(empty)
         text, start = text[good], occ["at"][o][good].astype(np.int64) - side + r["from"][take][good]
         stop = occ["at"][o][good].astype(np.int64) - side + r["to"][take][good] + span
         order = np.argsort(text, kind="stable")
@@ -431,20 +433,26 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> tuple[DataFrame, DataFrame, str, str]:
-    """(doc_id, tid, n_bytes, sha256, first) of every distinct row, and (doc_id, tid, n_removed, n_spans, kept) of
+    """(doc_id, tid, n_bytes, sha256, rows, first) of every distinct row, and (doc_id, tid, n_removed, n_spans, kept) of
     the texts that lose something but not everything; kept is binary. Then the catalog table of the texts and its place, to drop later."""
     spark = docs.sparkSession
     bounded_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    info = base.select("doc_id", F.xxhash64("text").alias("tid"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha256")).dropDuplicates(["doc_id", "sha256"])
+    info = base.select("doc_id", F.xxhash64("text").alias("tid"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha256"))
+    info = info.groupBy("doc_id", "sha256").agg(F.first("tid").alias("tid"), F.first("n_bytes").alias("n_bytes"), F.count("*").alias("rows"))
     info = stored(info, "texts_info")
     firsts = info.where(F.col("n_bytes") >= span).groupBy("sha256").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     info, _ = stored_at(info.join(firsts.where("copies > 1").select("sha256", "first"), "sha256", "left"), "texts_info")
     copies = info.where("first < doc_id").select("doc_id", "tid")
     few = copies.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     own = base.where(F.octet_length("text") >= span).withColumn("tid", F.xxhash64("text")).join(F.broadcast(copies) if few else copies, ["doc_id", "tid"], "left_anti")
+    twice = info.where((F.col("rows") > 1) & (F.col("n_bytes") >= span)).select("doc_id", "tid")
+    some = twice.limit(BROADCAST_IDS + 1).count()
+    if some:  # only rows that are repeated as a whole pay for being made distinct
+        twice = F.broadcast(twice) if some <= BROADCAST_IDS else twice
+        own = own.join(twice, ["doc_id", "tid"], "left_anti").unionByName(own.join(twice, ["doc_id", "tid"], "left_semi").distinct())
 
     name = f"mailquarry_texts_{uuid.uuid4().hex}"
     parted = own.select(F.pmod(F.xxhash64(F.lit(3), "doc_id", "tid"), F.lit(n)).cast("int").alias("part"), "doc_id", "tid", "text").repartition(n, "part")
@@ -473,7 +481,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> tuple
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every document.
+    """(doc_id, tid, n_bytes, n_removed, n_spans, kept_sha256, kept) of every document; tid is xxhash64 of the text.
 
     Every byte is removed that is covered by a ``span``-byte string which also
     starts in a document with a smaller doc_id; all is judged on the input.
@@ -497,6 +505,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataF
     whole = F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False))
     return info.join(left, ["doc_id", "tid"], "left").select(
         "doc_id",
+        "tid",
         "n_bytes",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
@@ -507,4 +516,4 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataF
 
 def op4_suffix(spark, sf_dir: str) -> DataFrame:
     """Strings of 50 bytes over the whole documents table."""
-    return remove_repeats(documents(spark, sf_dir)).drop("kept")
+    return remove_repeats(documents(spark, sf_dir)).drop("kept", "tid")

@@ -65,3 +65,11 @@ def test_stages_keep_the_columns(spark, tiny):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd, tiny).count() <= 3
         assert stage(spark, odd.limit(0), tiny).count() == 0
+
+
+def test_repeats_stage_keeps_rows_and_texts_apart(spark, tiny):
+    shared = "The same long line is in every one of these documents, word for word. "
+    texts = [(1, shared + "first"), (2, shared + "Own end."), (2, shared + "Own end."), (3, shared + "Another end."), (3, "Other text under the same number, long enough to be looked at as well.")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in texts], spark.read.parquet(f"{tiny}/documents.parquet").schema)
+    got = sorted((r.doc_id, r.text) for r in corpus_pipeline.repeats(spark, docs, tiny).collect())
+    assert got == sorted([texts[0], (2, "Own end."), (2, "Own end."), (3, "Another end."), texts[4]])

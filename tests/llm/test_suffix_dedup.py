@@ -66,3 +66,12 @@ def test_odd_texts(spark):
     repeated = df.unionByName(df.where("doc_id in (7, 8)"))
     assert result(s.remove_repeats(repeated)) == brute(rows)
     assert s.remove_repeats(df.limit(0)).collect() == []
+
+
+def test_repeated_rows_that_lose_a_part(spark):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    shared = word(90)
+    rows = [(1, word(40) + shared), (2, word(30) + shared + word(20)), (3, shared)]
+    df = spark.createDataFrame(rows + [rows[1]] * 2 + [rows[2]], "doc_id long, text string")
+    assert result(s.remove_repeats(df)) == brute(rows)
