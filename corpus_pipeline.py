@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from mailquarry.llm.decontamination import contaminated
 from mailquarry.llm.minhash_dedup import near_duplicates
-from mailquarry.llm.ppm_language import UNDETERMINED, identify, train
+from mailquarry.llm.ppm_language import UNDETERMINED, identify, lettered, train
 from mailquarry.llm.sampling import fold
 from mailquarry.llm.sentencepiece_tokens import encode_documents
 from mailquarry.llm.storage import settled, stored
@@ -19,8 +19,10 @@ from mailquarry.llm.suffix_dedup import remove_repeats
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a language: null, empty and letterless texts."""
+    """Drop documents without a language: null, empty and letterless texts, also where no language could be learned."""
     model = train(docs.where(fold(F.col("doc_id"), 4) != 2))
+    if model is None:
+        return docs.where(F.col("doc_id").isNotNull() & lettered(F.col("text")))
     rejected = settled(spark, lambda: identify(docs, model).where(F.col("lang_pred") == UNDETERMINED).select("doc_id"), "rejected")
     return docs.where(F.col("doc_id").isNotNull()).join(rejected, "doc_id", "left_anti").select(docs.columns)
 

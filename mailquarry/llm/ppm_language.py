@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailquarry.llm.bytetext import pieces, text_buffer
@@ -162,6 +162,11 @@ def train(docs: DataFrame, per_language: int = SAMPLE_DOCS, max_chars: int = SAM
     return fit(samples) if samples else None
 
 
+def lettered(text: Column) -> Column:
+    """Whether a text has a letter; a null one has none."""
+    return F.coalesce(text.cast("string").rlike(r"\p{L}"), F.lit(False))
+
+
 def identify(docs: DataFrame, model: PpmModel | None) -> DataFrame:
     """(doc_id, lang_pred, score, bits_per_byte) for every document.
 
@@ -173,7 +178,7 @@ def identify(docs: DataFrame, model: PpmModel | None) -> DataFrame:
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)).alias("lettered"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lettered(F.col("text")).alias("lettered"), F.col("text").cast("string").alias("text"))
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

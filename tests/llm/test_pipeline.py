@@ -8,6 +8,7 @@ from pathlib import Path
 import numpy as np
 import public_tokenizers
 import sentencepiece
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 import test_minhash_dedup as near  # noqa: E402
@@ -73,3 +74,13 @@ def test_repeats_stage_keeps_rows_and_texts_apart(spark, tiny):
     docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in texts], spark.read.parquet(f"{tiny}/documents.parquet").schema)
     got = sorted((r.doc_id, r.text) for r in corpus_pipeline.repeats(spark, docs, tiny).collect())
     assert got == sorted([texts[0], (2, "Own end."), (2, "Own end."), (3, "Another end."), texts[4]])
+
+
+def test_language_stage_without_a_learned_language(spark, tiny):
+    schema = spark.read.parquet(f"{tiny}/documents.parquet").schema
+    odd = spark.createDataFrame([(1, None, None, None, None), (2, "", None, "s", 0), (3, "12 ?!", None, "s", 5), (4, "one two", None, "s", 7), (5, "é 3", None, "s", 3)], schema)
+    assert sorted(r.doc_id for r in corpus_pipeline.language(spark, odd, tiny).collect()) == [4, 5]
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    unlabelled = corpus_pipeline.language(spark, docs.withColumn("lang", F.lit(None).cast("string")), tiny)
+    same = [r.doc_id for r in corpus_pipeline.language(spark, docs, tiny).collect()]
+    assert sorted(r.doc_id for r in unlabelled.collect()) == sorted(same) and same
