@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from mailquarry.llm.bytetext import text_buffer
 from mailquarry.llm.segment_cache import SegmentCache
-from mailquarry.llm.storage import bounded_batches, documents, fresh_path, stored, trimmed
+from mailquarry.llm.storage import bounded_batches, documents, fresh_path, settled, stored, trimmed
 
 MAGIC, BLOCK = b"DAC1", 512
 #: A shard is closed when it has so many tokens.
@@ -250,8 +250,8 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 def token_files(docs: DataFrame, vocabulary: str, folder: str) -> DataFrame:
     """Write the shard files, read them back: (doc_id, start, n_tokens, ids_crc32, shard)."""
-    manifest = write_shards(docs, vocabulary, folder)
     spark = docs.sparkSession
+    manifest = settled(spark, lambda: write_shards(docs, vocabulary, folder), "shards")
     if not manifest.limit(1).count():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long, shard string")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard, not for each document

@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mailquarry.llm.bytetext import SPACED, distinct_shingles, mix, pieces, text_buffer
+from mailquarry.llm.bytetext import SPACED, distinct_pairs, distinct_shingles, mix, pieces, text_buffer
 from mailquarry.llm.components import connected_components
-from mailquarry.llm.storage import bounded_batches, documents, stored, trimmed
+from mailquarry.llm.storage import bounded_batches, documents, settled, stored, trimmed
 
 #: 16 bands of 4 minima: a pair at similarity 0.85 shares no band with chance 8e-6, at 0.8 with 2e-4.
 BANDS, ROWS = 16, 4
@@ -41,8 +41,8 @@ _SKETCH = T.StructType(
 
 
 def minima(sets: list[np.ndarray], functions: range = range(_K)) -> np.ndarray:
-    """The minimum of every set under each of the hash functions; sets are not empty."""
-    all_, at = np.concatenate(sets), np.r_[0, np.cumsum([len(s) for s in sets])[:-1]]
+    """The minimum of every set under each of the hash functions; sets are not empty. The first lane is hashed."""
+    all_, at = np.concatenate([s[:, 0] for s in sets]), np.r_[0, np.cumsum([len(s) for s in sets])[:-1]]
     out = np.empty((len(sets), len(functions)), np.uint64)
     with np.errstate(over="ignore"):
         for i, k in enumerate(functions):
@@ -141,22 +141,20 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, x, y = (batch.column(k) for k in range(4))
         nu, nv, common = [], [], []
         for k in range(batch.num_rows):
-            p, q = np.frombuffer(x[k].as_buffer(), np.uint64), np.frombuffer(y[k].as_buffer(), np.uint64)
+            p, q = (np.frombuffer(z[k].as_buffer(), np.uint64).reshape(-1, 2) for z in (x, y))
             nu.append(len(p))
             nv.append(len(q))
-            if len(p) > len(q):
-                p, q = q, p
-            at = np.searchsorted(q, p)
-            at[at == len(q)] = 0
-            common.append(int((q[at] == p).sum()))
+            common.append(len(p) + len(q) - len(distinct_pairs(np.concatenate([p, q]))))
         yield pa.RecordBatch.from_arrays([a, b, *(pa.array(c, pa.int64()) for c in (nu, nv, common))], names=["u", "v", "nu", "nv", "common"])
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): documents linked by shingle-set similarity num/den or more.
 
-    ``docs`` needs doc_id (unique) and text; other columns are not looked at.
-    Words are lowered runs of non-space bytes. A text with fewer words than a
+    ``docs`` needs doc_id and text; other columns are not looked at. Each row
+    is a document of its own, so rows that repeat a doc_id have a row each and
+    the smallest doc_id is kept in all of them. Words are lowered runs of
+    non-space bytes; they and the shingles are told apart by 128-bit digests. A text with fewer words than a
     shingle is one shingle; a null, empty or blank text has the empty set and
     links with nothing. Ties go to the smallest doc_id. An empty table gives an
     empty result. Rows with a null doc_id are ignored.
@@ -235,4 +233,4 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
 
 def op9_minhash(spark, sf_dir: str) -> DataFrame:
     """Three-word shingles, similarity 0.85, over the whole documents table."""
-    return near_duplicates(documents(spark, sf_dir), words=3, num=85, den=100)
+    return settled(spark, lambda: near_duplicates(documents(spark, sf_dir), words=3, num=85, den=100), "op9")

@@ -1,9 +1,9 @@
 """Token ids of whole texts from the ids of their segments, each encoded once.
 
 A text is cut only where no token of the vocabulary can reach across, so the
-concatenated ids of the segments are the ids of the whole text. Segments are
-known by a 64-bit hash of their bytes; two different ones among a worker's
-few million meet with a chance of about one in a million.
+concatenated ids of the segments are the ids of the whole text. A hash of its
+bytes leads to a remembered segment, and the bytes themselves are compared
+before its ids are taken, so ids never come from another segment.
 """
 
 from __future__ import annotations
@@ -12,10 +12,10 @@ from collections.abc import Callable
 
 import numpy as np
 
-from mailquarry.llm.bytetext import mix, pieces, powers
+from mailquarry.llm.bytetext import mix, pieces, powers, same_runs
 
 #: Segments remembered by a worker; the memory is emptied when it is full.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 #: Bytes that are cut and looked up at once.
 CHUNK = 1 << 20
 
@@ -36,9 +36,10 @@ class SegmentCache:
         self.hashes, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
         self.odd = np.zeros(0, np.uint8)
+        self.text, self.text_at, self.text_size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def noted(self, segments: list[bytes], ids: list[list[int]]) -> list[int]:
-        """Flags (1, 2 or both) of new segments; a text has the flags of all its segments."""
+        """A flag, 0 or 1, of each new segment; a text has the flags of all its segments."""
         return [0] * len(segments)
 
     def _rows(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -54,19 +55,31 @@ class SegmentCache:
         known[inside] = self.hashes[place[inside]] == found[inside]
         new = np.flatnonzero(~known)
         if len(new):
-            raw = data.tobytes()
-            segments = [raw[a : a + n] for a, n in zip(at[first[new]].tolist(), span[first[new]].tolist(), strict=True)]
-            ids = self.encode(segments)
-            self.odd = np.r_[self.odd, np.array(self.noted(segments, ids), np.uint8)]
-            sizes = np.array([len(x) for x in ids], np.int64)
-            rows = len(self.starts) + np.arange(len(new))
-            self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(sizes) - sizes]
-            self.sizes = np.r_[self.sizes, sizes]
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))])
+            rows = self._remember(data, at[first[new]], span[first[new]])
             self.hashes = np.insert(self.hashes, place[new], found[new])
             self.rows = np.insert(self.rows, place[new], rows)
             place = np.searchsorted(self.hashes, found)
-        return self.rows[place][back]
+        out = self.rows[place][back]
+        other = np.flatnonzero(~same_runs(data, at, span, self.text, self.text_at[out], self.text_size[out]))
+        if len(other):  # another segment has this hash: these are encoded by themselves and no hash leads to them
+            out[other] = self._remember(data, at[other], span[other])
+        return out
+
+    def _remember(self, data: np.ndarray, at: np.ndarray, span: np.ndarray) -> np.ndarray:
+        """Encode segments and append them to the memory; their rows."""
+        raw = data.tobytes()
+        segments = [raw[a : a + n] for a, n in zip(at.tolist(), span.tolist(), strict=True)]
+        ids = self.encode(segments)
+        self.odd = np.r_[self.odd, np.array(self.noted(segments, ids), np.uint8)]
+        sizes = np.array([len(x) for x in ids], np.int64)
+        rows = len(self.starts) + np.arange(len(at))
+        self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(sizes) - sizes]
+        self.sizes = np.r_[self.sizes, sizes]
+        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))])
+        self.text_at = np.r_[self.text_at, len(self.text) + np.cumsum(span) - span]
+        self.text_size = np.r_[self.text_size, span]
+        self.text = np.concatenate([self.text, np.frombuffer(b"".join(segments), np.uint8)])
+        return rows
 
     def ids(self, data: np.ndarray, offs: np.ndarray, end: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all texts, offsets into them, flags by text); ``end`` is appended to each text."""
@@ -80,7 +93,7 @@ class SegmentCache:
 
     def _piece(self, data: np.ndarray, offs: np.ndarray, end: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = len(offs) - 1
-        if len(self.hashes) > REMEMBERED:
+        if len(self.starts) > REMEMBERED or len(self.text) > 32 * REMEMBERED:
             self._forget()
         at, whole = self.cut(data, offs) if len(data) else (np.zeros(0, np.int64), np.zeros(n, bool))
         rows = self._rows(data, at) if len(at) else np.zeros(0, np.int64)
@@ -91,8 +104,8 @@ class SegmentCache:
         ids = self.flat[here]
         counts = np.diff(total[by])
         odd = np.zeros(n, np.uint8)
-        for bit in (1, 2) if len(rows) and self.odd.any() else ():
-            odd |= (np.diff(np.r_[0, np.cumsum(self.odd[rows] & bit > 0)][by]) > 0).astype(np.uint8) * bit
+        if len(rows) and self.odd.any():
+            odd = (np.diff(np.r_[0, np.cumsum(self.odd[rows] > 0)][by]) > 0).astype(np.uint8)
         if whole.any():
             parts = np.split(ids, np.cumsum(counts)[:-1])
             raw = data.tobytes()

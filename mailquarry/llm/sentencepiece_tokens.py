@@ -14,10 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailquarry.llm.bytetext import text_buffer
+from mailquarry.llm.bytetext import pieces, text_buffer
 from mailquarry.llm.segment_cache import SegmentCache
 from mailquarry.llm.storage import bounded_batches, documents, trimmed
 
+#: Threads of one call into the libraries; Spark's tasks already fill the cores, so few.
+THREADS = 2
 # Fixed values of the SentencePiece model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -131,7 +133,7 @@ class PieceTokenizer:
     file. ``threads`` is what one call of ``encode_batch`` may use.
     """
 
-    def __init__(self, path: str, threads: int = 1, verify: bool = True):
+    def __init__(self, path: str, threads: int = THREADS, verify: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         from tokenizers import Tokenizer, decoders, models, normalizers
@@ -150,7 +152,7 @@ class PieceTokenizer:
         self.hidden = {i for i, (_, _, t) in enumerate(m.pieces) if t == CONTROL}
         #: No piece has text and then a marker, so no token reaches over the start of a word.
         self.by_word = all(re.search(f"[^{SPACE}]{SPACE}", p) is None for p, _, t in m.pieces if t == NORMAL)
-        self.other = None
+        self.threads, self.other = threads, None
         if verify:
             import sentencepiece
 
@@ -193,31 +195,36 @@ class PieceTokenizer:
         return [e.ids for e in self.core.encode_batch([s.decode().replace(" ", SPACE) for s in segments], add_special_tokens=False)]
 
     def _noted(self, segments: list[bytes], ids: list[list[int]]) -> list[int]:
-        """1 where the other library gives other ids for a segment, 2 where decoding gives another text."""
-        texts = [s.decode() for s in segments]
+        """1 where decoding gives another text than the segment."""
         back = self.core.decode_batch(ids, skip_special_tokens=False)
-        flags = [2 * (x != t) for x, t in zip(back, texts, strict=True)]
-        if self.other is not None and self.plain and self.by_word:
-            ask = [k for k, t in enumerate(texts) if len(t) > 1]  # its own prefix stands for the first space
-            for k, theirs in zip(ask, self.other.encode([texts[k][1:] for k in ask]), strict=True):
-                flags[k] |= theirs != ids[k]
-        return flags
+        return [int(x != s.decode()) for x, s in zip(back, segments, strict=True)]
 
     def checked(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bool], list[bool]]:
         """(ids, offsets, whether the other library agrees, whether decoding gives the text back) of a buffer of texts.
 
-        Where tokens can't reach over words, both questions are asked once for
-        each distinct word; else the other library encodes every text.
+        The other library encodes every whole text. Decoding is asked once for
+        each distinct segment, as no piece reaches over two of them.
         """
         ready, at, same = self._normal_buffer(data, offs)
         ids, ends, flags = self.cache.ids(ready, at)
-        if self.other is None or (self.plain and self.by_word):
-            parity = (flags & 1 == 0).tolist()
-        else:
+        parity = np.ones(len(offs) - 1, bool)
+        if self.other is not None:
             raw = data.tobytes()
-            texts = [raw[a:b].decode() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
-            parity = [x == ids[a:b].tolist() for x, a, b in zip(self.other.encode(texts), ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-        return ids, ends, parity, (same & (flags & 2 == 0)).tolist()
+            for i, j in pieces(offs):
+                texts = [raw[a:b].decode() for a, b in zip(offs[i:j].tolist(), offs[i + 1 : j + 1].tolist(), strict=True)]
+                theirs = self.other.encode(texts, num_threads=self.threads)
+                size = np.array([len(x) for x in theirs])
+                flat = np.fromiter((x for ids_of in theirs for x in ids_of), np.uint32, int(size.sum()))
+                own, n = ids[ends[i] : ends[j]], np.diff(ends[i : j + 1])
+                parity[i:j] = n == size
+                if len(own) == len(flat) and parity[i:j].all():
+                    wrong = np.flatnonzero(own != flat)
+                    parity[i - 1 + np.searchsorted(ends[i : j + 1] - ends[i], wrong, "right")] = False
+                else:
+                    cut = np.r_[0, np.cumsum(size)]
+                    for k in np.flatnonzero(parity[i:j]):
+                        parity[i + k] = bool((ids[ends[i + k] : ends[i + k + 1]] == flat[cut[k] : cut[k + 1]]).all())
+        return ids, ends, parity.tolist(), (same & (flags & 1 == 0)).tolist()
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         raw = [t.encode() for t in texts]
@@ -236,7 +243,7 @@ class PieceTokenizer:
 _tokenizers: dict[tuple, PieceTokenizer] = {}
 
 
-def tokenizer(path: str, threads: int = 1, verify: bool = True) -> PieceTokenizer:
+def tokenizer(path: str, threads: int = THREADS, verify: bool = True) -> PieceTokenizer:
     """One tokenizer for each worker and model."""
     key = (path, threads, verify)
     if key not in _tokenizers:
@@ -244,10 +251,12 @@ def tokenizer(path: str, threads: int = 1, verify: bool = True) -> PieceTokenize
     return _tokenizers[key]
 
 
-def encode_documents(docs: DataFrame, path: str, threads: int = 1, keep_ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, threads: int = THREADS, keep_ids: bool = True) -> DataFrame:
     """(doc_id, n_tokens, ids_crc32, parity, round_trip[, ids]) for every whole text.
 
-    ``parity``: the sentencepiece library gives the same ids. ``round_trip``:
+    ``parity``: the sentencepiece library gives the same ids for the whole
+    text, which it encodes on its own. Every row gives one row, also with a
+    null or repeated doc_id. ``round_trip``:
     decoding gives the text back; it is false where the text holds the space
     marker itself or the normaliser changes it. A null or empty text has no
     ids. Columns other than doc_id and text are not looked at.

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -9,7 +11,10 @@ from hypothesis import strategies as st
 from pyarrow import fs
 from tokenizers import Tokenizer
 
-from mailquarry.llm import dac_tokens as d
+sys.path.insert(0, str(Path(__file__).parent))
+from words import thue_morse  # noqa: E402
+
+from mailquarry.llm import dac_tokens as d  # noqa: E402
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ENCODER = d.byte_level_encoder(PATH)
@@ -66,3 +71,16 @@ def test_odd_rows_and_files(spark, tmp_path):
     docs = [x for f in sorted(files, key=lambda f: f.base_name) for x in d.Shard(open(f.path, "rb").read()).doc_ids.tolist()]
     assert docs == sorted(a for a, _ in rows)
     assert d.token_files(df.limit(0), PATH, f"file://{tmp_path}/none").collect() == []
+
+
+def test_words_that_a_polynomial_hash_confuses(spark, tmp_path):
+    x, y = thue_morse()
+    rows = [(1, f"{x} and {y}"), (2, y), (3, x), (4, f"{y} {y} {x}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    check(rows, d.token_files(df, PATH, f"file://{tmp_path}/t").collect())
+
+
+def test_repeated_rows_are_written_each(spark, tmp_path):
+    df = spark.createDataFrame([(5, "b c"), (5, "b c"), (5, "a"), (9, None), (None, "lost")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.start, r.n_tokens) for r in d.token_files(df, PATH, f"file://{tmp_path}/r").collect())
+    assert [g[0] for g in got] == [5, 5, 5, 9] and [g[1] for g in got] == [0, len(plain("a")), len(plain("a")) + len(plain("b c")), len(plain("a")) + 2 * len(plain("b c"))]

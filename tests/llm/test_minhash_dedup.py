@@ -2,10 +2,15 @@ from __future__ import annotations
 
 import random
 import re
+import sys
 from collections import defaultdict
+from pathlib import Path
 
-from mailquarry.llm.components import connected_components
-from mailquarry.llm.minhash_dedup import near_duplicates, op9_minhash
+sys.path.insert(0, str(Path(__file__).parent))
+from words import thue_morse  # noqa: E402
+
+from mailquarry.llm.components import connected_components  # noqa: E402
+from mailquarry.llm.minhash_dedup import near_duplicates, op9_minhash  # noqa: E402
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -76,3 +81,15 @@ def test_components_of_chains_stars_and_loops(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     want = {i: 0 for i in range(41)} | {x: 100 for x in range(100, 160)} | {200: 200, 300: 300, 301: 300}
     assert got == want
+
+
+def test_words_that_a_polynomial_hash_confuses(spark):
+    x, y = thue_morse()
+    rows = [(1, x), (2, y), (3, f"{x} {x} {y}"), (4, f"{y} {y} {x}"), (5, f"{x} {x} {y}")]
+    assert result(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=3, num=85)) == brute(rows, 3, 85, 100)
+
+
+def test_repeated_and_null_ids(spark):
+    rows = [(7, "a b c d"), (7, "a b c d"), (7, "other words stand here"), (3, "a b c d"), (None, "a b c d"), (8, None)]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=3).collect())
+    assert got == [(3, 3, True), (7, 3, False), (7, 3, False), (7, 7, True), (8, 8, True)]

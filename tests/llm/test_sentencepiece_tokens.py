@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import struct
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -10,7 +12,10 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from mailquarry.llm import sentencepiece_tokens as s
+sys.path.insert(0, str(Path(__file__).parent))
+from words import thue_morse  # noqa: E402
+
+from mailquarry.llm import sentencepiece_tokens as s  # noqa: E402
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 MINE = s.PieceTokenizer(PATH)
@@ -89,3 +94,21 @@ def test_broken_model(tmp_path):
     (tmp_path / "x.model").write_bytes(b"\x0a\xff\x01abc")
     with pytest.raises(ValueError):
         s.PieceTokenizer(str(tmp_path / "x.model"))
+
+
+def test_words_that_a_polynomial_hash_confuses():
+    x, y = thue_morse()
+    texts = [f"{x} and {y}", y, x, f"{y} {x}"]
+    raw = [t.encode() for t in texts]
+    ids, at, parity, trip = s.PieceTokenizer(PATH).checked(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(t) for t in raw])])
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == THEIRS.encode(texts)
+    assert all(parity) and all(trip)
+
+
+def test_parity_sees_a_wrong_id():
+    tok = s.PieceTokenizer(PATH)
+    tok.encode_batch(["one two three"])
+    tok.cache.flat[tok.cache.starts[1]] += 1
+    raw = "one two three" + "three one" + "four"
+    _, _, parity, _ = tok.checked(np.frombuffer(raw.encode(), np.uint8), np.array([0, 13, 22, 26]))
+    assert parity.count(False) >= 1 and parity[2]
