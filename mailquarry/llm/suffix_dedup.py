@@ -32,6 +32,9 @@ CHUNK, SORTED = 20_000, 30_000
 BROADCAST_IDS = 1_000_000
 _B = np.uint64(0x9E3779B97F4A7C15)
 _LOW39 = np.uint64((1 << 39) - 1)
+#: Bytes of text in one part of the corpus, about; the number of parts follows from the input.
+PART_BYTES = 32 << 20
+_C, _D = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
 def rolling(data: np.ndarray, k: int) -> np.ndarray:
@@ -91,6 +94,32 @@ def contexts(data: np.ndarray, offs: np.ndarray, at: np.ndarray, of: np.ndarray,
     return out, left, right
 
 
+def context_codes(full: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each row of bytes (a multiple of 8 wide), as two 64-bit lanes."""
+    one, two = np.zeros(len(full), np.uint64), np.zeros(len(full), np.uint64)
+    with np.errstate(over="ignore"):
+        for w in full.view("<u8").T:
+            one = mix(one * _B + w + np.uint64(1))
+            two = mix((two ^ w) * _C + _D)
+    return one, two
+
+
+def equal_groups(ctx: np.ndarray) -> tuple[np.ndarray, int]:
+    """(group of each row, number of groups): rows of a group have the same bytes, compared whole."""
+    wide = -(-ctx.shape[1] // 8) * 8
+    code = np.zeros(len(ctx), np.uint64)
+    for a in range(0, len(ctx), CHUNK):
+        full = np.zeros((len(ctx[a : a + CHUNK]), wide), np.uint8)
+        full[:, : ctx.shape[1]] = ctx[a : a + CHUNK]
+        code[a : a + CHUNK] = context_codes(full)[0]
+    _, first, back = np.unique(code, return_index=True, return_inverse=True)
+    model = first[back]
+    odd = [a + np.flatnonzero((ctx[a : a + CHUNK] != ctx[model[a : a + CHUNK]]).any(1)) for a in range(0, len(ctx), CHUNK)]
+    odd = np.concatenate(odd) if odd else np.zeros(0, np.int64)
+    back[odd] = len(first) + np.arange(len(odd))
+    return back, len(first) + len(odd)
+
+
 def _words(padded: np.ndarray, at: np.ndarray, span: int) -> list[np.ndarray]:
     """The ``span`` bytes from each position as big-endian 64-bit words."""
     view = np.ndarray((padded.size - 8,), ">u8", padded, 0, (1,))
@@ -276,10 +305,11 @@ def _context_rows(texts: pa.Table, shared: pa.Table, buckets: int, span: int, gr
         tid = texts.column("tid").to_numpy()
         data, offs = text_buffer(texts.column("text"))
         size = -(-(width + 2) // 8) * 8
-        kind = np.dtype([("code", "<u8"), ("doc", "<i8"), ("ctx", "u1", size)])
-        seen = np.zeros(0, np.uint64)
+        kind = np.dtype([("id", "<u4"), ("doc", "<i8"), ("ctx", "u1", width + 2)])
+        seen, other, number = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint32)  # both lanes and the id of each context
         blobs: dict[int, list[bytes]] = {}
         occ: list[bytes] = []
+        made = 0
         for i, j in pieces(offs, PIECE):
             own, at_offs = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
             at, h, of = anchors(own, at_offs, span, gram)
@@ -297,23 +327,29 @@ def _context_rows(texts: pa.Table, shared: pa.Table, buckets: int, span: int, gr
                 a, o, b_of = at[k : k + CHUNK], of[k : k + CHUNK], bucket[k : k + CHUNK]
                 full = np.zeros((len(a), size), np.uint8)
                 full[:, :width], full[:, width], full[:, width + 1] = contexts(own, at_offs, a, o, span, gram)
-                code = np.zeros(len(a), np.uint64)
-                with np.errstate(over="ignore"):
-                    for w in full.view("<u8").T:
-                        code = mix(code * _B + w + np.uint64(1))
-                where = np.zeros(len(a), [("code", "<u8"), ("text", "<i4"), ("at", "<i4")])
-                where["code"], where["text"], where["at"] = code, o + i, a - at_offs[o]
-                occ.append(where.tobytes())
-                found, first = np.unique(code, return_index=True)
+                one, two = context_codes(full)
+                found, first, back = np.unique(one, return_index=True, return_inverse=True)
                 spot = np.searchsorted(seen, found)
                 spot[spot == len(seen)] = 0
                 new = seen[spot] != found if len(seen) else np.ones(len(found), bool)
-                found, first = found[new], first[new]
-                seen = np.insert(seen, np.searchsorted(seen, found), found)
-                first = first[np.argsort(b_of[first], kind="stable")]
-                rec = np.zeros(len(first), kind)
-                rec["code"], rec["doc"], rec["ctx"] = code[first], doc[o[first] + i], full[first]
-                cut = np.searchsorted(b_of[first], np.arange(buckets + 1))
+                lane, ids = two[first], np.zeros(len(found), np.int64)
+                lane[~new], ids[~new] = other[spot[~new]], number[spot[~new]]
+                ids[new] = made + np.arange(new.sum())
+                made += int(new.sum())
+                ids_of = ids[back]
+                odd = np.flatnonzero(two != lane[back])  # another context with this first lane: sent for itself
+                ids_of[odd] = made + np.arange(len(odd))
+                made += len(odd)
+                where = np.zeros(len(a), [("id", "<u4"), ("text", "<i4"), ("at", "<i4")])
+                where["id"], where["text"], where["at"] = ids_of, o + i, a - at_offs[o]
+                occ.append(where.tobytes())
+                sent = np.concatenate([first[new], odd])
+                put = np.searchsorted(seen, found[new])
+                seen, other, number = np.insert(seen, put, found[new]), np.insert(other, put, lane[new]), np.insert(number, put, ids[new].astype(np.uint32))
+                sent = sent[np.argsort(b_of[sent], kind="stable")]
+                rec = np.zeros(len(sent), kind)
+                rec["id"], rec["doc"], rec["ctx"] = ids_of[sent], doc[o[sent] + i], full[sent, : width + 2]
+                cut = np.searchsorted(b_of[sent], np.arange(buckets + 1))
                 for b in np.flatnonzero(np.diff(cut)):
                     blobs.setdefault(int(b), []).append(rec[cut[b] : cut[b + 1]].tobytes())
         if occ:
@@ -328,19 +364,20 @@ def _context_rows(texts: pa.Table, shared: pa.Table, buckets: int, span: int, gr
 
 def _sorted_rows(span: int, gram: int):
     width, starts = 2 * span - gram, span - gram + 1
-    kind = np.dtype([("code", "<u8"), ("doc", "<i8"), ("ctx", "u1", -(-(width + 2) // 8) * 8)])
-    runs_kind = np.dtype([("code", "<u8"), ("doc", "<i8"), ("from", "u1"), ("to", "u1")])
+    kind = np.dtype([("id", "<u4"), ("doc", "<i8"), ("ctx", "u1", width + 2)])
+    runs_kind = np.dtype([("id", "<u4"), ("doc", "<i8"), ("from", "u1"), ("to", "u1")])
 
     def sort(table: pa.Table) -> pa.Table:
         """One shard -> for each part the runs of offsets of its contexts with the smallest document that has the string."""
         trimmed()
         blobs = [np.frombuffer(b, kind) for b in table.column("blob").to_pylist()]
-        part = np.repeat(np.array(table.column("part").to_pylist()), [len(b) for b in blobs])
+        cuts = np.r_[0, np.cumsum([len(b) for b in blobs])]
         rec = np.concatenate(blobs)
-        code, back = np.unique(rec["code"], return_inverse=True)
-        doc = np.full(len(code), np.iinfo(np.int64).max)
+        blobs.clear()
+        back, groups = equal_groups(rec["ctx"])
+        doc = np.full(groups, np.iinfo(np.int64).max)
         np.minimum.at(doc, back, rec["doc"])
-        one = np.zeros(len(code), np.int64)
+        one = np.zeros(groups, np.int64)
         one[back] = np.arange(len(rec))
         ctx = rec["ctx"][one]
         # shards of text of a bounded size: equal strings have equal anchors, so anchors are never split
@@ -362,19 +399,25 @@ def _sorted_rows(span: int, gram: int):
             if len(row):
                 first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (off[1:] != off[:-1] + 1) | (least[1:] != least[:-1])])
                 last = np.r_[first[1:] - 1, len(row) - 1]
-                runs = np.zeros(len(first), runs_kind)
-                runs["code"], runs["doc"], runs["from"], runs["to"] = code[row[first]], least[first], off[first], off[last]
+                runs = np.zeros(len(first), [("group", "<i8"), *runs_kind.descr[1:]])
+                runs["group"], runs["doc"], runs["from"], runs["to"] = row[first], least[first], off[first], off[last]
                 result.append(runs)
             a = b
-        runs = np.concatenate(result) if result else np.zeros(0, runs_kind)
-        runs = runs[np.argsort(runs["code"], kind="stable")]
+        if not result:
+            return pa.table({"part": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())})
+        runs = np.concatenate(result)
+        runs = runs[np.argsort(runs["group"], kind="stable")]
         out = []
-        for p in np.unique(part):
-            mine = np.unique(rec["code"][part == p])
-            lo, hi = np.searchsorted(runs["code"], mine), np.searchsorted(runs["code"], mine, "right")
+        for p, a, b in zip(table.column("part").to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            mine = back[a:b]
+            lo, hi = np.searchsorted(runs["group"], mine), np.searchsorted(runs["group"], mine, "right")
             n = hi - lo
             take = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-            out.append((int(p), runs[take].tobytes()))
+            told = np.zeros(len(take), runs_kind)
+            told["id"] = np.repeat(rec["id"][a:b], n)
+            for x in ("doc", "from", "to"):
+                told[x] = runs[x][take]
+            out.append((int(p), told.tobytes()))
         trimmed()
         return pa.table({"part": pa.array([p for p, _ in out], pa.int32()), "blob": pa.array([x for _, x in out], pa.binary())})
 
@@ -385,11 +428,11 @@ def _sorted_rows(span: int, gram: int):
         if not places.num_rows or not runs.num_rows:
             return pa.table(empty)
         blob = dict(zip(places.column("bucket").to_pylist(), places.column("blob").to_pylist(), strict=True))
-        occ = np.frombuffer(blob[-1], [("code", "<u8"), ("text", "<i4"), ("at", "<i4")])
+        occ = np.frombuffer(blob[-1], [("id", "<u4"), ("text", "<i4"), ("at", "<i4")])
         doc, tid = np.frombuffer(blob[-2], "<i8").reshape(2, -1)
         r = np.concatenate([np.frombuffer(b, runs_kind) for b in runs.column("blob").to_pylist()])
-        r = r[np.argsort(r["code"], kind="stable")]
-        lo, hi = np.searchsorted(r["code"], occ["code"]), np.searchsorted(r["code"], occ["code"], "right")
+        r = r[np.argsort(r["id"], kind="stable")]
+        lo, hi = np.searchsorted(r["id"], occ["id"]), np.searchsorted(r["id"], occ["id"], "right")
         n = hi - lo
         take = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
         o = np.repeat(np.arange(len(occ)), n)
@@ -437,7 +480,6 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> tuple
     the texts that lose something but not everything; kept is binary. Then the catalog table of the texts and its place, to drop later."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     info = base.select("doc_id", F.xxhash64("text").alias("tid"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha256"))
@@ -445,6 +487,8 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> tuple
     info = stored(info, "texts_info")
     firsts = info.where(F.col("n_bytes") >= span).groupBy("sha256").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     info, _ = stored_at(info.join(firsts.where("copies > 1").select("sha256", "first"), "sha256", "left"), "texts_info")
+    whole = info.agg(F.sum("n_bytes")).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-whole // PART_BYTES))
     copies = info.where("first < doc_id").select("doc_id", "tid")
     few = copies.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     own = base.where(F.octet_length("text") >= span).withColumn("tid", F.xxhash64("text")).join(F.broadcast(copies) if few else copies, ["doc_id", "tid"], "left_anti")

@@ -3,9 +3,15 @@ from __future__ import annotations
 import hashlib
 import random
 
+import sys
+from pathlib import Path
+
 import numpy as np
 
-from mailquarry.llm import suffix_dedup as s
+sys.path.insert(0, str(Path(__file__).parent))
+from words import thue_morse  # noqa: E402
+
+from mailquarry.llm import suffix_dedup as s  # noqa: E402
 
 
 def brute(rows, span=50):
@@ -75,3 +81,17 @@ def test_repeated_rows_that_lose_a_part(spark):
     rows = [(1, word(40) + shared), (2, word(30) + shared + word(20)), (3, shared)]
     df = spark.createDataFrame(rows + [rows[1]] * 2 + [rows[2]], "doc_id long, text string")
     assert result(s.remove_repeats(df)) == brute(rows)
+
+
+def test_words_that_a_polynomial_hash_confuses(spark):
+    x, y = thue_morse()
+    rows = [(1, f"{x} and"), (2, y), (3, f"{y} {x}"), (4, f"no {y}"), (5, x[:700] + y[700:])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(s.remove_repeats(df)) == brute(rows)
+
+
+def test_contexts_with_one_code_stay_apart(monkeypatch):
+    rows = np.array([[1, 2, 3], [1, 2, 4], [1, 2, 3], [9, 9, 9]], np.uint8)
+    monkeypatch.setattr(s, "context_codes", lambda full: (np.zeros(len(full), np.uint64),) * 2)
+    back, groups = s.equal_groups(rows)
+    assert back[0] == back[2] and len({back[0], back[1], back[3]}) == 3 == groups
