@@ -11,33 +11,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailquarry.llm.bytetext import pieces, text_buffer
-from mailquarry.llm.sampling import bounded_sample, fold
+from mailquarry.llm.sampling import bounded_sample, fold, piece_of
 from mailquarry.llm.storage import bounded_batches, documents, trimmed
 
-#: Training documents for each language, and the longest text among them, in characters.
-SAMPLE_DOCS, SAMPLE_CHARS = 300, 20_000
-#: Contexts kept at the highest order (those seen most often); the others are shortened by one byte.
-MAX_CONTEXTS = 16_000
+#: Training documents for each language, and the characters that are learned from in a longer text.
+SAMPLE_DOCS, SAMPLE_CHARS = 300, 4_000
+#: Languages that are learned, those with the most documents first.
+LANGUAGES = 400
+#: Bytes of a model; where the sample gives a larger one, half as many documents are learned from.
+MODEL_BYTES = 200 << 20
+#: Bytes of the longest context.
+ORDER = 3
+#: Code lengths that are held at once.
+CELLS = 4 << 20
 UNDETERMINED = "und"
 
 
+@dataclass
+class Contexts:
+    """The contexts of one length, for all languages: a row of the tree's nodes at that depth.
+
+    ``known`` has the contexts and ``escape`` what it costs each language to
+    leave them; ``pair`` has every byte that followed one (context * 256 +
+    symbol) and ``bits`` its whole code length in each language.
+    """
+
+    known: np.ndarray
+    escape: np.ndarray
+    pair: np.ndarray
+    bits: np.ndarray
+
+
 @dataclass
 class PpmModel:
-    """Frozen statistics: the code length of each byte in each context, for all languages at once.
+    """Frozen statistics of all languages: context trees by depth, every context that was seen.
 
-    ``symbol`` maps a byte to its code (0: never seen in training), ``row``
-    maps the three codes before a byte to the longest known context, ``bits``
-    holds a row of code lengths for each context and code.
+    ``symbol`` maps a byte to its code (0: never seen in training); ``bits0``
+    has the code lengths without a context, ``levels`` the contexts of one
+    byte, two bytes and so on.
     """
 
     languages: list[str]
     symbol: np.ndarray
-    row: np.ndarray
-    bits: np.ndarray
+    bits0: np.ndarray
+    levels: list[Contexts]
 
     @property
-    def width(self) -> int:
-        return self.bits.shape[1]
+    def nbytes(self) -> int:
+        return self.bits0.nbytes + sum(x.nbytes for level in self.levels for x in vars(level).values())
 
 
 def folded(data: np.ndarray) -> np.ndarray:
@@ -51,25 +72,49 @@ def folded(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def _contexts(code: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The 1, 2 and 3 codes before each byte, as numbers; 0 before a text's start."""
-    before = []
+def _contexts(code: np.ndarray, offs: np.ndarray, order: int) -> list[np.ndarray]:
+    """The 1, 2, ... codes before each byte, as numbers of eight bits a code; 0 before a text's start."""
     starts, ends = offs[:-1], offs[1:]
-    for k in (1, 2, 3):
-        c = np.zeros(len(code), np.int32)
+    out, acc = [], np.zeros(len(code), np.uint64)
+    for k in range(1, order + 1):
+        c = np.zeros(len(code), np.uint64)
         c[k:] = code[:-k] if k < len(code) else c[k:]
         for j in range(k):
             at = starts + j
             c[at[at < ends]] = 0
-        before.append(c)
-    one = before[0]
-    two = before[1] * width + one
-    three = (before[2] * width + before[1]) * width + one
-    return one, two, three
+        acc = acc | (c << np.uint64(8 * (k - 1)))
+        out.append(acc)
+    return out
 
 
-def fit(samples: dict[str, list[str]]) -> PpmModel:
-    """Count contexts of up to three bytes for each language and freeze the code lengths.
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row of each wanted key, whether it is there)."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.searchsorted(keys, wanted)
+    at[at == len(keys)] = 0
+    return at, keys[at] == wanted
+
+
+def _lengths(bits0: np.ndarray, levels: list[Contexts], ctx: list[np.ndarray], code: np.ndarray) -> np.ndarray:
+    """Code length of each byte in each language: in its longest known context, or after the escapes from there."""
+    out = np.zeros((len(code), bits0.shape[1]), np.float32)
+    open_ = np.arange(len(code))
+    for k in range(len(levels), 0, -1):
+        if not len(open_):
+            return out
+        level, here = levels[k - 1], ctx[k - 1][open_]
+        at, hit = _found(level.pair, (here << np.uint64(8) | code[open_]).astype(level.pair.dtype))
+        out[open_[hit]] += level.bits[at[hit]]
+        open_, here = open_[~hit], here[~hit]
+        at, hit = _found(level.known, here.astype(level.known.dtype))
+        out[open_[hit]] += level.escape[at[hit]]
+    out[open_] += bits0[code[open_].astype(np.int64)]
+    return out
+
+
+def fit(samples: dict[str, list[str]], order: int = ORDER) -> PpmModel:
+    """Count every context of up to ``order`` (7 at most) bytes for each language and freeze the code lengths.
 
     A seen byte costs -log2(n / (T + D)), an unseen one first pays the escape
     -log2(D / (T + D)) and is then coded in the context that is one byte
@@ -79,59 +124,42 @@ def fit(samples: dict[str, list[str]]) -> PpmModel:
     languages = sorted(samples)
     texts = {x: [t.encode() for t in samples[x]] for x in languages}
     raw = {x: folded(np.frombuffer(b"".join(texts[x]), np.uint8)) for x in languages}
-    offs = {x: np.r_[0, np.cumsum([len(t) for t in texts[x]])].astype(np.int64) for x in languages}
     seen = np.zeros(256, bool)
     for x in languages:
-        seen[np.unique(raw[x])] = True
-    symbol = np.zeros(256, np.int32)
-    symbol[seen] = np.arange(1, seen.sum() + 1)
-    a = int(seen.sum()) + 1
-    coded = {x: symbol[raw[x]] for x in languages}
-    parts = {x: _contexts(coded[x], offs[x], a) for x in languages}
-
-    total3: dict[int, int] = {}
-    total2: set[int] = set()
-    for x in languages:
-        _, two, three = parts[x]
-        total2.update(np.unique(two).tolist())
-        keys, n = np.unique(three, return_counts=True)
-        for k, c in zip(keys.tolist(), n.tolist(), strict=True):
-            total3[k] = total3.get(k, 0) + c
-    known2 = np.array(sorted(total2), np.int64)
-    known3 = np.array(sorted(k for k, _ in sorted(total3.items(), key=lambda kv: (-kv[1], kv[0]))[:MAX_CONTEXTS]), np.int64)
-    rows = a + len(known2) + len(known3)
-    bits = np.zeros((rows, a, len(languages)), np.float32)
-
-    def coded_lengths(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-        total, different = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-        whole = np.maximum(total + different, 1)
-        with np.errstate(divide="ignore"):
-            hit = -np.log2(counts / whole)
-            escape = np.where(total > 0, -np.log2(np.maximum(different, 1) / whole), 0.0)
-        return np.where(counts > 0, hit, escape + shorter)
-
+        seen[raw[x]] = True
+    symbol = np.zeros(256, np.uint8)
+    symbol[seen] = np.arange(1, seen.sum() + 1)  # UTF-8 has 243 different bytes
+    many = len(languages)
+    bits0 = np.full((256, many), 8.0, np.float32)
+    keys: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(order)]
     for k, x in enumerate(languages):
-        one, two, three = parts[x]
-        s = coded[x]
-        order0 = coded_lengths(np.bincount(s, minlength=a)[None].astype(float), np.full((1, a), 8.0))
-        order1 = coded_lengths(np.bincount(one * a + s, minlength=a * a).reshape(a, a).astype(float), order0)
-
-        def counted(known: np.ndarray, ctx: np.ndarray, s: np.ndarray = s) -> np.ndarray:
-            at = np.searchsorted(known, ctx)
-            at[at == len(known)] = 0
-            ok = known[at] == ctx if len(known) else np.zeros(len(ctx), bool)
-            return np.bincount(at[ok] * a + s[ok], minlength=len(known) * a).reshape(len(known), a).astype(float)
-
-        order2 = coded_lengths(counted(known2, two), order1[known2 % a])
-        down = np.searchsorted(known2, known3 % (a * a))
-        order3 = coded_lengths(counted(known3, three), order2[down])
-        bits[:, :, k] = np.concatenate([order1, order2, order3])
-
-    row2 = np.arange(a * a, dtype=np.int32) % a
-    row2[known2] = a + np.arange(len(known2), dtype=np.int32)
-    row = np.tile(row2, a)
-    row[known3] = a + len(known2) + np.arange(len(known3), dtype=np.int32)
-    return PpmModel(languages, symbol, row, bits)
+        code = symbol[raw[x]].astype(np.uint64)
+        n = np.bincount(code.astype(np.int64), minlength=256).astype(float)
+        if n.sum():
+            whole, different = n.sum() + (n > 0).sum(), (n > 0).sum()
+            bits0[:, k] = np.where(n > 0, -np.log2(np.maximum(n, 1) / whole), 8 - np.log2(different / whole))
+        ctx = _contexts(code, np.r_[0, np.cumsum([len(t) for t in texts[x]])].astype(np.int64), order)
+        for d in range(order):
+            keys[d].append(np.unique(ctx[d] << np.uint64(8) | code, return_counts=True))
+    levels: list[Contexts] = []
+    for d in range(order):
+        kind = np.uint32 if d < 3 else np.uint64
+        pair = np.unique(np.concatenate([p for p, _ in keys[d]] or [np.zeros(0, np.uint64)]))
+        known, of = np.unique(pair >> np.uint64(8), return_inverse=True)
+        escape = np.zeros((len(known), many), np.float32)
+        # without an own count: the escape, if the language has the context, and then the shorter context
+        lower = [known_k[of] for known_k in ([known & np.uint64((1 << 8 * k) - 1) for k in range(1, d + 1)])]
+        bits = _lengths(bits0, levels, lower, pair & np.uint64(255))
+        for k, (own, n) in enumerate(keys[d]):
+            at = np.searchsorted(pair, own)
+            total = np.bincount(of[at], weights=n, minlength=len(known))
+            different = np.bincount(of[at], minlength=len(known))
+            whole = total + different
+            escape[:, k] = np.where(total > 0, -np.log2(np.maximum(different, 1) / np.maximum(whole, 1)), 0)
+            bits[:, k] += escape[of, k]
+            bits[at, k] = -np.log2(n / whole[of[at]])
+        levels.append(Contexts(known.astype(kind), escape, pair.astype(kind), bits))
+    return PpmModel(languages, symbol, bits0, levels)
 
 
 def code_lengths(model: PpmModel, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -139,27 +167,36 @@ def code_lengths(model: PpmModel, data: np.ndarray, offs: np.ndarray) -> np.ndar
     out = np.zeros((len(offs) - 1, len(model.languages)))
     if not len(data):
         return out
-    a = model.width
-    code = model.symbol[folded(data)]
-    _, _, three = _contexts(code, offs, a)
-    at = model.row[three]
-    at *= a
-    at += code
-    each = np.take(model.bits.reshape(-1, len(model.languages)), at, axis=0)
-    full = np.flatnonzero(np.diff(offs) > 0)
-    out[full] = np.add.reduceat(each, offs[full], axis=0, dtype=np.float64)
+    code = model.symbol[folded(data)].astype(np.uint64)
+    ctx = _contexts(code, offs, len(model.levels))
+    step = max(4096, CELLS // len(model.languages))
+    for a in range(0, len(code), step):
+        b = min(a + step, len(code))
+        each = _lengths(model.bits0, model.levels, [c[a:b] for c in ctx], code[a:b])
+        first = np.unique(np.maximum(offs[np.searchsorted(offs, a, "right") - 1 : np.searchsorted(offs, b)], a))
+        out[np.searchsorted(offs, first, "right") - 1] += np.add.reduceat(each, first - a, axis=0, dtype=np.float64)
     return out
 
 
 def train(docs: DataFrame, per_language: int = SAMPLE_DOCS, max_chars: int = SAMPLE_CHARS) -> PpmModel | None:
-    """Fit on a bounded sample of the rows with a language; None if there are none."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars) & (F.length("text") > 0))
-    ids = bounded_sample(rows, "lang", "doc_id", per_language)
+    """Fit on a bounded sample of the rows with a language; None if there are none.
+
+    Of a text longer than ``max_chars`` a piece of that length is learned from.
+    """
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
+    most = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    ids = bounded_sample(rows.where(F.col("lang").isin(most)), "lang", "doc_id", per_language)
     samples: dict[str, list[str]] = {}
-    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").collect()
+    found = docs.select("doc_id", piece_of("text", "doc_id", max_chars).alias("text")).join(F.broadcast(ids), "doc_id").collect()
     for r in sorted(found, key=lambda r: (r.lang, r.doc_id, r.text or "")):
         samples.setdefault(r.lang, []).append(r.text or "")
-    return fit(samples) if samples else None
+    if not samples:
+        return None
+    model = fit(samples)
+    while model.nbytes > MODEL_BYTES and max(map(len, samples.values())) > 1:
+        samples = {x: t[: -(-len(t) // 2)] for x, t in samples.items()}
+        model = fit(samples)
+    return model
 
 
 def lettered(text: Column) -> Column:
@@ -173,8 +210,9 @@ def identify(docs: DataFrame, model: PpmModel | None) -> DataFrame:
     The prediction is the language with the shortest code for the whole text,
     the first by name among equals; the score is its posterior probability
     under equal priors. A null, empty or letterless text is ``und`` with
-    score 0, and so is every text if no language was learned. Columns other
-    than doc_id and text are not looked at.
+    score 0, and so is every text if no language was learned. Every row gives
+    one row, also with a null or repeated doc_id. Columns other than doc_id and
+    text are not looked at.
     """
     spark = docs.sparkSession
     bounded_batches(spark)

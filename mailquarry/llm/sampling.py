@@ -11,6 +11,13 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % parts
 
 
+def piece_of(text: str, order: str, size: int) -> Column:
+    """A text of at most ``size`` characters, or a piece of that length from a place that a hash of ``order`` gives."""
+    spare = F.length(text) - F.lit(size)
+    at = F.when(spare > 0, F.pmod(F.xxhash64(F.lit(29), order), spare.cast("bigint") + 1).cast("int")).otherwise(0)
+    return F.col(text).substr(at + 1, F.lit(size))
+
+
 #: Values of the group column whose counts are broadcast; beyond it they are joined by shuffle.
 BROADCAST_GROUPS = 50_000
 

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from mailquarry.llm.ppm_language import code_lengths, fit, folded, identify, op10_ppm
+from mailquarry.llm.ppm_language import code_lengths, fit, folded, identify, op10_ppm, train
 
 
 def brute_bits(sample, text):
@@ -38,6 +38,32 @@ def brute_bits(sample, text):
     return bits
 
 
+def brute_many(sample, rows, symbol):
+    """As brute_bits, with the symbols of a model of several languages and the counts made once."""
+    fold = lambda t: bytes(folded(np.frombuffer(t.encode(), np.uint8)).tolist())
+    counts = defaultdict(Counter)
+    for t in sample:
+        xs = [0, 0, 0] + [int(symbol[b]) for b in fold(t)]
+        for i in range(3, len(xs)):
+            for k in range(4):
+                counts[tuple(xs[i - k : i])][xs[i]] += 1
+    out = []
+    for r in rows:
+        bits, xs = 0.0, [0, 0, 0] + [int(symbol[b]) for b in fold(r.text)]
+        for i in range(3, len(xs)):
+            for k in (3, 2, 1, 0, -1):
+                c = counts.get(tuple(xs[i - k : i])) if k >= 0 else None
+                if k < 0:
+                    bits += 8
+                elif c:
+                    whole = sum(c.values()) + len(c)
+                    bits -= math.log2((c[xs[i]] or len(c)) / whole)
+                    if c[xs[i]]:
+                        break
+        out.append(bits)
+    return out
+
+
 def test_code_lengths_match_brute_force():
     sample = ["The cat sat on the mat", "a bat And the hat", "été à la plage"]
     model = fit({"x": sample})
@@ -47,6 +73,32 @@ def test_code_lengths_match_brute_force():
         assert got == pytest.approx(brute_bits(sample, text), rel=1e-4, abs=1e-3)
 
 
+def test_code_lengths_of_real_texts_match_brute_force(spark, small):
+    """All statistics of a large sample: no context is left out, and texts are scored whole."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").where("text is not null").orderBy("doc_id").limit(700).collect()
+    samples = {x: [r.text for r in docs if r.lang == x][:150] for x in sorted({r.lang for r in docs if r.lang})}
+    model = fit(samples)
+    assert sum(len(level.known) for level in model.levels) > 5000
+    texts = [r.text.encode() for r in docs[-12:]]
+    got = code_lengths(model, np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])])
+    for k, x in enumerate(model.languages):
+        want = brute_many(samples[x], docs[-12:], model.symbol)
+        assert np.allclose(got[:, k], want, rtol=1e-4)
+
+
+def test_learns_from_long_texts_only(spark):
+    rows = [(d, ("the and of that " if d % 2 else "le la les des ") * 2000, "en" if d % 2 else "fr") for d in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = identify(docs, train(docs)).collect()
+    assert [r.lang_pred for r in sorted(got, key=lambda r: r.doc_id)] == [x for *_, x in rows]
+
+
+def test_ties_go_to_the_first_name(spark):
+    model = fit({"b": ["same text"] * 3, "a": ["same text"] * 3})
+    got = identify(spark.createDataFrame([(1, "same"), (1, "same"), (None, "text")], "doc_id long, text string"), model).collect()
+    assert [(r.lang_pred, round(r.score, 6)) for r in got] == [("a", 0.5)] * 3
+
+
 def test_texts_do_not_leak_into_each_other():
     model = fit({"x": ["abc abc"], "y": ["xyz xyz"]})
     texts = [b"abc", b"", b"xyz", b"ab"]
