@@ -15,7 +15,7 @@ from mailquarry.llm.sampling import fold
 from mailquarry.llm.storage import bounded_batches, documents, trimmed
 from mailquarry.llm.toxic_segments import labelled_sample
 
-#: Labelled documents for each class, and the longest text among them, in characters.
+#: Labelled documents for each class, and the characters that are learned from in a longer text.
 SAMPLE_DOCS, SAMPLE_CHARS = 1500, 12_000
 #: Bytes of a passage; the last one of a text may be shorter.
 PASSAGE = 400
@@ -69,7 +69,8 @@ def encode(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     shares = np.bincount(pair, minlength=len(out) * _CLASSES * _CLASSES).reshape(len(out), -1)
     length = np.bincount(passage, minlength=len(out))
     out[:, : _CLASSES * _CLASSES] = np.sqrt(shares / np.maximum(length, 1)[:, None])
-    h, starts, woffs = words(data, offs, SPACED)
+    digest, starts, woffs = words(data, offs, SPACED)
+    h = digest[:, 0]
     if len(h):
         of, wdoc = passage[starts], np.repeat(np.arange(len(size)), np.diff(woffs))
         n = np.maximum(np.bincount(of, minlength=len(out)), 1)
@@ -120,6 +121,22 @@ def _forward(p: dict[str, np.ndarray], x: np.ndarray, first: np.ndarray) -> tupl
     return h, t, g, of, weight, bag, _sigmoid(bag @ p["c"] + p["c0"])
 
 
+def gradient(p: dict[str, np.ndarray], x: np.ndarray, first: np.ndarray, y: np.ndarray, bag_weight: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the weighted log loss of the bags, by each parameter."""
+    h, t, g, of, weight, bag, prob = _forward(p, x, first)
+    d = bag_weight * (prob - y)
+    grad = {"c": bag.T @ d, "c0": np.array([d.sum()])}
+    d_bag = d[:, None] * p["c"]
+    along = (d_bag[of] * h).sum(1)
+    d_e = weight * (along - np.add.reduceat(weight * along, first[:-1])[of])
+    grad["a"] = (t * g).T @ d_e
+    d_t, d_g = d_e[:, None] * p["a"] * g * (1 - t * t), d_e[:, None] * p["a"] * t * g * (1 - g)
+    grad["v"], grad["u"] = h.T @ d_t, h.T @ d_g
+    d_h = (weight[:, None] * d_bag[of] + d_t @ p["v"].T + d_g @ p["u"].T) * (1 - h * h)
+    grad["w"], grad["b"] = x.T @ d_h, d_h.sum(0)
+    return grad
+
+
 def fit(texts: list[str], labels: list[int], base: float | None = None) -> MilModel:
     """Learn the passage encoder and the gated attention from document labels alone (Adam, full batch)."""
     raw = [t.encode() for t in texts] or [b""]
@@ -147,17 +164,7 @@ def fit(texts: list[str], labels: list[int], base: float | None = None) -> MilMo
     m = {k: np.zeros_like(z) for k, z in p.items()}
     s = {k: np.zeros_like(z) for k, z in p.items()}
     for step in range(1, EPOCHS + 1):
-        h, t, g, of, weight, bag, prob = _forward(p, x, first)
-        d = bag_weight * (prob - y)
-        grad = {"c": bag.T @ d, "c0": np.array([d.sum()])}
-        d_bag = d[:, None] * p["c"]
-        along = (d_bag[of] * h).sum(1)
-        d_e = weight * (along - np.add.reduceat(weight * along, first[:-1])[of])
-        grad["a"] = (t * g).T @ d_e
-        d_t, d_g = d_e[:, None] * p["a"] * g * (1 - t * t), d_e[:, None] * p["a"] * t * g * (1 - g)
-        grad["v"], grad["u"] = h.T @ d_t, h.T @ d_g
-        d_h = (weight[:, None] * d_bag[of] + d_t @ p["v"].T + d_g @ p["u"].T) * (1 - h * h)
-        grad["w"], grad["b"] = x.T @ d_h, d_h.sum(0)
+        grad = gradient(p, x, first, y, bag_weight)
         for k in p:
             q = grad[k] + 1e-4 * p[k]
             m[k] = 0.9 * m[k] + 0.1 * q
@@ -186,7 +193,8 @@ def score_documents(docs: DataFrame, model: MilModel) -> DataFrame:
 
     A null or empty text counts as one passage of zeros and so has a score of
     its own. ``top_passage`` is the number of the passage that the attention
-    weights most, the first among equals. Other columns are not looked at.
+    weights most, the first among equals. Every row gives one row, also with a
+    null or repeated doc_id. Other columns are not looked at.
     """
     spark = docs.sparkSession
     bounded_batches(spark)

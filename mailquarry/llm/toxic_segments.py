@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mailquarry.llm.bytetext import LETTERED, pieces, text_buffer, word_prefixes, words
-from mailquarry.llm.sampling import bounded_sample, fold
+from mailquarry.llm.sampling import bounded_sample, fold, piece_of
 from mailquarry.llm.storage import bounded_batches, documents, trimmed
 
-#: Labelled documents for each class, and the longest text among them, in characters.
+#: Labelled documents for each class, and the characters that are learned from in a longer text.
 SAMPLE_DOCS, SAMPLE_CHARS = 2500, 12_000
 #: A token counts as evidence by the lower bound of its log-odds: this many standard errors down, less a margin.
 CAUTION, MARGIN = 3.0, 0.1
@@ -81,9 +81,9 @@ def log_odds(toxic: np.ndarray, clean: np.ndarray, caution: float = CAUTION) ->
 
 
 def _tokens(data: np.ndarray, offs: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Hashes of every word and of its beginnings, starts, word offsets by text."""
+    """Numbers of every word and of its beginnings, starts, word offsets by text."""
     h, starts, woffs = words(data, offs, LETTERED)
-    return [h, *(word_prefixes(data, starts, LETTERED, k) for k in PREFIXES)], starts, woffs
+    return [h[:, 0], *(word_prefixes(data, offs, starts, LETTERED, k) for k in PREFIXES)], starts, woffs
 
 
 def _scored(model: ToxicModel, tokens: list[np.ndarray]) -> np.ndarray:
@@ -178,12 +178,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class:
     """(texts, labels, share of ones among all labels): at most per_class texts of either label.
 
     The ids are drawn from the labels alone, so only a bounded list is
-    broadcast to the documents; a document labelled both ways counts as 1.
+    broadcast to the documents; a document labelled both ways counts as 1. Of
+    a text longer than max_chars a piece of that length is learned from.
     """
     one = labels.where(F.col(target).isNotNull()).groupBy("doc_id").agg(F.max(target).cast("int").alias("_y"))
     base = one.agg(F.avg("_y")).first()[0]
     ids = bounded_sample(one, "_y", "doc_id", per_class)
-    rows = docs.where(F.col("text").isNotNull() & (F.length("text") <= max_chars)).select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(ids), "doc_id").withColumn("text", piece_of("text", "doc_id", max_chars))
     texts, ys = [], []
     for r in sorted(rows.select("doc_id", "text", "_y").collect(), key=lambda r: (r.doc_id, r.text)):
         texts.append(r.text)
@@ -213,6 +214,8 @@ def score_documents(docs: DataFrame, model: ToxicModel, significant: float = SIG
     ``segments`` has the significant passages as byte positions of their first
     and last word; ``log_expected`` is that of the best one, null without any
     positive word. A null or empty text has no segment and the lowest score.
+    Every row gives one row, also with a null or repeated doc_id; columns other
+    than doc_id and text are not looked at.
     """
     spark = docs.sparkSession
     bounded_batches(spark)

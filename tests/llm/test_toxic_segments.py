@@ -4,8 +4,9 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from mailquarry.llm.toxic_segments import fit, op8_segments, score_documents, segments
+from mailquarry.llm.toxic_segments import fit, op8_segments, score_documents, segments, train
 
 
 def brute_segments(xs):
@@ -34,15 +35,26 @@ def test_segments_match_the_definition():
         assert np.allclose([s for *_, s in got], [s for *_, s in want])
 
 
-def test_held_out_accuracy(spark, small):
-    # the few toxic labels in other languages mark texts without any repeated word there, so English counts
-    english = spark.read.parquet(f"{small}/documents.parquet").where("lang = 'en'").select("doc_id")
-    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{small}/labels.parquet").join(english, "doc_id").collect()}
-    got = op8_segments(spark, small).collect()
-    assert len(got) == 1000 and len({r.doc_id for r in got}) == 1000
+def test_held_out_accuracy(spark, medium):
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{medium}/labels.parquet").collect()}
+    got = op8_segments(spark, medium).collect()
+    assert len(got) == 10_000 and len({r.doc_id for r in got}) == 10_000
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == int(r.score >= 0.3) for r in got)
-    held = [r for r in got if r.held_out and r.doc_id in truth]
-    assert sum(r.predicted == truth[r.doc_id] for r in held) >= 0.95 * len(held)
+    held = [r for r in got if r.held_out and r.doc_id in truth]  # all labels, whatever the language
+    caught = [r.predicted for r in held if truth[r.doc_id] == 1]
+    assert len(caught) > 80 and np.mean(caught) >= 0.9
+    assert np.mean([truth[r.doc_id] for r in held if r.predicted]) >= 0.85
+
+
+def test_learns_from_long_texts_only(spark):
+    rng = random.Random(8)
+    word = lambda: rng.choice(["tree", "river", "stone", "cloud", "road"])
+    rows = [(d, " ".join("vile" if d % 2 and i % 50 < 3 else word() for i in range(2600))) for d in range(120)]
+    assert min(len(t) for _, t in rows) > 12_000
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(d, d % 2) for d, _ in rows], "doc_id long, toxic int")
+    got = score_documents(docs, train(docs, labels)).collect()
+    assert all((r.score > 0.5) == bool(r.doc_id % 2) for r in got)
 
 
 def test_odd_rows_and_passage_positions(spark):
@@ -58,6 +70,8 @@ def test_odd_rows_and_passage_positions(spark):
     seg = got[4].segments[0]
     assert (seg.start, seg.last_word) == (300, 310)
     assert score_documents(df.limit(0), model).collect() == []
+    again = df.select("text").unionByName(df.select("text")).withColumn("doc_id", F.lit(None).cast("long"))
+    assert sorted(r.score for r in score_documents(again, model).collect()) == sorted([r.score for r in got.values()] * 2)
 
 
 def test_no_labels(spark):
