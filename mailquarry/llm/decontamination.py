@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailquarry.llm.storage import documents, stored
+from mailquarry.llm.storage import documents, settled, stored
 
 #: Hash functions for an item's sketch; an item with at most EXACT shingles is its own sketch.
 HASHES, EXACT = 32, 16
@@ -41,21 +41,25 @@ def spelled(parts: list[Column]) -> Column:
 
 
 def item_sketches(items: DataFrame, k: int, containment: float) -> DataFrame:
-    """(variant, size_partition, needed, hash): the minimum-hash shingles of each item and the hits that make a candidate.
+    """(variant, size_partition, least, needed, hash): the minimum-hash shingles of each item and what makes a candidate.
 
     Items fall into size partitions by powers of two. Small ones keep all
-    shingles; in the others each of HASHES functions keeps its minimum. The
-    share of sketch shingles found in a document estimates the item's
-    containment there, however long the document is; ``needed`` lies SLACK
-    standard errors below the expected hits at the wanted containment.
+    shingles; in the others each of HASHES functions keeps its minimum. A
+    document can hold the share ``containment`` of an item only if it has that
+    share of the partition's smallest size in shingles: ``least``, so short
+    documents never meet the sketches of long items. The share of sketch
+    shingles found in a document estimates the item's containment there,
+    however long the document is; ``needed`` lies SLACK standard errors below
+    the expected hits at the wanted containment.
     """
     sized = items.select("variant", _shingles("w", k, hashed).alias("all")).where(F.size("all") > 0)
     partition = F.floor(F.log2(F.size("all"))).cast("int")
+    smallest = F.ceil(containment * F.pow(F.lit(2.0), F.col("size_partition")) - 1e-6).cast("int")
     least = F.transform(F.sequence(F.lit(1), F.lit(HASHES)), lambda f: F.array_min(F.transform("all", lambda x: F.struct(F.xxhash64(f, x).alias("h"), x.alias("x"))))["x"])
     kept = sized.withColumn("size_partition", partition).withColumn("kept", F.when(F.size("all") <= EXACT, F.col("all")).otherwise(F.array_distinct(least)))
     m = F.size("kept")
     needed = F.greatest(F.lit(1), F.ceil(containment * m - SLACK * F.sqrt(containment * (1 - containment) * m)).cast("int"))
-    return kept.select("variant", "size_partition", needed.alias("needed"), F.explode("kept").alias("hash"))
+    return kept.select("variant", "size_partition", smallest.alias("least"), needed.alias("needed"), F.explode("kept").alias("hash"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -63,7 +67,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, percent:
 
     Case and anything but letters and digits don't count. An item with fewer
     words than a shingle is one shingle and is found only in a text of the
-    same words. Null, empty or wordless items and texts give no row; an item
+    same words: as a phrase, one to four common words would hit clean texts. Null, empty or wordless items and texts give no row; an item
     or document that is repeated gives one row. Rows with a null id are left
     out. Only doc_id, item_id and text are looked at. Candidates come from the
     sketches, the counts from the spelled-out shingles.
@@ -73,8 +77,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, percent:
     texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
     sketch = stored(item_sketches(items, words, percent / 100), "item_sketch")
     few = sketch.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    found = texts.select("doc_id", word_list(F.col("text")).alias("w")).select("doc_id", F.explode(_shingles("w", words, hashed)).alias("hash"))
-    hits = found.join(F.broadcast(sketch) if few else sketch, "hash")
+    sets = texts.select("doc_id", word_list(F.col("text")).alias("w")).select("doc_id", _shingles("w", words, hashed).alias("all"))
+    # explode_outer: explode would infer a filter on the array, whose copy of the expression splits the text anew for every word
+    found = sets.select("doc_id", F.size("all").alias("n"), F.explode_outer("all").alias("hash"))
+    hits = found.join(F.broadcast(sketch) if few else sketch, "hash").where("n >= least")
     pairs = hits.groupBy("doc_id", "variant").agg(F.count("*").alias("hits"), F.min("needed").alias("needed")).where("hits >= needed").select("doc_id", "variant")
     pairs = stored(pairs, "leak_candidates")
 
@@ -91,7 +97,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, percent:
 
 def op5_containment(spark, sf_dir: str) -> DataFrame:
     """All benchmark items against all documents: five words, containment 0.8."""
-    return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return settled(spark, lambda: contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "op5")
 
 
 OP5_SQL = r"""

@@ -4,10 +4,12 @@ import random
 import sys
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 sys.path.insert(0, str(Path(__file__).parent))
 from oracle import same  # noqa: E402
 
-from mailquarry.llm.decontamination import OP5_SQL, contaminated, op5_containment  # noqa: E402
+from mailquarry.llm.decontamination import OP5_SQL, contaminated, item_sketches, op5_containment, word_list  # noqa: E402
 
 
 def test_query_matches_sql(spark, small):
@@ -48,3 +50,19 @@ def test_short_items_in_long_documents_and_odd_rows(spark):
                 want[d, i] = (len(s), len(s & mine))
     assert got == want and len(want) > 40
     assert contaminated(df.limit(0), bench).collect() == contaminated(df, bench.limit(0)).collect() == []
+
+
+def test_size_partitions_rule_short_documents_out(spark):
+    items = spark.createDataFrame([(n, " ".join(f"w{i}" for i in range(n + 4))) for n in (1, 3, 16, 17, 40, 300)], "item_id long, text string")
+    sketch = item_sketches(items.select(F.col("item_id").alias("variant"), word_list(F.col("text")).alias("w")), 5, 0.8)
+    got = {r.variant: (r.size_partition, r.least, r.n) for r in sketch.groupBy("variant", "size_partition", "least").agg(F.count("*").alias("n")).collect()}
+    assert {k: v[:2] for k, v in got.items()} == {1: (0, 1), 3: (1, 2), 16: (4, 13), 17: (4, 13), 40: (5, 26), 300: (8, 205)}
+    assert got[16][2] == 16 and got[300][2] <= 32
+
+
+def test_repeated_rows_and_near_misses(spark):
+    words = [f"w{i}" for i in range(44)]  # 40 shingles; each changed word at an end costs one
+    docs = [(1, " ".join(words)), (1, " ".join(words)), (2, " ".join(words[:36])), (3, " ".join(words[:35])), (3, " ".join(words[4:]))]
+    bench = spark.createDataFrame([(7, " ".join(words)), (7, " ".join(words))], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.n_item, r.n_shared) for r in contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect())
+    assert got == [(1, 7, 40, 40), (2, 7, 40, 32), (3, 7, 40, 36)]
