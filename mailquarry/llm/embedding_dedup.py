@@ -8,9 +8,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mailquarry.llm.components import connected_components
-from mailquarry.llm.storage import bounded_batches, stored
+from mailquarry.llm.storage import bounded_batches, settled, stored
 
 #: Reference directions (drawn from the data by a hash) that deal vectors into blocks and rule out block pairs.
 PIVOTS = 64
@@ -24,6 +25,7 @@ TILE = 1024
 
 def unit(matrix: np.ndarray) -> np.ndarray:
     x = matrix.astype(np.float64)
+    x = x / np.abs(x).max(1, keepdims=True, initial=5e-324)  # lengths neither overflow nor vanish
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -45,13 +47,14 @@ def linked(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
     x, y = unit(a), unit(b)
     qx, sx, ex = quantised(x)
     qy, sy, ey = quantised(y)
-    kind = np.float32 if x.shape[1] * 127 * 127 < 1 << 24 else np.float64  # whole numbers stay exact
-    near = (qx.astype(kind) @ qy.T.astype(kind)) * (sx[:, None] * sy[None]).astype(np.float64)
+    whole = np.float32 if x.shape[1] * 127 * 127 < 1 << 24 else np.float64  # whole numbers stay exact
+    near = (qx.astype(whole) @ qy.T.astype(whole)) * (sx[:, None] * sy[None]).astype(np.float64)
     bound = ex[:, None] + (1 + ex[:, None]) * ey[None] + 1e-9
     out = near - bound >= least
     i, j = np.nonzero((near + bound >= least) & ~out)
     for k in range(0, len(i), 200_000):
         p, q = a[i[k : k + 200_000]].astype(np.float64), b[j[k : k + 200_000]].astype(np.float64)
+        p, q = p / np.abs(p).max(1, keepdims=True), q / np.abs(q).max(1, keepdims=True)
         cosine = (p * q).sum(1) / (np.linalg.norm(p, axis=1) * np.linalg.norm(q, axis=1))
         out[i[k : k + 200_000], j[k : k + 200_000]] = cosine >= least
     return out
@@ -74,10 +77,10 @@ def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(x @ pivots.T, -1, 1))
 
 
-def _dealt(batches: Iterator[pa.RecordBatch], pivots: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _dealt(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, kind: str) -> Iterator[pa.RecordBatch]:
     """rep, copies, vector -> the same with the nearest pivot and the step of the angle to it."""
     for batch in batches:
-        x = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<f4").reshape(batch.num_rows, -1)
+        x = np.frombuffer(b"".join(batch.column(2).to_pylist()), kind).reshape(batch.num_rows, -1)
         if len(x):
             angle = _angles(unit(x), pivots)
             cell = angle.argmin(1)
@@ -85,11 +88,11 @@ def _dealt(batches: Iterator[pa.RecordBatch], pivots: np.ndarray) -> Iterator[pa
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(step.astype(np.int32))], names=["rep", "copies", "vector", "cell", "step"])
 
 
-def _block(pivots: np.ndarray):
+def _block(pivots: np.ndarray, kind: str):
     def make(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by("rep")
         data = b"".join(table.column("vector").to_pylist())
-        angle = _angles(unit(np.frombuffer(data, "<f4").reshape(table.num_rows, -1)), pivots).astype("<f4")
+        angle = _angles(unit(np.frombuffer(data, kind).reshape(table.num_rows, -1)), pivots).astype("<f4")
         return pa.table(
             {
                 "block": table.column("block").slice(0, 1),
@@ -105,14 +108,14 @@ def _block(pivots: np.ndarray):
     return make
 
 
-def _tiles(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+def _tiles(batches: Iterator[pa.RecordBatch], least: float, kind: str) -> Iterator[pa.RecordBatch]:
     """For each block pair: (rep, links to other vectors, root of its component in the tile)."""
     for batch in batches:
         for row in batch.to_pylist():
             same = row["a"] == row["b"]
             ia, ib = np.frombuffer(row["ids_a"], "<i8"), np.frombuffer(row["ids_b"], "<i8")
             ca, cb = np.frombuffer(row["copies_a"], "<i8"), np.frombuffer(row["copies_b"], "<i8")
-            va, vb = (np.frombuffer(row[k], "<f4").reshape(len(i), -1) for k, i in (("vectors_a", ia), ("vectors_b", ib)))
+            va, vb = (np.frombuffer(row[k], kind).reshape(len(i), -1) for k, i in (("vectors_a", ia), ("vectors_b", ib)))
             for i in range(0, len(ia), TILE):
                 for j in range(i if same else 0, len(ib), TILE):
                     link = linked(va[i : i + TILE], vb[j : j + TILE], least)
@@ -136,8 +139,10 @@ def _tiles(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
 def near_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     """(vec_id, n_links, component_id, kept): vectors linked by a cosine of ``least`` (above 0) or more.
 
-    ``vectors`` has vec_id (unique) and embedding (array of numbers, taken as
-    32-bit floats); other columns are not looked at. A vector that is null,
+    ``vectors`` has vec_id and embedding (array of numbers: 32-bit floats as
+    they are, anything else as doubles); other columns are not looked at. A row
+    that is repeated counts as another vector, linked with the first; rows of
+    one vec_id with different vectors share their links. A vector that is null,
     empty, zero, or holds null or non-finite numbers links with nothing, and
     vectors of different lengths never link. Equal vectors become one class
     before any comparison. Rows with a null vec_id are left out. Every pair of
@@ -148,12 +153,14 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     bounded_batches(spark)
     e = F.col("embedding")
     good = F.coalesce((F.size(e) > 0) & ~F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(e, lambda x: x != 0), F.lit(False))
-    base = vectors.where(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), e.cast("array<float>").alias("embedding"))
+    number = vectors.schema["embedding"].dataType.elementType
+    kind = "float" if isinstance(number, T.FloatType) else "double"
+    base = vectors.where(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), e.cast(f"array<{kind}>").alias("embedding"))
     base = stored(base.withColumn("good", good), "vectors")
     classes = stored(base.where("good").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vector_classes")
     counted, edges = [], []
     for r in classes.select(F.size("embedding").alias("d")).groupBy("d").count().collect():
-        tiles = _of_one_length(classes.where(F.size("embedding") == r["d"]), r["d"], r["count"], least)
+        tiles = _of_one_length(classes.where(F.size("embedding") == r["d"]), r["d"], r["count"], least, "<f4" if kind == "float" else "<f8")
         counted.append(tiles.groupBy("rep").agg(F.sum("links").alias("links")))
         edges.append(tiles.select(F.col("rep").alias("u"), F.col("root").alias("v")).where("u <> v"))
     if not counted:
@@ -168,7 +175,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
-def _of_one_length(classes: DataFrame, dims: int, count: int, least: float) -> DataFrame:
+def _of_one_length(classes: DataFrame, dims: int, count: int, least: float, kind: str) -> DataFrame:
     """(rep, links, root) rows of all block pairs of the classes, whose vectors have ``dims`` numbers."""
     spark = classes.sparkSession
     share = min(1.0, 4 * PIVOTS / count)
@@ -179,10 +186,10 @@ def _of_one_length(classes: DataFrame, dims: int, count: int, least: float) -> D
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = np.ascontiguousarray(batch.column(2).flatten().to_numpy(zero_copy_only=False).astype("<f4")).reshape(batch.num_rows, dims) if batch.num_rows else np.zeros((0, dims), "<f4")
+            flat = np.ascontiguousarray(batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(kind)).reshape(batch.num_rows, dims) if batch.num_rows else np.zeros((0, dims), kind)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([v.tobytes() for v in flat], pa.binary())], names=["rep", "copies", "vector"])
 
-    rows = classes.select("rep", "copies", "embedding").mapInArrow(lambda it: _dealt(packed(it), pivots), "rep long, copies long, vector binary, cell int, step int")
+    rows = classes.select("rep", "copies", "embedding").mapInArrow(lambda it: _dealt(packed(it), pivots, kind), "rep long, copies long, vector binary, cell int, step int")
     rows = stored(rows, "dealt")
     size = max(BLOCK_ROWS, -(-count // BLOCKS))
     # (cell, step) -> first block and number of blocks; at most PIVOTS * STEPS rows, whatever the input
@@ -198,7 +205,7 @@ def _of_one_length(classes: DataFrame, dims: int, count: int, least: float) -> D
         filled, last = filled + r["count"], r["cell"]
     dealt = rows.join(F.broadcast(spark.createDataFrame(plan, "cell int, step int, first int, parts int")), ["cell", "step"])
     dealt = dealt.select((F.col("first") + F.pmod(F.xxhash64(F.lit(5), "rep"), F.col("parts")).cast("int")).alias("block"), "rep", "copies", "vector")
-    blocks = stored(dealt.groupBy("block").applyInArrow(_block(pivots), "block int, n long, ids binary, copies binary, vectors binary, low binary, high binary"), "blocks")
+    blocks = stored(dealt.groupBy("block").applyInArrow(_block(pivots, kind), "block int, n long, ids binary, copies binary, vectors binary, low binary, high binary"), "blocks")
 
     bounds = sorted(blocks.select("block", "low", "high").collect(), key=lambda r: r.block)  # about BLOCKS + PIVOTS rows
     low = np.stack([np.frombuffer(r.low, "<f4") for r in bounds]).astype(np.float64)
@@ -210,9 +217,9 @@ def _of_one_length(classes: DataFrame, dims: int, count: int, least: float) -> D
         pairs += [(r.block, bounds[i + int(j)].block) for j in np.flatnonzero(apart <= reach)]
     side = lambda s: blocks.select(F.col("block").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("ids", "copies", "vectors")))
     pairs_df = spark.createDataFrame(pairs, "a int, b int").repartition(max(1, min(len(pairs), int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    return stored(pairs_df.join(side("a"), "a").join(side("b"), "b").mapInArrow(lambda it: _tiles(it, least), "rep long, links long, root long"), "tiles")
+    return stored(pairs_df.join(side("a"), "a").join(side("b"), "b").mapInArrow(lambda it: _tiles(it, least, kind), "rep long, links long, root long"), "tiles")
 
 
 def op6_int8(spark, sf_dir: str) -> DataFrame:
     """All rows of embeddings, cosine 0.9."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return settled(spark, lambda: near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet")), "op6")

@@ -5,13 +5,14 @@ import numpy as np
 from mailquarry.llm import embedding_dedup as e
 
 
-def brute(rows, least=0.9):
+def brute(rows, least=0.9, kind=np.float32):
     ids = [i for i, _ in rows]
     ok = [k for k, (_, v) in enumerate(rows) if v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     link = np.zeros((len(rows), len(rows)), bool)
     for d in {len(rows[k][1]) for k in ok}:
         own = [k for k in ok if len(rows[k][1]) == d]
-        m = np.array([rows[k][1] for k in own], np.float32).astype(np.float64)
+        m = np.array([rows[k][1] for k in own], kind).astype(np.float64)
+        m = m / np.abs(m).max(1, keepdims=True)
         n = np.linalg.norm(m, axis=1)
         link[np.ix_(own, own)] = (m @ m.T) / (n[:, None] * n[None]) >= least
     np.fill_diagonal(link, False)
@@ -58,3 +59,19 @@ def test_clusters_copies_and_odd_rows(spark, monkeypatch):
     assert collected(e.near_duplicates(df)) == brute(rows)
     assert e.near_duplicates(df.limit(0)).collect() == []
     assert collected(e.near_duplicates(df.where("vec_id = 3000"))) == {3000: (0, 3000)}
+
+
+def test_doubles_of_any_size(spark):
+    rng = np.random.RandomState(3)
+    base = rng.randn(8)
+    rows = [(i, (base * s).tolist()) for i, s in enumerate((1e300, 1e-50, 1.0, 1e-300, 1e200))]
+    rows += [(10 + i, rng.randn(8).tolist()) for i in range(40)] + [(60, (base + 0.2 * rng.randn(8)).tolist()), (61, [1e308] * 8), (62, [0.0] * 8), (63, [float("inf")] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collected(e.near_duplicates(df))
+    assert got == brute(rows, kind=np.float64) and got[0][0] >= 4
+
+
+def test_repeated_and_null_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (4, [0.0, 1.0]), (2, [0.9, 0.1]), (None, [1.0, 0.0]), (3, None)]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in e.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    assert got == [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True), (4, 0, 4, True)]
