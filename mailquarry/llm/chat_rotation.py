@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Turn numbers in one rendered row; a longer dialogue continues in the next part.
+from mailquarry.llm.storage import stored
+
+#: Turns in one row; the rendering of a longer dialogue goes on in the next row.
 PART_TURNS = 4096
+#: Ids of long dialogues that are broadcast; more are joined by shuffle.
+BROADCAST_IDS = 500_000
 START, STOP = "<|im_start|>", "<|im_end|>"
 
 
@@ -15,6 +19,31 @@ def _clean(text: Column) -> Column:
     return F.replace(F.coalesce(text, F.lit("")), F.lit("<|im_"), F.lit("<| im_"))
 
 
+def _parted(rows: DataFrame, part_turns: int) -> DataFrame:
+    """The rows with the part that each turn's position in its dialogue puts it in.
+
+    Only dialogues over ``part_turns`` turns are sorted, all together by
+    ranges, so no dialogue has to fit in a task: positions are counted within
+    ranges and shifted by what the earlier ranges of the dialogue hold.
+    """
+    long_ = rows.groupBy("conv_id").count().where(F.col("count") > part_turns).select("conv_id")
+    many = long_.limit(BROADCAST_IDS + 1).count()
+    if not many:
+        return rows.withColumn("part", F.lit(0).cast("long"))
+    spark = rows.sparkSession
+    long_ = F.broadcast(long_) if many <= BROADCAST_IDS else long_
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own = rows.join(long_, "conv_id", "left_semi")
+    ordered = own.repartitionByRange(n, "conv_id", "turn", "speaker", F.substring("content", 1, 64)).sortWithinPartitions("conv_id", "turn", "speaker", "content")
+    ordered = stored(ordered.withColumn("_m", F.monotonically_increasing_id()), "turns").withColumn("_p", F.shiftright("_m", 33))
+    ranges = ordered.groupBy("conv_id", "_p").agg(F.min("_m").alias("_lo"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy("conv_id").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    ranges = ranges.select("conv_id", "_p", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_lo")).alias("_shift"))
+    ranges = F.broadcast(ranges) if many <= n else ranges
+    placed = ordered.join(ranges, ["conv_id", "_p"]).withColumn("part", F.floor((F.col("_m") + F.col("_shift")) / part_turns).cast("long"))
+    return rows.join(long_, "conv_id", "left_anti").withColumn("part", F.lit(0).cast("long")).unionByName(placed.drop("_m", "_p", "_shift"))
+
+
 def rotate_perspectives(turns: DataFrame, context_roles: tuple[str, ...] = ("system",), part_turns: int = PART_TURNS) -> DataFrame:
     """One row for each dialogue and participant, rendered with that participant as the assistant.
 
@@ -25,13 +54,17 @@ def rotate_perspectives(turns: DataFrame, context_roles: tuple[str, ...] = ("sys
     rendered, mask (spans of characters to learn from: the participant's own
     texts with their end markers).
 
+    There is one rendering for each dialogue and participant, of all turns. It
+    is stored in parts of ``part_turns`` turns by position, so that an endless
+    dialogue is many rows on many tasks: the parts joined in order are the
+    rendering, and mask spans count from the start of their part. Turn numbers
+    only give the order.
+
     Turns go by number, equal numbers by role and text, null numbers first (as
     -1). A null or empty role is ``unknown``; a null text is empty; markers in
     a text are broken up; line ends in a name become spaces. Repeated rows are
     repeated turns. Rows with a null conv_id form no dialogue. A dialogue
-    without a participant has no row. Turn numbers are cut into parts of
-    ``part_turns``, so one endless dialogue is many rows on many tasks; mask
-    spans count from the start of the part.
+    without a participant has no row.
     """
     name = F.trim(F.regexp_replace(F.coalesce(F.col("role"), F.lit("")), r"[\x00-\x1F\x7F]+", " "))
     rows = turns.where(F.col("conv_id").isNotNull()).select(
@@ -40,7 +73,7 @@ def rotate_perspectives(turns: DataFrame, context_roles: tuple[str, ...] = ("sys
         F.when(name == "", F.lit("unknown")).otherwise(_clean(name)).alias("speaker"),
         _clean(F.col("text").cast("string")).alias("content"),
     )
-    rows = rows.withColumn("part", F.floor(F.greatest("turn", F.lit(0)) / part_turns).cast("long"))
+    rows = _parted(rows, part_turns)
     speakers = rows.where(~F.col("speaker").isin(list(context_roles))).groupBy("conv_id").agg(F.sort_array(F.collect_set("speaker")).alias("speakers"))
     dialogues = rows.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "speaker", "content"))).alias("turns"))
     each = dialogues.join(speakers, "conv_id").select("conv_id", "part", "turns", F.explode("speakers").alias("perspective"))
@@ -83,10 +116,12 @@ pieces AS (
     '<|im_start|>' || CASE WHEN c.role = s.perspective THEN 'assistant' WHEN c.role = 'system' THEN 'system' ELSE 'user name=' || c.role END || chr(10) AS head,
     c.text || '<|im_end|>' AS body
   FROM conversations c JOIN speakers s ON c.conv_id = s.conv_id),
+parted AS (
+  SELECT *, CAST((row_number() OVER (PARTITION BY conv_id, perspective ORDER BY turn) - 1) // 4096 AS BIGINT) AS part FROM pieces),
 placed AS (
-  SELECT *, CAST(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective ORDER BY turn) AS BIGINT) - 1 AS stop FROM pieces)
-SELECT conv_id, perspective, CAST(0 AS BIGINT) AS part, count(*) AS n_turns,
+  SELECT *, CAST(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn) AS BIGINT) - 1 AS stop FROM parted)
+SELECT conv_id, perspective, part, count(*) AS n_turns,
   string_agg(head || body || chr(10), '' ORDER BY turn) AS rendered,
   coalesce(string_agg(CASE WHEN own THEN (stop - length(body)) || '-' || stop END, ',' ORDER BY turn), '') AS mask_spans
-FROM placed GROUP BY conv_id, perspective
+FROM placed GROUP BY conv_id, perspective, part
 """

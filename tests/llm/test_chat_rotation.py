@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import sys
 from pathlib import Path
 
@@ -39,7 +40,17 @@ def test_many_parties_and_odd_rows(spark):
     assert rotate_perspectives(df.limit(0)).collect() == []
 
 
-def test_long_dialogues_go_on_in_parts(spark):
-    df = spark.createDataFrame([(1, t, "ab"[t % 2], str(t)) for t in range(25)], "conv_id long, turn long, role string, text string")
+def test_long_dialogues_are_one_rendering_in_parts(spark):
+    rng = random.Random(2)
+    rows = [(1, 1000 * t * t, "ab"[t % 2], str(t)) for t in range(25)]  # far apart
+    rows += [(2, None, rng.choice("ab"), rng.choice("xyz")) for _ in range(34)]  # without numbers
+    rows += [(3, 5, "c", "same")] * 31 + [(4, 1, "system", "s"), (4, 10**12, "d", "e")] + [(5, t // 7, "ef"[t % 2], f"{t}") for t in range(300)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = rotate_perspectives(df, part_turns=10).collect()
-    assert sorted((r.perspective, r.part, r.n_turns) for r in got) == [(p, k, n) for p in "ab" for k, n in ((0, 10), (1, 10), (2, 5))]
+    assert sorted((r.part, r.n_turns) for r in got if r.conv_id == 1 and r.perspective == "a") == [(0, 10), (1, 10), (2, 5)]
+    assert [(r.part, r.n_turns) for r in got if r.conv_id == 4] == [(0, 2)]
+    whole = {}
+    for r in sorted(got, key=lambda r: (r.conv_id, r.perspective, r.part)):
+        text, spans = whole.get((r.conv_id, r.perspective), ("", []))
+        whole[r.conv_id, r.perspective] = (text + r.rendered, spans + [(len(text) + s.start, len(text) + s.stop) for s in r.mask])
+    assert whole == brute(rows)
