@@ -18,17 +18,32 @@ from mailquarry.llm.storage import settled, stored
 from mailquarry.llm.suffix_dedup import remove_repeats
 
 
+#: Bits a byte of the best code above which a text is in none of the learned languages; prose takes 2 to 3.
+FOREIGN = 6.0
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a language: null, empty and letterless texts, also where no language could be learned."""
+    """Keep documents of a learned language.
+
+    Null, empty and letterless texts go, and those that even the best of the
+    models codes in more than FOREIGN bits a byte. Where no language could be
+    learned all lettered texts stay. Rows with a null doc_id go; a repeated
+    doc_id goes if any of its texts does.
+    """
     model = train(docs.where(fold(F.col("doc_id"), 4) != 2))
     if model is None:
         return docs.where(F.col("doc_id").isNotNull() & lettered(F.col("text")))
-    rejected = settled(spark, lambda: identify(docs, model).where(F.col("lang_pred") == UNDETERMINED).select("doc_id"), "rejected")
+    foreign = (F.col("lang_pred") == UNDETERMINED) | (F.col("bits_per_byte") > FOREIGN)
+    rejected = settled(spark, lambda: identify(docs, model).where(foreign).select("doc_id"), "rejected")
     return docs.where(F.col("doc_id").isNotNull()).join(rejected, "doc_id", "left_anti").select(docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, the one with the smallest doc_id, of each group of near copies (five words, 0.8)."""
+    """Keep one document, the one with the smallest doc_id, of each group of near copies (five words, 0.8).
+
+    Repeated rows of a kept document and rows with a null doc_id stay; a
+    doc_id with several texts goes if one of them goes.
+    """
     dropped = settled(spark, lambda: near_duplicates(docs, words=5, num=80, den=100).where(~F.col("kept")).select("doc_id"), "copies")
     return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
 
@@ -36,7 +51,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut strings of 50 bytes that a document with a smaller doc_id has; a document cut to nothing goes.
 
-    Cuts can split a character: what is left of it becomes a replacement character.
+    Cuts can split a character: what is left of it becomes a replacement
+    character. Rows with a null doc_id and repeated rows stay; texts under one
+    doc_id don't remove from each other.
     """
     found = settled(spark, lambda: remove_repeats(docs).where("kept is not null").select("doc_id", F.col("tid").alias("_tid"), F.col("kept").alias("_kept")), "cut")
     out = docs.withColumn("_tid", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).join(found, ["doc_id", "_tid"], "left")
@@ -46,13 +63,19 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item (five words, containment 0.8)."""
+    """Drop documents that hold a benchmark item (five words, containment 0.8).
+
+    A repeated doc_id goes if any of its texts holds one; rows with a null doc_id stay.
+    """
     leaked = settled(spark, lambda: contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct(), "leaked")
     return docs.join(leaked, "doc_id", "left_anti").select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of what is left, with parity and round trip: (doc_id, n_tokens, ids_crc32, parity, round_trip)."""
+    """Ids of what is left, with parity and round trip: (doc_id, n_tokens, ids_crc32, parity, round_trip), a row for each row.
+
+    Only doc_id and text are looked at, so other columns can have any name.
+    """
     import public_tokenizers
 
     return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), keep_ids=False)
