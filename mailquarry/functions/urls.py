@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Query parameters that carry a further destination.
-REDIRECT_NAMES = ["url", "u", "q", "target", "dest", "destination", "redirect", "redirect_url", "redirect_uri", "redir", "next", "continue", "goto", "link", "to", "return", "returnurl", "return_to", "r"]
+# Query parameters that carry a further destination.
+REDIRECT_NAMES = [
+    "url", "u", "uri", "target", "to", "dest", "destination", "redirect", "redirect_uri", "return", "returnurl", "next", "continue", "goto", "link",
+    "q", "r", "redirect_url", "redirecturl", "target_url", "targeturl", "dest_url", "desturl", "out", "go", "forward", "jump", "ru", "rurl",
+]
 #: Downloads that run or unpack.
 DANGEROUS_EXTENSIONS = ["exe", "scr", "js", "vbs", "bat", "cmd", "ps1", "msi", "iso", "img", "lnk", "hta", "jar", "zip", "rar", "7z", "docm", "xlsm"]
 

@@ -12,10 +12,13 @@ from pyspark.sql import types as T
 from mailquarry.dims import IBAN_LENGTHS
 from mailquarry.functions.text import masked_iban
 
-#: Phrases that announce new bank details.
-CHANGE = r"(?i)new (bank|account|payment) (details|information|account)|(updated|changed) (our )?(bank|payment|account) (details|information)|change of (bank|account)|nuov[oaie] (iban|coordinate|conto)|coordinate bancarie (aggiornate|nuove)|nuevos datos bancarios|nueva cuenta|cambio de (cuenta|banco)|nouvelles? coordonn[ée]es bancaires|nouveau rib|neue (bankverbindung|kontodaten|iban)"
+#: Own words for "other than before" and for what money is sent to; together in one sentence they announce new bank details.
+OTHER = ["new", "updated", "changed", "revised", "different", "replaced", "nuov[oaie]", "aggiornat[oaie]", "cambiat[oaie]", "nuev[oa]s?", "actualizad[oa]s?", "nouve(?:au|lles?)", "neue[nrs]?", "ge[äa]ndert\\w*"]
+ACCOUNT = ["bank", "iban", "account", "payee", "beneficiary", "conto", "banca", "coordinate", "cuenta", "banco", "rib", "compte", "konto", "bankverbindung"]
+_NEAR = r"[^.!?\n]{0,40}"
+CHANGE = rf"(?i)\b(?:{'|'.join(OTHER)})\b{_NEAR}\b(?:{'|'.join(ACCOUNT)})|\b(?:{'|'.join(ACCOUNT)})\b{_NEAR}\b(?:{'|'.join(OTHER)})\b"
 TTL_DAYS = 730
-_CANDIDATE = re.compile(r"\b[A-Za-z]{2}[ \t]?\d{2}(?:[ \t-]?[A-Za-z0-9]){10,30}\b")
+_RUNS = re.compile(r"[A-Za-z0-9]+")
 
 
 def is_iban(text: str) -> bool:
@@ -25,18 +28,27 @@ def is_iban(text: str) -> bool:
 
 
 def ibans_of(text: str | None, most: int = 10) -> list[str]:
-    """The first ``most`` distinct valid numbers; words that follow a number don't spoil it."""
+    """The first ``most`` distinct valid numbers, grouped by single blanks or hyphens or not; words that follow one don't spoil it.
+
+    The country says how long a number is, so runs of letters and digits are
+    put together until that length is met at the end of a run.
+    """
+    text = text or ""
+    pieces = [(m.start(), m.end()) for m in _RUNS.finditer(text)]
     out: list[str] = []
-    for m in _CANDIDATE.finditer(text or ""):
-        tokens = re.split(r"[ \t]", m[0])
-        while tokens:
-            iban = re.sub(r"[\s-]+", "", "".join(tokens)).upper()
-            if is_iban(iban):
-                if iban not in out:
-                    out.append(iban)
-                break
-            tokens.pop()
-    return out[:most]
+    k = 0
+    while k < len(pieces) and len(out) < most:
+        need = IBAN_LENGTHS.get(text[pieces[k][0] : pieces[k][0] + 2].upper())
+        joined, j, step = "", k, 1
+        while need and j < len(pieces) and len(joined) < need and (j == k or text[pieces[j - 1][1] : pieces[j][0]] in (" ", "\t", "-")):
+            joined += text[slice(*pieces[j])].upper()
+            j += 1
+        if need == len(joined) and is_iban(joined):
+            step = j - k
+            if joined not in out:
+                out.append(joined)
+        k += step
+    return out
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

@@ -278,11 +278,10 @@ def tone(m: DataFrame) -> DataFrame:
     content = F.coalesce(F.col("content_risk"), F.lit("")) if "content_risk" in m.columns else F.lit("")
     value, by = first_match(
         [
-            ("confirmed", _flag("confirmed_indicator") | (_flag("high_html_attachment") | _flag("high_flag")) & _flag("confirmed_indicator") | _flag("high_html_attachment"), "danger"),
+            ("confirmed", _flag("confirmed_indicator") | _flag("high_html_attachment") | _flag("high_flag"), "danger"),
             ("phishing", (verdict == "phishing") | (content == "malicious"), "danger"),
             ("incomplete", _flag("analysis_incomplete"), "review"),
             ("unverified", _flag("resource_unverified"), "review"),
-            ("high_flag", _flag("high_flag"), "danger"),
             ("suspicious", content == "suspicious", "review"),
             ("first_party", _flag("first_party_notice"), "safe"),
             ("informational", _flag("informational_only") & _flag("dkim_missing_only") & ~_flag("any_mismatch"), "safe"),

@@ -305,7 +305,7 @@ _NAMES = [("Supplier", "supplier", "supplier.example"), ("Thing", "thandthe", "t
 
 
 @query(
-    rf"""WITH w AS (SELECT DISTINCT lower(regexp_extract(text, '^[^A-Za-z]*([A-Za-z]+)', 1)) AS label FROM documents), n AS (SELECT * FROM {dims.sql_values(_NAMES, "v", "brand, token, official")})
+    rf"""WITH w AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS label FROM documents), n AS (SELECT * FROM {dims.sql_values(_NAMES, "v", "brand, token, official")})
 SELECT label, brand, levenshtein(label, token) AS distance FROM w, n WHERE label <> '' AND levenshtein(label, token) BETWEEN 1 AND 3"""
 )
 def edit_distance_names(spark, sf_dir):
@@ -375,8 +375,9 @@ k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, section > 0 AND section
 SELECT doc_id, section, score FROM k WHERE NOT (section > 0 AND section < last) OR rank <= 4"""
 )
 def section_selection(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").withColumn("section", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n_chars") / 1000) - 1)))
-    s = d.select("doc_id", "section", F.regexp_count(F.substring("text", (F.col("section") * 1000 + 1).cast("int"), F.lit(1000)), F.lit("the|der|les|que")).cast("bigint").alias("score"))
+    pieces = F.regexp_extract_all("text", F.lit("(?s)(.{1,1000})"), 1)  # one walk over the text; only the scores are exploded
+    scores = F.transform(pieces, lambda p: F.regexp_count(p, F.lit("the|der|les|que")).cast("bigint"))
+    s = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(scores).alias("section", "score")).withColumn("section", F.col("section").cast("bigint"))
     return ranking.section_choice(s, "doc_id", "section", "score", 6)
 
 
@@ -498,15 +499,21 @@ def as_of_observation(spark, sf_dir):
     return hosts.as_of(e, o, "event_id", "user_id", "ts", "observed", "price").select("event_id", "price")
 
 
+_LENGTHS = dims.sql_values(list(dims.IBAN_LENGTHS.items()), "lengths", "country, size")
+#: Remainder of the rearranged number, its characters one after the other.
+_MOD97 = "list_reduce(list_prepend(0, list_transform(string_split(substr({x}, 5) || left({x}, 4), ''), lambda c: strpos('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', c) - 1)), lambda r, v: (r * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97)"
+
+
 @query(
-    r"""WITH a AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}')) AS a FROM documents)
-SELECT count(*) AS rows, count(*) FILTER (regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS with_mail, count(*) FILTER (regexp_matches(text, '(?i)https?://')) AS with_link,
-  count(*) FILTER (regexp_matches(text, '[0-9]{1,3}(\.[0-9]{1,3}){3}')) AS with_ipv4, (SELECT count(*) FROM a) AS accounts FROM documents"""
+    rf"""WITH a AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}')) AS a FROM documents)
+SELECT count(*) AS rows, count(*) FILTER (regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}')) AS with_mail, count(*) FILTER (regexp_matches(text, '(?i)https?://')) AS with_link,
+  count(*) FILTER (regexp_matches(text, '[0-9]{{1,3}}(\.[0-9]{{1,3}}){{3}}')) AS with_ipv4, (SELECT count(*) FROM a) AS accounts,
+  (SELECT count(*) FROM a JOIN {_LENGTHS} ON country = left(a, 2) AND size = length(a) WHERE {_MOD97.format(x="a")} = 1) AS valid_accounts FROM documents"""
 )
 def privacy_audit(spark, sf_dir):
     from mailquarry.sinks import privacy_audit as audit
 
-    return audit(read(spark, sf_dir, "documents")).drop("valid_accounts")
+    return audit(read(spark, sf_dir, "documents"))
 
 
 @query(

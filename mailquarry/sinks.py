@@ -7,18 +7,37 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _has_binary(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_has_binary(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _has_binary(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return _has_binary(kind.keyType) or _has_binary(kind.valueType)
+    return isinstance(kind, T.BinaryType)
+
+
 def _without_binary(column, kind: T.DataType):
+    """The column without binary values at any depth; None if nothing is left of it."""
+    if not _has_binary(kind):
+        return column
     if isinstance(kind, T.StructType):
-        kept = [f for f in kind.fields if not isinstance(f.dataType, T.BinaryType)]
-        return F.when(column.isNotNull(), F.struct(*(_without_binary(column[f.name], f.dataType).alias(f.name) for f in kept)))
-    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
-        return F.transform(column, lambda x: _without_binary(x, kind.elementType))
-    return column
+        kept = [(f.name, _without_binary(column[f.name], f.dataType)) for f in kind.fields]
+        kept = [c.alias(n) for n, c in kept if c is not None]
+        return F.when(column.isNotNull(), F.struct(*kept)) if kept else None
+    if isinstance(kind, T.ArrayType):
+        probe = _without_binary(F.lit(None), kind.elementType) if not isinstance(kind.elementType, T.StructType) else _without_binary(F.col("_"), kind.elementType)
+        return None if probe is None else F.transform(column, lambda x: _without_binary(x, kind.elementType))
+    if isinstance(kind, T.MapType) and not _has_binary(kind.keyType):
+        probe = _without_binary(F.col("_"), kind.valueType)
+        return None if probe is None else F.transform_values(column, lambda k, v: _without_binary(v, kind.valueType))
+    return None
 
 
 def json_safe(df: DataFrame) -> DataFrame:
-    """Without binary columns at any depth of structs and arrays of structs."""
-    return df.select(*(_without_binary(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields if not isinstance(f.dataType, T.BinaryType)))
+    """Without binary values at any depth of structs, arrays and maps."""
+    kept = [(f.name, _without_binary(F.col(f.name), f.dataType)) for f in df.schema.fields]
+    return df.select(*(c.alias(n) for n, c in kept if c is not None))
 
 
 def write_reports(df: DataFrame, path: str) -> None:

@@ -32,7 +32,9 @@ def admitted_calls(calls: DataFrame) -> DataFrame:
 
     At most 4 admitted calls in the last 60 seconds and 500 in the last 24
     hours of a key. Memory of a key is its window, not its calls: the rows
-    come sorted and go through one at a time.
+    come sorted and go through one at a time. A call without a key or a time
+    is refused. What is admitted depends on all admitted before it, so one key
+    is sequential by nature.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -46,4 +48,5 @@ def admitted_calls(calls: DataFrame) -> DataFrame:
             yield pd.DataFrame({"key": f["key"], "call_id": f["call_id"], "admitted": out})
 
     rows = calls.where("key is not null and ts is not null").selectExpr("key", "call_id", "unix_micros(ts) / 1000000D AS at")
-    return rows.repartition("key").sortWithinPartitions("key", "at", "call_id").mapInPandas(run, "key string, call_id long, admitted boolean")
+    refused = calls.where("key is null or ts is null").selectExpr("key", "call_id", "false AS admitted")
+    return rows.repartition("key").sortWithinPartitions("key", "at", "call_id").mapInPandas(run, "key string, call_id long, admitted boolean").unionByName(refused)

@@ -15,15 +15,20 @@ from mailquarry.streaming.quota import Window
 _TTL = TTL_DAYS * 86_400.0
 
 
-def payment_alerts(uses: DataFrame) -> DataFrame:
+def payment_alerts(uses: DataFrame, late: str = "7 days") -> DataFrame:
     """Stream of (sender, account, msg_id, change_phrase, at) -> alerts (sender, account, msg_id, level).
 
     State of a sender: its accounts with the messages and times they were seen
     in. Only an account that is new to a sender known for others is reported;
-    the same message twice changes nothing; entries end after 730 days.
+    the same message twice changes nothing; entries end after 730 days, and a
+    sender that is silent for so long, by the watermark, leaves the state.
+    Rows that are ``late`` by more are left out.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         accounts, messages, times = (list(x) for x in state.get) if state.exists else ([], [], [])
         out = []
         rows = pd.concat(list(frames)).sort_values(["at", "msg_id", "account"])
@@ -36,24 +41,29 @@ def payment_alerts(uses: DataFrame) -> DataFrame:
             if not again:
                 accounts, messages, times = [accounts[k] for k in fresh] + [r.account], [messages[k] for k in fresh] + [r.msg_id], [times[k] for k in fresh] + [float(r.at)]
         state.update((accounts, messages, times))
+        state.setTimeoutTimestamp(int((rows["at"].max() + _TTL) * 1000) + 1)
         yield pd.DataFrame(out, columns=["sender", "account", "msg_id", "level"])
 
-    rows = uses.where("sender is not null and account is not null").selectExpr("sender", "account", "msg_id", "coalesce(change_phrase, false) AS change_phrase", "unix_micros(at) / 1000000D AS at")
-    return rows.groupBy("sender").applyInPandasWithState(step, "sender string, account string, msg_id string, level string", "accounts array<string>, messages array<string>, times array<double>", "append", GroupStateTimeout.NoTimeout)
+    rows = uses.where("sender is not null and account is not null and at is not null").withWatermark("at", late).selectExpr("at AS event_time", "sender", "account", "msg_id", "coalesce(change_phrase, false) AS change_phrase", "unix_micros(at) / 1000000D AS at")
+    return rows.groupBy("sender").applyInPandasWithState(step, "sender string, account string, msg_id string, level string", "accounts array<string>, messages array<string>, times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def quota_admissions(calls: DataFrame) -> DataFrame:
-    """Stream of (key, call_id, ts) -> (key, call_id, admitted) under the sliding quotas."""
+def quota_admissions(calls: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Stream of (key, call_id, ts) -> (key, call_id, admitted) under the sliding quotas; a key that is silent for a day, by the watermark, leaves the state."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         window = Window(list(state.get[0]) if state.exists else [])
         rows = pd.concat(list(frames)).sort_values(["at", "call_id"])
         admitted = [window.admit(at) for at in rows["at"]]
         state.update((list(window.times),))
+        state.setTimeoutTimestamp(int((rows["at"].max() + 86_400) * 1000) + 1)
         yield pd.DataFrame({"key": key[0], "call_id": rows["call_id"], "admitted": admitted})
 
-    rows = calls.where("key is not null and ts is not null").selectExpr("key", "call_id", "unix_micros(ts) / 1000000D AS at")
-    return rows.groupBy("key").applyInPandasWithState(step, "key string, call_id long, admitted boolean", "times array<double>", "append", GroupStateTimeout.NoTimeout)
+    rows = calls.where("key is not null and ts is not null").withWatermark("ts", late).selectExpr("ts AS event_time", "key", "call_id", "unix_micros(ts) / 1000000D AS at")
+    return rows.groupBy("key").applyInPandasWithState(step, "key string, call_id long, admitted boolean", "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def daily_activity(history: DataFrame, late: str = "2 days") -> DataFrame:
@@ -64,8 +74,9 @@ def daily_activity(history: DataFrame, late: str = "2 days") -> DataFrame:
 def newest_by_fingerprint(path: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink that keeps the newest record of each fingerprint in versioned tables under ``path``.
 
-    Batch n reads version n - 1 and writes version n whole; a batch that is
-    repeated writes the same version again.
+    Batch n reads version n - 1 and writes version n; a batch that is repeated
+    writes the same version again, so the one before it is kept and those
+    before that are deleted.
     """
 
     def sink(batch: DataFrame, n: int) -> None:
@@ -75,5 +86,7 @@ def newest_by_fingerprint(path: str) -> Callable[[DataFrame, int], None]:
             rows = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/v{n - 1}"))
         best = rows.groupBy("fingerprint").agg(F.max_by(F.struct(*rows.columns), F.struct("analyzed_at", "record_id")).alias("r")).select("r.*")
         best.write.mode("overwrite").parquet(f"{path}/v{n}")
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v{n - 2}")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return sink
