@@ -33,10 +33,21 @@ def preview(text: Column, limit: int = 230) -> Column:
     return F.when(F.length(t) <= limit, t).otherwise(F.concat(F.rtrim(F.left(t, F.lit(limit - 1))), F.lit("…")))
 
 
-def clipped(text: Column, limit: int) -> Column:
-    """At most ``limit`` characters, cut at a word's end where there is one."""
+def clipped(text: Column, limit: int, mark: str = "\n[cut]") -> Column:
+    """At most ``limit`` characters and a mark, cut at the last blank if that loses less than two fifths."""
+    return F.when(F.length(F.trim(text)) <= limit, F.trim(text)).otherwise(F.concat(_head(F.trim(text), limit), F.lit(mark)))
+
+
+def exact_span(text: Column, limit: int = 180) -> Column:
+    """A quotation in one line without outer quotes, shortened without a character that isn't in the text."""
+    t = F.regexp_replace(collapsed(text), r"""^["']+|["']+$""", "")
+    return F.when(F.length(t) <= limit, t).otherwise(_head(t, limit))
+
+
+def _head(text: Column, limit: int) -> Column:
     head = F.left(text, F.lit(limit))
-    return F.when(F.length(text) <= limit, text).otherwise(F.regexp_replace(head, r"\s+\S*$", ""))
+    last = limit - F.instr(F.reverse(head), " ")  # characters before the last blank
+    return F.rtrim(F.when(F.contains(head, F.lit(" ")) & (last > limit * 0.6), F.left(head, last)).otherwise(head))
 
 
 def action_score(text: Column, patterns: list[tuple[str, int]] = ACTION_PATTERNS) -> Column:
@@ -60,16 +71,91 @@ def evidence_form(text: Column) -> Column:
     return F.lower(collapsed(F.translate(text, QUOTES_DASHES, "'" * 4 + '"' * 5 + "-" * 3)))
 
 
+#: Four or more joiners that stand alone, with blanks between them, are padding; those within words stay.
+JOINER_PADDING = r"(?:[\u200c\u200d][ \t]*){4,}"
+
+
 def ai_view(text: Column) -> Column:
-    """Without invisible format controls; runs of spaces and blank lines shortened."""
-    seen = F.translate(text, CONTROLS, "")
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(seen, r"[ \t]{2,}", " "), r" *\r?\n", "\n"), r"\n{3,}", "\n\n")
+    """Without invisible format controls and joiner padding; runs of blanks and of empty lines shortened."""
+    plain = CONTROLS.replace("\u200c", "").replace("\u200d", "")
+    seen = F.regexp_replace(F.translate(text, plain, ""), JOINER_PADDING, "")
+    seen = F.regexp_replace(F.regexp_replace(seen, r"\r\n?", "\n"), r"[^\S\n]+", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(seen, r"\n[ \t]+", "\n"), r"\n{3,}", "\n\n"), F.lit(" \n"))
 
 
 def removed_controls(text: Column) -> Column:
     return F.length(text) - F.length(F.translate(text, CONTROLS, ""))
 
 
+def padding_runs(text: Column) -> Column:
+    return F.regexp_count(F.translate(text, CONTROLS.replace("\u200c", "").replace("\u200d", ""), ""), F.lit(JOINER_PADDING))
+
+
+def looks_like_html(text: Column) -> Column:
+    """An opening tag of the usual elements of a page."""
+    return F.coalesce(text.rlike(r"(?i)<\s*(!doctype\s+html|html|head|body|style|table|div|span|p|br|a|img)\b"), F.lit(False))
+
+
+#: Own words: to scan, and what is scanned, in one stretch of text.
+QR_REQUEST = r"(?is)\b(scan\w*|scannen|inquadra\w*|escane\w*|flash\w*)\b.{0,120}?\b(qr|code|codice|c[oó]digo)\b"
+#: Own words for money matters, and for a document that comes along.
+MONEY = r"(?i)\b(invoices?|bill|payments?|remittance|transfer|fattur[ae]|pagament[oi]|bonifico|factures?|faktur[ay]?|rechnung(en)?|przelew|facturas?)\b"
+ENCLOSED = r"(?i)\b(attached|attachment|enclosed|in allegato|allegat[oaie]|ci-joint|im anhang|adjunt[oa]|w za[lł][aą]czeniu|za[lł][aą]cznik\w*)\b"
+
+
+def qr_request(text: Column) -> Column:
+    """The words that ask the reader to scan a code; '' if there are none."""
+    return F.regexp_extract(F.coalesce(text, F.lit("")), QR_REQUEST, 0)
+
+
+def financial_claim(text: Column) -> Column:
+    """Money is spoken of and so is a document that comes along."""
+    t = F.coalesce(text, F.lit(""))
+    return t.rlike(MONEY) & t.rlike(ENCLOSED)
+
+
+def guarded(text: Column, name: str = "UNTRUSTED_EMAIL") -> Column:
+    """A text that can't open or close the block of a prompt that it stands in."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), rf"(?i)</?{name}>", "[EMAIL_BOUNDARY_TEXT_REMOVED]")
+
+
+#: Lines that a compaction puts in the place of what it leaves out.
+COMPACTION_NOTICES = ["[repeated block left out]", "[rows left out]", "[HTML alternative]", "[Plain text alternative]", "[shared paragraphs left out]"]
+
+
+def without_compaction_notices(text: Column) -> Column:
+    """Without the lines that a compaction put in: they can't bear out a quotation."""
+    return F.array_join(F.filter(F.split(text, r"\r?\n"), lambda x: ~F.trim(x).isin(COMPACTION_NOTICES)), "\n")
+
+
+# Address of the mail clients' notice on unusual senders, and how the notice begins and ends.
+NOTICE_URL = "https://aka.ms/LearnAboutSenderIdentification"
+NOTICE_TEXTS = [("You don't often get email from ", "Learn why this is important"), ("Non ricevi spesso messaggi di posta elettronica da ", "Scopri perché è importante")]
+
+
+def is_sender_notice_url(url: Column) -> Column:
+    """The very address, with nothing after it."""
+    return F.coalesce(F.lower(F.regexp_extract(url, r"^([^/]*//[^/]*)", 1)).eqNullSafe(F.lit("https://aka.ms")) & url.endswith(NOTICE_URL[len("https://aka.ms") :]) & (F.length(url) == len(NOTICE_URL)), F.lit(False))
+
+
+def without_sender_notice(text: Column) -> Column:
+    """Without the clients' notice, where its words and its address stand together."""
+    for first, last in NOTICE_TEXTS:
+        quoted = [r"\Q" + x + r"\E" for x in (first, last, NOTICE_URL)]
+        text = F.regexp_replace(text, rf"(?i){quoted[0]}[^\n<>]{{1,200}}?\.\s*{quoted[1]}\s*<?{quoted[2]}>?(?![\w/?#])", " ")
+    return text
+
+
+def compact_body(text: Column) -> Column:
+    """One readable form of a visible body: control characters as blanks, no client notice, no runs of blanks or empty lines.
+
+    The text is one that ``visible_text`` and ``normal_form`` have been through.
+    """
+    t = without_sender_notice(F.regexp_replace(text, r"[\x00-\x08\x0B-\x1F\x7F-\x9F]", " "))
+    t = F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r" *\n *", "\n")
+    return F.trim(F.regexp_replace(t, r"\n{3,}", "\n\n"), F.lit(" \n"))
+
+
 def segments(text: Column, least: int = 8) -> Column:
     """Sentences and lines of ``least`` characters or more, the first of those equal but for case."""
     parts = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|\n+"), F.trim), lambda s: F.length(s) >= least)

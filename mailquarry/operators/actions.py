@@ -11,6 +11,7 @@ from mailquarry.functions.text import evidence_form
 PATTERNS = {
     "credentials": r"(?i)\b(password|passcode|otp|pin|one-time code|recovery code|credenzial\w+|contraseña|passwort|mot de passe)\b",
     "payment": r"(?i)\b(pay|payment|transfer|wire|invoice|bonifico|pagamento|pago|überweis\w+|virement)\b",
+    "payment_request": r"(?i)\b(please|kindly|you (must|need to|have to)|prego di|bitte|veuillez|por favor) (pay|transfer|wire|remit|settle|send (the )?(payment|money)|pagare|versare|überweisen|payer|virer|pagar|transferir)\b|\b(pay|wire|transfer|remit) (now|today|immediately|by \w+|the (amount|sum|balance|invoice)|to (the|this|our))\b",
     "bank_details": r"(?i)\b(iban|bic|swift|account number|bank details|coordinate bancarie|cuenta bancaria|bankverbindung)\b",
     "threat": r"(?i)\b(suspend\w*|terminat\w*|legal action|blocked|deactivat\w*|sospes\w+|gesperrt|bloque\w+)\b",
     "urgency": r"(?i)\b(urgent\w*|immediately|within \d+ (hours?|days?)|today|subito|sofort|inmediatamente|immédiatement)\b",
@@ -111,7 +112,7 @@ def correlated(m: DataFrame) -> DataFrame:
         ("implicit_bank", f("implicit_bank_instruction"), "pay_or_transfer"),
         ("copy_deception", f("copy_deception"), "open_attachment"),
         ("reward", f("reward") & f("has_links") & a.isin("none", "informational", "visit_link"), "claim_reward"),
-        ("payment", f("payment") & f("bank_details"), "pay_or_transfer"),
+        ("payment", f("payment_request") & (f("bank_details") | f("payment")), "pay_or_transfer"),
         ("credential", f("credentials") & f("supplied_channel"), "provide_credentials"),
         ("unsupported_payment", (a == "pay_or_transfer") & ~f("payment") & ~f("bank_details") & ~f("implicit_bank_instruction"), "informational"),
         ("unsupported_credentials", (a == "provide_credentials") & ~f("credentials"), "informational"),

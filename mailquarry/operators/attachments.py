@@ -134,6 +134,80 @@ def archive_scan(payload: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=_ARCHIVE.names)
 
 
+_SCAN = T.ArrayType(T.StructType([T.StructField("att_index", T.IntegerType()), *_ARCHIVE.fields]))
+
+
+@F.pandas_udf(_SCAN)
+def _message_scan(indexes: pd.Series, payloads: pd.Series) -> pd.Series:
+    out = []
+    for ids, files in zip(indexes, payloads, strict=True):
+        budget = [MAX_DECOMPRESSED]
+        rows = []
+        for i, p in zip(ids, files, strict=True):
+            found, entries, complete = archive_findings(p, 0, budget)
+            rows.append({"att_index": int(i), "findings": [{"key": k, "severity": s, "evidence": e} for k, s, e in found], "entries": entries, "complete": complete})
+        out.append(rows)
+    return pd.Series(out)
+
+
+def message_archives(attachments: DataFrame) -> DataFrame:
+    """(msg_id, att_index, findings, entries, complete) of ZIP files; all files of a message share one budget of unpacked bytes."""
+    z = attachments.where("magic_format = 'zip'").groupBy("msg_id").agg(F.array_sort(F.collect_list(F.struct("att_index", "payload"))).alias("z"))  # a message has 25 attachments at most
+    s = z.select("msg_id", _message_scan(F.transform("z", lambda x: x["att_index"]), F.transform("z", lambda x: x["payload"])).alias("s"))
+    return s.select("msg_id", F.explode("s").alias("s")).select("msg_id", "s.*")
+
+
+def office_security(attachments: DataFrame) -> DataFrame:
+    """(msg_id, att_index, status, findings, analysis_complete) of Office files.
+
+    Macros and external relations of the zipped formats come from the archive
+    scan; the older format needs a library that isn't here, so it only shows
+    its marks and says that it is incomplete.
+    """
+    old = F.col("magic_format") == "ole"
+    new = (F.col("magic_format") == "zip") & F.col("ext").isin("docx", "docm", "dotm", "xlsx", "xlsm", "xlsb", "pptx", "pptm")
+    text = F.decode("payload", "ISO-8859-1")
+    one = lambda key, severity, cond: F.when(cond, F.struct(F.lit(key).alias("key"), F.lit(severity).alias("severity"), F.lit("").alias("evidence")))
+    marks = F.array_compact(F.array(one("macro_storage", "high", old & (F.contains(text, F.lit("_\x00V\x00B\x00A\x00")) | F.contains(text, F.lit("Attribute VB_")))), one("dde_field", "high", old & text.rlike(r"\bDDE(AUTO)?\b")), one("macro_name", "medium", new & F.col("ext").isin("docm", "dotm", "xlsm", "xlsb", "pptm"))))
+    a = attachments.where(old | new)
+    return a.select("msg_id", "att_index", F.when(old, "unavailable").otherwise("inspected").alias("status"), marks.alias("findings"), (~old).alias("analysis_complete"))
+
+
+def qr_inspection(attachments: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(msg_id, att_index, status, request, analysis_complete): pictures and PDF files of messages that ask to scan a code.
+
+    Nothing here can read a code, so each is ``unavailable`` and incomplete; without such a file there is one row that says so.
+    """
+    from mailquarry.functions.text import qr_request
+
+    asked = bodies.select("msg_id", qr_request(F.col("body")).alias("request")).where("request <> ''")
+    files = attachments.where(F.col("content_type").startswith("image/") | F.col("magic_format").isin("png", "jpeg", "gif", "pdf")).select("msg_id", "att_index")
+    both = asked.join(files, "msg_id", "left")
+    return both.select("msg_id", "att_index", F.when(F.col("att_index").isNull(), "not_found").otherwise("unavailable").alias("status"), "request", F.lit(False).alias("analysis_complete"))
+
+
+def script_behaviours(files: DataFrame, sender_registered: Column, suffixes: DataFrame) -> DataFrame:
+    """(msg_id, att_index, behaviours, risk_level) of HTML and SVG files.
+
+    High where fields for secrets go to another site than the sender's, where
+    a picture holds a script, and where a script unpacks or drops a file;
+    medium on any other behaviour.
+    """
+    from mailquarry.functions.urls import host
+    from mailquarry.operators.hosts import registered_domains
+    from mailquarry.operators.html import html_forms
+
+    f = files.withColumn("_text", F.decode("payload", "UTF-8")).withColumn("_own", sender_registered)
+    f = f.where(F.col("ext").isin("html", "htm", "xhtml", "svg") | (F.col("content_type").isin("text/html", "image/svg+xml")))
+    f = f.select("msg_id", "att_index", "_own", html_file_behaviours(F.col("_text")).alias("behaviours"), html_forms("_text").alias("_forms"))
+    t = f.select("msg_id", "att_index", "_own", F.explode("_forms").alias("f")).where("f.sensitive > 0").select("msg_id", "att_index", "_own", host(F.col("f.action")).alias("host"))
+    known = registered_domains(t, suffixes).select("host", "registered_domain")
+    away = t.join(known, "host").where(~F.col("registered_domain").eqNullSafe(F.col("_own"))).select("msg_id", "att_index", F.lit(True).alias("_away")).distinct()
+    out = f.join(away, ["msg_id", "att_index"], "left")
+    high = F.coalesce("_away", F.lit(False)) | F.arrays_overlap("behaviours", F.array(*map(F.lit, ("file_drop", "script_in_svg", "decoding"))))
+    return out.select("msg_id", "att_index", "behaviours", F.when(high, "high").when(F.size("behaviours") > 0, "medium").otherwise("low").alias("risk_level"))
+
+
 def archive_summary(findings: DataFrame, samples: int = 4) -> DataFrame:
     """(msg_id, att_index, key, severity, count, samples), high ones first, then by key."""
     g = findings.groupBy("msg_id", "att_index", "key", "severity").agg(F.count("*").alias("count"), F.slice(F.array_sort(F.collect_list("evidence")), 1, samples).alias("samples"))

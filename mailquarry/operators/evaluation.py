@@ -51,6 +51,21 @@ def field_correctness(expected: DataFrame, got: DataFrame) -> DataFrame:
     return both.groupBy("field").agg(F.count_if(F.col("value").eqNullSafe(F.col("_got"))).alias("correct"), F.count("*").alias("total")).withColumn("share", F.col("correct") / F.col("total"))
 
 
+def latency(predictions: DataFrame) -> DataFrame:
+    """Median seconds of the predictions that took any, and how many did: counts by value, then the middle of them."""
+    t = predictions.where(F.col("seconds") > 0).groupBy("seconds").count()
+    return t.agg(F.expr("percentile(seconds, 0.5, count)").alias("median_seconds"), F.coalesce(F.sum("count"), F.lit(0)).alias("timed"))
+
+
+def grounded_rate(quotations: DataFrame) -> DataFrame:
+    """Share of quotations that stand in their text: (quoted, grounded, share) of (quotation, text) rows; empty ones don't count."""
+    from mailquarry.functions.text import evidence_form
+
+    q = quotations.where(F.length(F.trim("quotation")) > 0)
+    hit = F.contains(evidence_form(F.col("text")), evidence_form(F.col("quotation")))
+    return q.agg(F.count("*").alias("quoted"), F.count_if(hit).alias("grounded")).withColumn("share", F.try_divide(F.col("grounded").cast("double"), F.col("quoted")))
+
+
 def duplicates(rows: DataFrame, exact: Column, folded: Column, order: Column) -> DataFrame:
     """duplicate_of: the first row with the same bytes, else the first with the same folded content; null for firsts."""
     e, f = F.first("_o").over(Window.partitionBy("_e").orderBy("_o")), F.first("_o").over(Window.partitionBy("_f").orderBy("_o"))

@@ -22,8 +22,8 @@ def message_flags(m: DataFrame) -> DataFrame:
     c = lambda n, t="boolean": F.col(n) if n in m.columns else F.lit(None).cast(t)
     spf, dkim, dmarc = (F.lower(c(n, "string")) for n in ("spf", "dkim", "dmarc"))
     ok = F.coalesce(c("spf_authorised"), F.lit(False))
-    passed = F.coalesce(dmarc == "pass", F.lit(False))
-    failed = dmarc.isNotNull() & ~dmarc.isin("pass", "bestguesspass", "none")
+    passed = F.coalesce(dmarc.isin("pass", "bestguesspass"), F.lit(False))
+    failed = dmarc.isin("fail", "softfail", "temperror", "permerror", "policy", "reject", "quarantine")
     rows = [
         _one("MEDIUM", "SPF", "origin and delivery results differ", ~ok & c("spf_conflict")),
         _one("MEDIUM", "SPF", "not passed", ~ok & ~F.coalesce(c("spf_conflict"), F.lit(False)) & (spf != "pass")),
@@ -34,6 +34,10 @@ def message_flags(m: DataFrame) -> DataFrame:
         _one("INFO", "DMARC", "no result", dmarc.isNull()),
         _one(F.nullif(c("reply_level", "string"), F.lit("NONE")), "Reply-To", "replies go elsewhere", F.lit(True)),
         _one(F.when(failed & ~F.coalesce(c("is_bulk_sender"), F.lit(False)), "MEDIUM").otherwise("LOW"), "Return-Path", "another domain", c("return_path_mismatch") & ~passed),
+        _one("LOW", "Return-Path", "no domain in it", (c("return_path", "string") != "") & (c("return_domain", "string") == "")),
+        _one("INFO", "Conversation scope", "an embedded message is judged", c("embedded")),
+        _one("INFO", "Body", "formatting was taken away", c("html_stripped")),
+        _one("INFO", "Received", "sending server observed", c("injection_ip", "string").isNotNull()),
         _one("HIGH", "Display Name", "shows another address", c("display_name_spoofing")),
         _one("MEDIUM", "From", "not exactly one sender", c("from_ambiguous")),
         _one("MEDIUM", "Analysis coverage", "body was cut", c("body_incomplete")),
@@ -66,3 +70,24 @@ def attachment_flags(attachments: DataFrame) -> DataFrame:
     """(msg_id, level, field, message) of attachments: HIGH on any serious finding, else that there is one."""
     level = F.when(F.col("risk_level") == "high", "HIGH").when(F.col("risk_level") == "medium", "MEDIUM").otherwise("INFO")
     return attachments.where("mime_role = 'attachment'").select("msg_id", level.alias("level"), F.lit("Attachment").alias("field"), F.coalesce(F.array_join(F.transform("findings", lambda f: f["key"]), ", "), F.lit("")).alias("message"))
+
+
+def alerts(rows: DataFrame, field: str, level: str = "level", message: str = "message", order: list | None = None, most: int | None = None) -> DataFrame:
+    """(msg_id, level, field, message) of a table of alerts; rows without a level give none, at most ``most`` for each message."""
+    from mailquarry.operators.ranking import top_k
+
+    r = rows.where(F.col(level).isNotNull() & (F.upper(level) != "NONE"))
+    if most:
+        r = top_k(r, ["msg_id"], order or [F.col(message)], most)
+    return r.select("msg_id", F.upper(level).alias("level"), F.lit(field).alias("field"), F.coalesce(F.col(message).cast("string"), F.lit("")).alias("message"))
+
+
+def graded(severity: Column) -> Column:
+    """Level of a finding's severity; low and unknown ones give none."""
+    s = F.lower(severity)
+    return F.when(s.isin("critical", "high"), "HIGH").when(s == "medium", "MEDIUM")
+
+
+def incomplete(scans: DataFrame, kind: str) -> DataFrame:
+    """One flag for each scan of a kind that could not be finished."""
+    return scans.where("not analysis_complete").select("msg_id", F.lit("MEDIUM").alias("level"), F.lit(f"{kind} inspection incomplete").alias("field"), F.concat(F.lit("file "), F.coalesce(F.col("att_index").cast("string"), F.lit("-"))).alias("message"))

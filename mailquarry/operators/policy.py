@@ -271,6 +271,87 @@ def verdicts(evidence: DataFrame) -> DataFrame:
     return final_verdict(technical_risk(identity_risk(content_risk(evidence))))
 
 
+def derived_signals(m: DataFrame) -> DataFrame:
+    """Booleans that follow from the closed set of signals and the action, each also true where the model said so itself."""
+    said = lambda n: F.coalesce(F.col(n), F.lit(False)) if n in m.columns else F.lit(False)
+    has = lambda s: F.coalesce(F.array_contains("signals", s), F.lit(False))
+    urgent = said("urgency_present") | has("urgency")
+    risky = ~F.col("requested_action").isin("none", "informational", "other")
+    return m.withColumns(
+        {
+            "financial_pretext_present": said("financial_pretext_present") | has("financial_pretext"), "financial_incentive_present": said("financial_incentive_present") | has("incentive"),
+            "threat_or_consequence_present": said("threat_or_consequence_present") | has("threat") | said("coercion"), "urgency_present": urgent,
+            "urgency_targets_risky_action": said("urgency_targets_risky_action") | (urgent & risky), "signals": F.array_sort(F.array_distinct("signals")),
+        }
+    )
+
+
+def corroboration(verdict: Column, identity: Column, identity_reasons: Column, technical: Column, technical_reasons: Column, most: int = 4) -> Column:
+    """What speaks for a decision and what against it, at most four of each: struct(details, caveats).
+
+    For a threat doubts about the sender and the files support it, for a clean
+    message proof does; the rest are caveats.
+    """
+    threat, passed = verdict.isin("phishing", "review"), F.array(F.lit("sender authentication passed"))
+    none = F.array().cast("array<string>")
+    who, what = F.coalesce(identity_reasons, none), F.coalesce(technical_reasons, none)
+    proved, clean = identity == "verified", technical == "clean"
+    details = F.when(threat, F.concat(F.when(proved, none).otherwise(who), F.when(clean, none).otherwise(what))).otherwise(F.concat(F.when(proved, passed).otherwise(none), F.when(clean, what).otherwise(none)))
+    caveats = F.when(threat, F.concat(F.when(proved, passed).otherwise(none), F.when(clean, what).otherwise(none))).otherwise(F.concat(F.when(proved, F.array_except(who, passed)).otherwise(who), F.when(clean, none).otherwise(what)))
+    cut = lambda a: F.slice(F.array_distinct(a), 1, most)
+    return F.struct(cut(details).alias("details"), cut(caveats).alias("caveats"))
+
+
+# How much a kind of scam or threat says.
+SCAM_RANK = {"none": 0, "other": 1, "extortion": 2, "sextortion": 3}
+THREAT_RANK = {"none": 0, "other": 1, "data_exposure": 2, "reputation_harm": 2, "private_material_exposure": 3}
+
+
+def verifier_merge(first: Column, second: Column) -> Column:
+    """The second look's fields, but an empty asset or amount, and a less specific scam or threat, is taken from the first.
+
+    Both are structs with payment_asset, amount, scam_type and threat_type; an
+    unknown type ranks as ``other``.
+    """
+    rank = lambda ranks, c: F.coalesce(_map(ranks)[F.coalesce(c, F.lit("none"))], F.lit(1))
+    filled = lambda n: F.coalesce(F.nullif(second[n], F.lit("")), F.nullif(first[n], F.lit("")))
+    better = lambda n, ranks: F.when(rank(ranks, first[n]) > rank(ranks, second[n]), first[n]).otherwise(second[n])
+    return F.struct(filled("payment_asset").alias("payment_asset"), filled("amount").alias("amount"), better("scam_type", SCAM_RANK).alias("scam_type"), better("threat_type", THREAT_RANK).alias("threat_type"))
+
+
+#: Facts that each rule the local clearance out.
+CLEARANCE_BARS = [
+    "credential_submission", "sensitive_request", "payment_requested", "settings_change", "verification_requested", "reward_claim", "bypass_requested", "deceptive", "deterministic_identity_deception",
+    "threat", "forwarded_identity", "spf_conflict", "reply_to_mismatch", "display_name_spoofing", "risky_lookalike", "high_flag", "medium_flag",
+]
+
+
+def local_clearance(m: DataFrame) -> DataFrame:
+    """local_only_clear: ordinary mail of a sender whose server proved it, where outside checks are switched off.
+
+    All must hold: local-only operation; benign content and clean files; a
+    benign vote with a reason, no doubtful second look, no high ambiguity, a
+    confidence of 0.8 where one is given; an action that asks for no secret;
+    DMARC passed by the receiving server's own result and neither SPF nor DKIM
+    is adverse; none of CLEARANCE_BARS; every link within the sender's domain,
+    every attachment inspected and clean, no form.
+    """
+    m = _with_flags(m, [*CLEARANCE_BARS, "local_only", "dmarc_direct", "links_own", "attachments_clean"])
+    col = lambda n, t: F.col(n) if n in m.columns else F.lit(None).cast(t)
+    adverse = ["fail", "softfail", "mixed", "permerror", "temperror", "neutral", "policy"]
+    ok = (
+        _flag("local_only") & (F.col("content_risk") == "benign") & (F.col("technical_risk") == "clean")
+        & (F.col("risk_assessment") == "legitimate") & F.col("risk_rationale").isNotNull() & ~F.coalesce(F.col("second_opinion").isin("disagrees", "unavailable"), F.lit(False))
+        & ~F.coalesce(col("ambiguity", "string") == "high", F.lit(False)) & F.coalesce(col("confidence", "double") >= 0.8, F.lit(True))
+        & F.col("requested_action").isin("visit_link", "open_attachment", "informational") & F.coalesce(F.lower(col("dmarc", "string")) == "pass", F.lit(False)) & _flag("dmarc_direct")
+        & ~F.coalesce(F.lower(col("spf", "string")).isin(adverse), F.lit(False)) & ~F.coalesce(F.lower(col("dkim", "string")).isin(adverse), F.lit(False))
+        & _flag("links_own") & _flag("attachments_clean") & (F.coalesce(col("forms", "bigint"), F.lit(0)) == 0)
+    )
+    for bar in CLEARANCE_BARS:
+        ok = ok & ~_flag(bar)
+    return m.withColumn("local_only_clear", F.coalesce(ok, F.lit(False)))
+
+
 def tone(m: DataFrame) -> DataFrame:
     """tone danger / review / safe and tone_decided_by; first match wins."""
     m = _with_flags(m, ["confirmed_indicator", "high_html_attachment", "analysis_incomplete", "resource_unverified", "high_flag", "medium_flag", "first_party_notice", "informational_only", "dkim_missing_only", "any_mismatch"])

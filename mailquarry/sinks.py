@@ -45,12 +45,36 @@ def write_reports(df: DataFrame, path: str) -> None:
     json_safe(df).write.mode("errorifexists").json(path)
 
 
+def save_history(df: DataFrame, path: str) -> None:
+    """Write a table beside its place and move it there, so that a reader sees all of it or the one before."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    target, draft, old = (jvm.org.apache.hadoop.fs.Path(path + end) for end in ("", ".draft", ".before"))
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(draft, True)
+    json_safe(df).write.parquet(path + ".draft")
+    fs.delete(old, True)
+    if fs.exists(target):
+        fs.rename(target, old)
+    fs.rename(draft, target)
+    fs.delete(old, True)
+
+
 def redacted_preview(content, limit: int = 750_000):
     """A raw message with long encoded blocks replaced by a marker, cut at ``limit`` characters."""
     text = F.decode(content, "ISO-8859-1")
     return F.left(F.regexp_replace(text, r"(?m)(^[A-Za-z0-9+/=]{60,}\r?\n){3,}", "[attachment data removed]\n"), F.lit(limit))
 
 
+def evaluation_report(pairs: DataFrame, timings: DataFrame, fields: DataFrame, path: str) -> None:
+    """Metrics, latency and semantic fields as one JSON line: the report of an evaluation."""
+    from mailquarry.operators import evaluation as ev
+
+    by = F.array_sort(F.collect_list(F.struct("field", "correct", "total", "share"))).alias("fields")
+    one = ev.metrics(pairs).crossJoin(ev.latency(timings)).crossJoin(fields.agg(by))  # one row each
+    one.coalesce(1).write.mode("errorifexists").json(path)
+
+
 def privacy_audit(texts: DataFrame) -> DataFrame:
     """Counts over the column ``text``: rows, rows with addresses, links, IPv4 addresses; distinct account-like strings and valid ones."""
     from mailquarry.functions.text import valid_iban

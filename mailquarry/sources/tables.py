@@ -10,6 +10,14 @@ LABELS = "id string, file string, label string, category string, expected_behavi
 HISTORY = "record_id string, user_id string, analyzed_at timestamp, fingerprint string, tone string, duration_ms bigint, reasons array<string>"
 
 
+def reports(spark, path: str, schema: str):
+    """Stored reports, one JSON object a line, back as rows of ``schema``; lines that aren't are counted in ``_bad``."""
+    from pyspark.sql import functions as F
+
+    rows = spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
+    return rows.withColumn("_bad", F.col("_bad").isNotNull())
+
+
 def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A JSON-lines set; lines that don't parse come as rows with ``_bad`` set."""
     return spark.read.schema(schema + ", _bad string").option("columnNameOfCorruptRecord", "_bad").option("mode", "PERMISSIVE").json(path)

@@ -166,4 +166,6 @@ def test_reply_rules(spark):
     df = spark.createDataFrame(rows, "from_address string, reply_address string, from_count int, reply_to string, same_registered boolean, authenticated boolean, is_bulk_sender boolean")
     assert [r.reply_level for r in envelope.reply_routing(df).collect()] == ["NONE", "HIGH", "INFO"]
     t = spark.createDataFrame([("Re: x", None, None, 0, 0), ("Re: x", "<1>", None, 0, 0), ("Hello", None, None, 0, 2), ("AW: x", None, None, 0, 1)], "subject string, in_reply_to string, references string, quoted_recipient int, quoted_other int")
-    assert [r.threading_level for r in envelope.reply_threading(t).collect()] == ["MEDIUM", "NONE", "NONE", "HIGH"]
+    assert [r.threading_level for r in envelope.reply_threading(t).collect()] == ["MEDIUM", "NONE", "NONE", "MEDIUM"]
+    assert [r.threading_level for r in envelope.reply_threading(t.withColumns({"quoted_recipient": F.lit(1)})).collect()] == ["HIGH", "NONE", "NONE", "HIGH"]
+    assert [r.threading_level for r in envelope.reply_threading(t.withColumns({"is_bulk_sender": F.lit(True)})).collect()] == ["LOW", "NONE", "NONE", "MEDIUM"]
