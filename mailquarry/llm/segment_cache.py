@@ -9,6 +9,7 @@ before its ids are taken, so ids never come from another segment.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
@@ -28,8 +29,8 @@ class SegmentCache:
     ``encode(segments)`` encodes segments, ``whole(text)`` one whole text.
     """
 
-    def __init__(self, cut: Callable, encode: Callable[[list[bytes]], list[list[int]]], whole: Callable[[bytes], list[int]]):
-        self.cut, self.encode, self.whole = cut, encode, whole
+    def __init__(self, cut: Callable, encode: Callable[[list[bytes]], list[list[int]]], whole: Callable[[bytes], list[int]], remembered: int = REMEMBERED):
+        self.cut, self.encode, self.whole, self.most = cut, encode, whole, remembered
         self._forget()
 
     def _forget(self) -> None:
@@ -75,7 +76,7 @@ class SegmentCache:
         rows = len(self.starts) + np.arange(len(at))
         self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(sizes) - sizes]
         self.sizes = np.r_[self.sizes, sizes]
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
         self.text_at = np.r_[self.text_at, len(self.text) + np.cumsum(span) - span]
         self.text_size = np.r_[self.text_size, span]
         self.text = np.concatenate([self.text, np.frombuffer(b"".join(segments), np.uint8)])
@@ -93,7 +94,7 @@ class SegmentCache:
 
     def _piece(self, data: np.ndarray, offs: np.ndarray, end: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = len(offs) - 1
-        if len(self.starts) > REMEMBERED or len(self.text) > 32 * REMEMBERED:
+        if len(self.starts) > self.most or len(self.text) > 32 * self.most:
             self._forget()
         at, whole = self.cut(data, offs) if len(data) else (np.zeros(0, np.int64), np.zeros(n, bool))
         rows = self._rows(data, at) if len(at) else np.zeros(0, np.int64)

@@ -8,6 +8,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ from mailquarry.llm.bytetext import pieces, text_buffer
 from mailquarry.llm.segment_cache import SegmentCache
 from mailquarry.llm.storage import bounded_batches, documents, trimmed
 
+#: Segments that a worker remembers.
+REMEMBERED = 1_500_000
 #: Threads of one call into the libraries; Spark's tasks already fill the cores, so few.
 THREADS = 2
 # Fixed values of the SentencePiece model format.
@@ -157,7 +160,7 @@ class PieceTokenizer:
             import sentencepiece
 
             self.other = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.cache = SegmentCache(self._cut, self._encode, lambda t: self._encode([t])[0])
+        self.cache = SegmentCache(self._cut, self._encode, lambda t: self._encode([t])[0], REMEMBERED)
         self.cache.noted = self._noted
         #: Normalisation leaves the text as it is, but for the dummy prefix.
         self.plain = self.map is None and not m.squeeze and m.dummy_prefix
@@ -192,7 +195,10 @@ class PieceTokenizer:
 
     def _encode(self, segments: list[bytes]) -> list[list[int]]:
         """Ids of segments, all in one multithreaded call."""
-        return [e.ids for e in self.core.encode_batch([s.decode().replace(" ", SPACE) for s in segments], add_special_tokens=False)]
+        texts = b"\0".join(segments).decode().replace(" ", SPACE).split("\0")
+        if len(texts) != len(segments):  # a text has that character itself
+            texts = [s.decode().replace(" ", SPACE) for s in segments]
+        return [e.ids for e in self.core.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _noted(self, segments: list[bytes], ids: list[list[int]]) -> list[int]:
         """1 where decoding gives another text than the segment."""
@@ -214,7 +220,7 @@ class PieceTokenizer:
                 texts = [raw[a:b].decode() for a, b in zip(offs[i:j].tolist(), offs[i + 1 : j + 1].tolist(), strict=True)]
                 theirs = self.other.encode(texts, num_threads=self.threads)
                 size = np.array([len(x) for x in theirs])
-                flat = np.fromiter((x for ids_of in theirs for x in ids_of), np.uint32, int(size.sum()))
+                flat = np.fromiter(chain.from_iterable(theirs), np.uint32, int(size.sum()))
                 own, n = ids[ends[i] : ends[j]], np.diff(ends[i : j + 1])
                 parity[i:j] = n == size
                 if len(own) == len(flat) and parity[i:j].all():
