@@ -51,10 +51,15 @@ def ground(quotation: str | None, source: str | None, hosts: list[str] | None =
     return "run" if run >= RUN_CHARS and run >= RUN_SHARE * len(q) else None
 
 
+#: Own marks of lines that close a mailing.
+FOOTER = re.compile(r"(?i)unsubscribe|view (this|it) (e?mail )?(in|online)|all rights reserved|©|\(c\) ?\d{4}|privacy (policy|notice)|manage (your )?(preferences|subscription)|disiscriv|abmelden|se désabonner|darse de baja")
+
+
 def merged_alternatives(first: str | None, second: str | None) -> str:
     """A body with the paragraphs that only its alternative rendering has, each with a neighbour on either side, under a marker.
 
-    Paragraphs that differ in links, case or white space alone are the same.
+    Paragraphs that differ in links, case or white space alone are the same,
+    and a footer of the usual lines is nothing new.
     """
     bare = lambda p: folded(re.sub(r"(?i)https?://\S+", "", p))
     cut = lambda t: [p.strip() for p in re.split(r"\n\s*\n", t or "") if p.strip()]
@@ -63,7 +68,8 @@ def merged_alternatives(first: str | None, second: str | None) -> str:
         return "\n\n".join(b)
     have = {bare(p) for p in a}
     whole = " ".join(bare(p) for p in a)
-    new = [k for k, p in enumerate(b) if bare(p) and bare(p) not in have and bare(p) not in whole]
+    foot = lambda p: all(FOOTER.search(x) or not x.strip() for x in p.split("\n"))
+    new = [k for k, p in enumerate(b) if bare(p) and bare(p) not in have and bare(p) not in whole and not foot(p)]
     if not new:
         return "\n\n".join(a)
     shown = sorted({j for k in new for j in (k - 1, k, k + 1) if 0 <= j < len(b)})

@@ -72,7 +72,7 @@ def evidence_form(text: Column) -> Column:
 
 
 #: Four or more joiners that stand alone, with blanks between them, are padding; those within words stay.
-JOINER_PADDING = r"(?:[\u200c\u200d][ \t]*){4,}"
+JOINER_PADDING = r"(?:[\u200c\u200d][ \t]*){4}[\u200c\u200d \t]*"
 
 
 def ai_view(text: Column) -> Column:
@@ -164,9 +164,9 @@ def segments(text: Column, least: int = 8) -> Column:
 
 def list_row_shape(line: Column) -> Column:
     """A line with links, numbers and words abstracted."""
-    s = F.regexp_replace(F.trim(line), r"(?i)https?://\S+", "<u>")
-    s = F.regexp_replace(s, r"[0-9]+([.,][0-9]+)*", "<n>")
-    return F.regexp_replace(s, r"[A-Za-zÀ-ɏ']+( +[A-Za-zÀ-ɏ']+)*", "<w>")
+    s = F.regexp_replace(F.trim(line), r"(?i)https?://\S+", "<@>")
+    s = F.regexp_replace(s, r"[0-9](?:[0-9.,]*[0-9])?", "<#>")
+    return F.regexp_replace(s, r"[A-Za-zÀ-ɏ'](?:[A-Za-zÀ-ɏ' ]*[A-Za-zÀ-ɏ'])?", "<w>")  # no repeated group: those overflow the stack on long lines
 
 
 def reply_prefix(subject: Column) -> Column:
@@ -218,6 +218,20 @@ def skeletons(label: Column) -> Column:
     return F.array_distinct(F.array(one("l"), one("i")))
 
 
+def only_words(label: Column, words: list[str], longest: int = 16) -> Column:
+    """Whether a name, digits and hyphens apart, is nothing but words of a list one after the other."""
+    known = F.array(*(F.lit(w) for w in words if len(w) <= longest))
+    s = F.regexp_replace(F.lower(label), "[0-9-]", "")
+    n = F.length(s)
+
+    def reached(ends: Column, i: Column) -> Column:
+        fits = F.exists(known, lambda w: (F.length(w) <= i) & F.array_contains(ends, i - F.length(w)) & (F.substring(s, i - F.length(w) + 1, F.length(w)) == w))
+        return F.when(fits, F.array_append(ends, i)).otherwise(ends)
+
+    ends = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.array(F.lit(0)), reached)
+    return F.coalesce((n > 0) & F.array_contains(ends, n), F.lit(False))
+
+
 def typo_class(a: Column, b: Column) -> Column:
     """One swap of neighbours, one doubled letter or one hyphen apart."""
     n, m = F.length(a), F.length(b)

@@ -68,6 +68,37 @@ def public_ip(text: str | None) -> bool | None:
         return None
 
 
+#: Own map of letters of other scripts that look like Latin ones.
+LOOKALIKE = dict(zip("аеорсухіјѕԁһӏкмтвнαορνικτυχϲ", "aeopcyxijsdhlkmtbhaopviktuxc", strict=True))
+
+
+def latin_look(text: str | None) -> str | None:
+    """What a name looks like in Latin letters: compatibility forms, then look-alikes of other scripts."""
+    return None if text is None else "".join(LOOKALIKE.get(c, c) for c in unicodedata.normalize("NFKC", text).lower())
+
+
+_ADDRESS = re.compile(r"(?<![\w.:])(?:\d{1,3}(?:\.\d{1,3}){3}|(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f.]{0,15})(?![\w:])")
+
+
+def addresses_of(text: str | None) -> list[str]:
+    """The distinct valid addresses in a text, in order; host numbers out of range and times of day are none."""
+    out: list[str] = []
+    for m in _ADDRESS.finditer(text or ""):
+        try:
+            found = str(ipaddress.ip_address(m[0]))
+        except ValueError:
+            continue
+        if found not in out:
+            out.append(found)
+    return out
+
+
+def preferred_address(text: str | None) -> str | None:
+    """The first public address in a text, else the first."""
+    found = addresses_of(text)
+    return next((a for a in found if ipaddress.ip_address(a).is_global), found[0] if found else None)
+
+
 def _series(f):
     def run(s: pd.Series) -> pd.Series:
         return s.map(f)
@@ -79,4 +110,7 @@ normal_form = F.pandas_udf(_series(plain_form), T.StringType())
 host_ascii = F.pandas_udf(_series(ascii_host), T.StringType())
 host_shown = F.pandas_udf(_series(shown_host), T.StringType())
 has_mixed_script = F.pandas_udf(_series(mixed_script), T.BooleanType())
+latin_form = F.pandas_udf(_series(latin_look), T.StringType())
+text_addresses = F.pandas_udf(_series(addresses_of), T.ArrayType(T.StringType()))
+sender_address = F.pandas_udf(_series(preferred_address), T.StringType())
 is_public_ip = F.pandas_udf(_series(public_ip), T.BooleanType())

@@ -85,6 +85,11 @@ def is_ipv4_host(url: Column) -> Column:
     return host(url).rlike(rf"^{octet}(\.{octet}){{3}}$")
 
 
+def is_ip_host(url: Column) -> Column:
+    """The host is an address: IPv4, or IPv6 in brackets."""
+    return is_ipv4_host(url) | host(url).rlike(r"^\[(?=[^\]]*:[^\]]*:)[0-9a-f:.]+(%25[a-z0-9]+)?\]$")
+
+
 def nonstandard_port(url: Column) -> Column:
     return port(url).isNotNull() & ~(((scheme(url) == "http") & (port(url) == 80)) | ((scheme(url) == "https") & (port(url) == 443)))
 
@@ -96,6 +101,17 @@ def redirect_targets(url: Column) -> Column:
     return F.slice(F.array_distinct(F.transform(good, lambda p: p["v"])), 1, 5)
 
 
+def redirect_hosts(url: Column) -> Column:
+    """Hosts of the destinations within an address, in order; the last is where it ends."""
+    full = F.transform(redirect_targets(url), lambda t: F.when(t.startswith("//"), F.concat(F.lit("https:"), t)).otherwise(t))
+    return F.filter(F.transform(full, host), lambda h: h != "")
+
+
+def final_host(url: Column) -> Column:
+    """The host where an address ends: of the last destination within it, else its own."""
+    return F.coalesce(F.try_element_at(redirect_hosts(url), F.lit(-1)), host(url))
+
+
 def download_name(url: Column) -> Column:
     """Last path part if it has an extension, else ''."""
     last = F.element_at(F.split(path(url), "/"), -1)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import re
+import time
 import zipfile
 import zlib
 
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 
 # Limits of archive inspection.
 MAX_DEPTH, MAX_ENTRIES, MAX_DECLARED, MAX_DECOMPRESSED, MAX_MEMBER, RATIO = 2, 250, 50 << 20, 16 << 20, 2 << 20, 100
+MAX_SECONDS = 3.0
 # First bytes of file formats, the first match wins.
 MAGIC = [("504B0304", "zip"), ("25504446", "pdf"), ("4D5A", "exe"), ("7F454C46", "elf"), ("D0CF11E0A1B11AE1", "ole"), ("52617221", "rar"), ("377ABCAF271C", "7z"), ("1F8B", "gzip"), ("89504E47", "png"), ("FFD8FF", "jpeg"), ("47494638", "gif"), ("4C00000001140200", "lnk")]
 DANGEROUS = ["exe", "scr", "com", "pif", "js", "jse", "vbs", "vbe", "wsf", "hta", "bat", "cmd", "ps1", "msi", "lnk", "iso", "img", "jar", "cpl", "reg"]
@@ -68,10 +70,27 @@ def attachments(messages: DataFrame) -> DataFrame:
     return a.withColumns({"extension_match": match, "mime_match": mime, "findings": findings}).withColumn("risk_level", F.when(F.exists("findings", lambda f: f["severity"] == "high"), "high").when(F.exists("findings", lambda f: f["severity"] == "medium"), "medium").otherwise("low"))
 
 
-def archive_findings(payload: bytes | None, depth: int = 0, budget: list[int] | None = None) -> tuple[list[tuple[str, str, str]], int, bool]:
+def actionable(files: DataFrame) -> DataFrame:
+    """Attachments that a reader would open: pictures that a page shows are left out."""
+    return files.where("mime_role <> 'inline_resource'")
+
+
+def field_findings(xml: bytes, name: str) -> list[tuple[str, str, str]]:
+    """Fields of a document that fetch or run something: DDE is serious, links from fields need a look."""
+    text = re.sub(r"<[^>]+>", "", " ".join(re.findall(r"(?s)<w:instrText[^>]*>(.*?)</w:instrText>|<w:fldSimple[^>]*w:instr=\"[^\"]*\"", xml.decode("utf-8", "replace"))))
+    simple = " ".join(re.findall(r'w:instr="([^"]*)"', xml.decode("utf-8", "replace")))
+    found = []
+    if re.search(r"\bDDE(AUTO)?\b", text + " " + simple):
+        found.append(("dde_field", "high", name))
+    found += [("hyperlink_field", "low", u[:200]) for u in re.findall(r"HYPERLINK\s+(?:&quot;|\")?(https?://[^\s\"&]+)", text + " " + simple)[:10]]
+    return found
+
+
+def archive_findings(payload: bytes | None, depth: int = 0, budget: list[int] | None = None, until: float | None = None) -> tuple[list[tuple[str, str, str]], int, bool]:
     """(findings, entries, complete) of a ZIP file; limits that are met make it incomplete, never clean."""
     found: list[tuple[str, str, str]] = []
     budget = budget if budget is not None else [MAX_DECOMPRESSED]
+    until = until if until is not None else time.monotonic() + MAX_SECONDS
     try:
         z = zipfile.ZipFile(io.BytesIO(payload or b""))
         infos = z.infolist()
@@ -83,6 +102,8 @@ def archive_findings(payload: bytes | None, depth: int = 0, budget: list[int] |
         found.append(("declared_size", "high", str(sum(i.file_size for i in infos))))
     complete = len(infos) <= MAX_ENTRIES
     for i in infos[:MAX_ENTRIES]:
+        if time.monotonic() > until:
+            return [*found, ("time_limit", "medium", i.filename)], len(infos), False
         ext = i.filename.rsplit(".", 1)[-1].lower() if "." in i.filename else ""
         if i.flag_bits & 1:
             found.append(("encrypted_member", "medium", i.filename))
@@ -97,7 +118,8 @@ def archive_findings(payload: bytes | None, depth: int = 0, budget: list[int] |
         if i.file_size > (64 << 10) and i.file_size > RATIO * max(1, i.compress_size):
             found.append(("compression_bomb", "high", i.filename))
             return found, len(infos), False
-        if ext in ("zip", "docx", "xlsx", "pptx", "rels", "jar") and not i.is_dir():
+        fields = i.filename.endswith("word/document.xml")
+        if (fields or ext in ("zip", "docx", "xlsx", "pptx", "rels", "jar")) and not i.is_dir():
             if i.file_size > MAX_MEMBER or i.file_size > budget[0]:
                 complete = False
                 continue
@@ -111,7 +133,9 @@ def archive_findings(payload: bytes | None, depth: int = 0, budget: list[int] |
                 complete = False
                 continue
             budget[0] -= len(data)
-            if ext == "rels":
+            if fields:
+                found += field_findings(data, i.filename)
+            elif ext == "rels":
                 for kind, target in re.findall(r'Type="[^"]*/(\w+)"[^>]*Target="([^"]+)"[^>]*TargetMode="External"', data.decode("utf-8", "replace")):
                     if kind in ("attachedTemplate", "oleObject", "frame", "subDocument"):
                         found.append(("external_relationship", "high", target[:200]))
@@ -119,7 +143,7 @@ def archive_findings(payload: bytes | None, depth: int = 0, budget: list[int] |
                 found.append(("nested_too_deep", "medium", i.filename))
                 complete = False
             else:
-                inner, _, ok = archive_findings(data, depth + 1, budget)
+                inner, _, ok = archive_findings(data, depth + 1, budget, until)
                 found += inner
                 complete &= ok
     return found, len(infos), complete

@@ -15,6 +15,10 @@ from mailquarry.operators.ranking import runs
 #: Lines that end the writer's own words.
 LEGAL = re.compile(r"(?i)\b(confidential(ity)?|disclaimer|privacy|gdpr|unsubscribe|riservat[oaie]|datenschutz|intended recipient)\b")
 SIGN_OFF = re.compile(r"(?i)^\s*(--\s*$|best regards|kind regards|regards|sincerely|cordiali saluti|distinti saluti|mit freundlichen gr[üu](ß|ss)en|saludos|cordialement)\b")
+CONTACT = re.compile(r"(?i)(\+?\d[\d ()./-]{6,}\d|[^\s@]+@[^\s@]+\.[a-z]{2,}|\bwww\.|\b(tel|phone|mobile|fax|via|street|str\.)\b)")
+#: A line that parts the writer's words from what came before: dashes or underscores alone.
+SEPARATOR = re.compile(r"^\s*[-_=*]{5,}\s*$")
+OUTLOOK = re.compile(r"(?i)^\s*\*{0,2}(from|da|de|von)\*{0,2}\s*:.*\S")
 QUOTED = re.compile(r"(?is)[\"“«][^\"”»\n]{0,400}[\"”»]|\b(?:said|wrote|asked|told (?:us|me))\b[^.\n]*")
 
 
@@ -74,6 +78,12 @@ def trimmed_tail(text: str | None) -> str | None:
     legal = next((k for k, x in enumerate(lines) if k > 0 and LEGAL.search(x)), None)
     if legal is not None:
         above = [k for k in range(max(0, legal - 12), legal) if SIGN_OFF.match(lines[k])]
+        if not above:  # a card of contact lines right above the footer goes with it
+            k = legal
+            while k > 1 and (not lines[k - 1].strip() or CONTACT.search(lines[k - 1])):
+                k -= 1
+            if sum(bool(CONTACT.search(x)) for x in lines[k:legal]) >= 2:
+                above = [k]
         return "\n".join(lines[: above[0] if above else legal]).rstrip()
     offs = [k for k, x in enumerate(lines) if SIGN_OFF.match(x)]
     return "\n".join(lines[: offs[-1] + 2]).rstrip() if offs and offs[-1] > 0 else text.rstrip()
@@ -99,7 +109,10 @@ def selected(text: str | None) -> dict:
     if forwarded and len(outer) < 200:
         mode, body = "forwarded", "\n\n".join(x for x in (outer, *(trimmed_tail(s["text"]) or "" for s in forwarded[:3])) if x)
     elif len(segs) > 1:
-        mode, body = "reply", outer
+        block = any(OUTLOOK.match(x) for x in (text or "").split("\n")) and segs[1]["subject"] is not None
+        mode, body = "outlook" if block else "reply", outer
+    elif any(SEPARATOR.match(x) for x in outer.split("\n")[1:]) and len(re.split(r"(?m)^\s*[-_=*]{5,}\s*$", outer)[0].strip()) >= 40:
+        mode, body = "separator", re.split(r"(?m)^\s*[-_=*]{5,}\s*$", outer)[0].rstrip()
     else:
         mode, body = "normal", outer
     body = without_repeats(body) or ""

@@ -78,6 +78,13 @@ def segments(bodies: DataFrame) -> DataFrame:
     return target_and_context(s, "msg_id", "position", "action_score")
 
 
+def forwarded_identity(segs: DataFrame) -> DataFrame:
+    """(msg_id, from_raw, address, domain, date_raw, subject): whom the first forwarded turn of a message is from."""
+    f = segs.where("kind = 'forwarded'")
+    best = f.groupBy("msg_id").agg(F.min_by(F.struct("from_raw", "address", "domain", "date_raw", "subject"), "position").alias("f"))
+    return best.select("msg_id", "f.*").where("from_raw is not null")
+
+
 def manifest(segs: DataFrame) -> DataFrame:
     """The public part: everything but the texts, as one ordered array for each message."""
     fields = [c for c in segs.columns if c not in ("msg_id", "text")]

@@ -68,8 +68,10 @@ def grounded_rate(quotations: DataFrame) -> DataFrame:
 
 def duplicates(rows: DataFrame, exact: Column, folded: Column, order: Column) -> DataFrame:
     """duplicate_of: the first row with the same bytes, else the first with the same folded content; null for firsts."""
-    e, f = F.first("_o").over(Window.partitionBy("_e").orderBy("_o")), F.first("_o").over(Window.partitionBy("_f").orderBy("_o"))
-    out = rows.withColumn("_e", exact).withColumn("_f", folded).withColumn("_o", order).withColumn("_fe", e).withColumn("_ff", f)
+    out = rows.withColumn("_e", exact).withColumn("_f", folded).withColumn("_o", order)
+    for key, first in (("_e", "_fe"), ("_f", "_ff")):  # partial minima, so that a common text is never one task
+        least = out.groupBy(key).agg(F.min("_o").alias(first), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+        out = out.join(least, key, "left")
     kind = F.when(F.col("_fe") < F.col("_o"), "exact").when(F.col("_ff") < F.col("_o"), "content")
     return out.withColumn("duplicate_kind", kind).withColumn("duplicate_of", F.when(kind == "exact", F.col("_fe")).when(kind == "content", F.col("_ff"))).drop("_e", "_f", "_o", "_fe", "_ff")
 
@@ -87,9 +89,18 @@ def contained(passages: DataFrame, texts: DataFrame, least: int = 120, words: in
     many = p.where(F.size("w") >= words + 2).select("item_id", "passage", F.xxhash64(*(F.get("w", F.lit(k + 1)) for k in range(words))).alias("h"))
     w = F.split("text", r"\s+")
     grams = F.transform(F.sequence(F.lit(0), F.size("w") - words), lambda i: F.xxhash64(*(F.get("w", i + k) for k in range(words))))
-    found = t.withColumn("w", w).where(F.size("w") >= words).select("doc_id", "text", F.explode(F.array_distinct(grams)).alias("h")).join(many, "h")
-    rest = t.join(p.where(F.size("w") < words + 2).select("item_id", "passage"), F.contains("text", "passage"))
-    return found.where(F.contains("text", "passage")).select("item_id", "doc_id").unionByName(rest.select("item_id", "doc_id")).distinct()
+    pairs = t.withColumn("w", w).where(F.size("w") >= words).select("doc_id", F.explode(F.array_distinct(grams)).alias("h")).join(many.select("item_id", "h"), "h").select("item_id", "doc_id").distinct()
+    found = pairs.join(t, "doc_id").join(many.select("item_id", "passage"), "item_id")  # texts travel once for each pair, not with each gram
+    few = p.where(F.size("w") < words + 2).select("item_id", "passage", F.xxhash64(F.left("passage", F.lit(least))).alias("h"))
+    asked = few.limit(1).count()
+    hit = found.where(F.contains("text", "passage")).select("item_id", "doc_id")
+    if not asked:
+        return hit.distinct()
+    # a passage of few words is long words: its first ``least`` characters stand somewhere in the text
+    starts = F.transform(F.sequence(F.lit(1), F.length("text") - least + 1), lambda i: F.xxhash64(F.substring("text", i, F.lit(least))))
+    near = t.select("doc_id", F.explode(F.array_distinct(starts)).alias("h")).join(few.select("item_id", "h"), "h").select("item_id", "doc_id").distinct()
+    rest = near.join(t, "doc_id").join(few.select("item_id", "passage"), "item_id").where(F.contains("text", "passage"))
+    return hit.unionByName(rest.select("item_id", "doc_id")).distinct()
 
 
 def performance_summary(calls: DataFrame, by: str = "msg_id") -> DataFrame:

@@ -30,8 +30,9 @@ def brand_in_display(display: Column, brand: Column) -> Column:
 
 def identity_text(text: Column) -> Column:
     """A text without addresses, links and host names, and without sentences that tell a model what to put out."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?i)[^.!?\n]*\b(claimed_brand|claimed_role|ignore (all )?previous instructions)\b[^.!?\n]*", " ")
-    return F.regexp_replace(t, r"(?i)https?://\S+|www\.\S+|[^\s@]+@[^\s@]+|\b([a-z0-9-]+\.)+[a-z]{2,}\b", " ")
+    t, orders = F.coalesce(text, F.lit("")), r"\b(claimed_brand|claimed_role|ignore (all )?previous instructions)\b"
+    t = F.when(t.rlike(f"(?i){orders}"), F.regexp_replace(t, rf"(?i)[^.!?\n]*{orders}[^.!?\n]*", " ")).otherwise(t)
+    return F.regexp_replace(t, r"(?i)https?://\S+|www\.\S+|[^\s@]+@[^\s@]+|\b([a-z0-9-]+\.){1,20}[a-z]{2,}\b", " ")
 
 
 def brand_occurrences(texts: DataFrame, brands: DataFrame) -> DataFrame:
@@ -46,7 +47,7 @@ def brand_occurrences(texts: DataFrame, brands: DataFrame) -> DataFrame:
     first = own.select("msg_id", "place", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), 1))).alias("word"))
     pairs = first.join(named, "word").select("msg_id", "place", "brand").distinct().join(own, ["msg_id", "place"])
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])"), quoted(F.col("brand")), F.lit(r"(?![\p{L}\p{N}_])"))
-    hit = pairs.withColumn("evidence", F.regexp_extract("text", pattern, F.lit(0))).where("evidence <> ''")
+    hit = pairs.withColumn("evidence", F.regexp_substr("text", pattern)).where("evidence is not null")
     return hit.groupBy("msg_id", "brand", "place").agg(F.min("evidence").alias("evidence"))
 
 
@@ -104,7 +105,7 @@ def excluded_domains(*sources: DataFrame) -> DataFrame:
     out = sources[0].select("registered_domain")
     for s in sources[1:]:
         out = out.unionByName(s.select("registered_domain"))
-    return out.where("registered_domain <> ''").distinct()
+    return out.where(F.col("registered_domain").cast("string") != "").distinct()
 
 
 def displays_official(display_domains: Column, official: Column) -> Column:

@@ -26,6 +26,25 @@ def normalised(type_: Column, value: Column) -> Column:
     )
 
 
+def candidates(links: DataFrame, route: DataFrame, files: DataFrame, envelopes: DataFrame) -> DataFrame:
+    """(msg_id, type, key, value, source, seen): what a message offers to be looked up, each type and value once.
+
+    Sources by rank: 1 links, 2 hosts of links, 3 sender domains, 4 addresses
+    of hops, 5 hashes of files; the first one a value has counts.
+    """
+    rows = [
+        links.where(F.col("scheme").isin("http", "https")).select("msg_id", F.lit("url").alias("type"), F.col("url").alias("value"), F.lit(1).alias("source")),
+        links.where("host <> ''").select("msg_id", F.when(F.col("is_ip"), "ip").otherwise("domain").alias("type"), F.col("host").alias("value"), F.lit(2).alias("source")),
+        envelopes.select("msg_id", F.lit("domain").alias("type"), F.explode(F.array("from_domain", "reply_domain", "return_domain")).alias("value"), F.lit(3).alias("source")),
+        route.select("msg_id", F.lit("ip").alias("type"), F.explode("all_ips").alias("value"), F.lit(4).alias("source")),
+        files.select("msg_id", F.lit("sha256").alias("type"), F.col("sha256").alias("value"), F.lit(5).alias("source")),
+    ]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return distinct_indicators(out.withColumn("value", normalised(F.col("type"), F.col("value"))), "msg_id")
+
+
 def capped(indicators: DataFrame, message: str, order: list[Column], k: int = 32) -> DataFrame:
     """At most ``k`` indicators of each message."""
     return indicators.withColumn("_rn", F.row_number().over(Window.partitionBy(message).orderBy(*order))).where(F.col("_rn") <= k).drop("_rn")

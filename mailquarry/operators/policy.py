@@ -32,13 +32,16 @@ def field_key(field: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(field, r"\s+", " ")))
 
 
-def verdict_signals(flags: DataFrame, policy: DataFrame, scope: str | None = None, dmarc_passed: str | None = None) -> DataFrame:
+def verdict_signals(flags: DataFrame, policy: DataFrame, scope: str | None = None, dmarc_passed: str | None = None, reply_level: str | None = None) -> DataFrame:
     """flags (msg_id, level, field, message) with signal, category and effect.
 
     MIME diagnostics don't count, nor do delivery fields of an embedded
     message (``scope`` column) or Return-Path where DMARC passed
     (``dmarc_passed`` column). A DKIM finding that only says none or missing
-    informs. Fields without a policy get ``static.`` and their slug.
+    informs. Mail addresses that older reports flagged as links don't count;
+    a Reply-To finding has the level that its routing has now (``reply_level``
+    column), and goes where that is NONE. Fields without a policy get
+    ``static.`` and their slug.
     """
     key = field_key(F.col("field"))
     keep = ~key.startswith(IGNORED_PREFIX)
@@ -46,6 +49,10 @@ def verdict_signals(flags: DataFrame, policy: DataFrame, scope: str | None = Non
         keep = keep & ~(F.col(scope).eqNullSafe("embedded_unavailable") & key.isin(EMBEDDED_IGNORED))
     if dmarc_passed:
         keep = keep & ~(F.coalesce(F.col(dmarc_passed), F.lit(False)) & (key == "return-path"))
+    keep = keep & ~((key == "link") & F.coalesce(F.lower("message").contains("mailto:"), F.lit(False)))
+    if reply_level:
+        routed = (key == "reply-to") & F.col(reply_level).isNotNull()
+        flags = flags.where(~routed | (F.col(reply_level) != "NONE")).withColumn("level", F.when(routed, F.col(reply_level)).otherwise(F.col("level")))
     out = flags.where(keep).withColumn("field_key", key).join(F.broadcast(policy), "field_key", "left")
     silent = (F.col("field_key") == "dkim") & F.lower("message").rlike(r"\bnone\b|missing|not present")
     effect = F.when(silent, "informational").otherwise(F.coalesce(_map(LEVEL_EFFECTS)[F.upper("level")], F.lit("informational")))

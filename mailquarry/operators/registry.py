@@ -79,6 +79,19 @@ def checked_import(directory: DataFrame, last_sequence: int) -> DataFrame:
     return directory.withColumn("reject_reason", reason)
 
 
+def challenge(domain: Column, record_id: Column, secret: str) -> Column:
+    """The text record that shows control of a domain, made from a secret that only the registry has."""
+    return F.concat(F.lit("mailquarry-verify="), F.sha2(F.concat_ws("|", F.lit(secret), record_id, F.lower(domain)), 256))
+
+
+def control_verified(relations: DataFrame, text_records: DataFrame, secret: str) -> DataFrame:
+    """relations (record_id, domain, ...) with ``verified``: whether a text record of the domain is its challenge."""
+    r = relations.withColumn("_c", challenge(F.col("domain"), F.col("record_id"), secret))
+    seen = text_records.select(F.lower("domain").alias("_d"), F.col("value").alias("_c"), F.lit(True).alias("_ok")).distinct()
+    out = r.join(seen.withColumnRenamed("_d", "_dom").withColumnRenamed("_c", "_val"), (F.lower("domain") == F.col("_dom")) & (F.col("_c") == F.col("_val")), "left")
+    return out.withColumn("verified", F.coalesce("_ok", F.lit(False))).drop("_c", "_dom", "_val", "_ok")
+
+
 def merged(registry: DataFrame, changes: DataFrame) -> DataFrame:
     """The registry after additions and removals: ``op`` add or remove by record_id, the last by ``at`` wins."""
     last = changes.withColumn("_rn", F.row_number().over(Window.partitionBy("record_id").orderBy(F.desc("at")))).where("_rn = 1").drop("_rn")

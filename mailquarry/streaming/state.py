@@ -66,6 +66,50 @@ def quota_admissions(calls: DataFrame, late: str = "1 hour") -> DataFrame:
     return rows.groupBy("key").applyInPandasWithState(step, "key string, call_id long, admitted boolean", "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def first_baselines(uses: DataFrame, late: str = "7 days", ttl_days: int = 90) -> DataFrame:
+    """Stream of (partner, sender, action_domains, reply_domains, at) -> baselines written: the first use, then none until it has expired."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        written = state.get[0] if state.exists else None
+        out = []
+        for r in pd.concat(list(frames)).sort_values("at").itertuples():
+            if written is None or r.at >= written + ttl_days * 86_400:
+                written = float(r.at)
+                out.append((*key, list(r.action_domains), list(r.reply_domains), pd.Timestamp(r.at, unit="s")))
+        state.update((written,))
+        state.setTimeoutTimestamp(int((written + ttl_days * 86_400) * 1000) + 1)
+        yield pd.DataFrame(out, columns=["partner", "sender", "action_domains", "reply_domains", "written_at"])
+
+    rows = uses.where("partner is not null and sender is not null and at is not null").withWatermark("at", late).selectExpr("at AS event_time", "partner", "sender", "coalesce(action_domains, array()) AS action_domains", "coalesce(reply_domains, array()) AS reply_domains", "unix_micros(at) / 1000000D AS at")
+    return rows.groupBy("partner", "sender").applyInPandasWithState(step, "partner string, sender string, action_domains array<string>, reply_domains array<string>, written_at timestamp", "written double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def directory_updates(imports: DataFrame) -> DataFrame:
+    """Stream of (directory, sequence, record_id) -> the same with ``accepted``: a sequence that isn't above the last accepted one is a rollback.
+
+    All records of one sequence that arrive together share its answer; the
+    last number of a directory is kept for good, as it must be.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        rows = pd.concat(list(frames)).sort_values(["sequence", "record_id"])
+        accepted = []
+        start = last
+        for s in rows["sequence"]:
+            good = start is None or s > start
+            accepted.append(good)
+            last = int(s) if good and (last is None or s > last) else last
+        state.update((last,))
+        yield pd.DataFrame({"directory": key[0], "sequence": rows["sequence"], "record_id": rows["record_id"], "accepted": accepted})
+
+    rows = imports.where("directory is not null and sequence is not null").select("directory", "sequence", "record_id")
+    return rows.groupBy("directory").applyInPandasWithState(step, "directory string, sequence long, record_id string, accepted boolean", "last long", "append", GroupStateTimeout.NoTimeout)
+
+
 def daily_activity(history: DataFrame, late: str = "2 days") -> DataFrame:
     """Stream of (ts, tone) -> tumbling tone counts by day; days close when the watermark has passed them."""
     return history.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("total"), *(F.count_if(F.col("tone") == t).alias(t) for t in ("danger", "review", "safe"))).select(F.col("w.start").alias("day"), "total", "danger", "review", "safe")

@@ -81,3 +81,18 @@ def test_jsonl(spark, tmp_path):
     (tmp_path / "p.jsonl").write_text('{"id": "1", "prediction": "phishing", "seconds": 1.5}\nbroken\n')
     rows = tables.jsonl(spark, f"file://{tmp_path}/p.jsonl", tables.PREDICTIONS).collect()
     assert [(r.id, r.prediction, r._bad) for r in rows] == [("1", "phishing", None), (None, None, "broken")]
+
+
+def test_first_baseline_holds_until_it_expires(spark, tmp_path):
+    schema = "partner string, sender string, action_domains array<string>, reply_domains array<string>, at timestamp"
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    s = batches(spark, tmp_path, schema, [("p", "s", ["a"], None, day(0)), ("p", "s", ["b"], None, day(1))], [("p", "s", ["c"], None, day(20)), ("q", "s", ["z"], ["y"], day(20))], [("p", "s", ["d"], None, day(95))])
+    got = sorted((r.partner, r.action_domains) for r in run(state.first_baselines(s), tmp_path, "baselines"))
+    assert got == [("p", ["a"]), ("p", ["d"]), ("q", ["z"])]
+
+
+def test_directory_rollback_is_refused(spark, tmp_path):
+    schema = "directory string, sequence long, record_id string"
+    s = batches(spark, tmp_path, schema, [("d", 3, "a"), ("d", 3, "b")], [("d", 2, "c"), ("e", 1, "x")], [("d", 4, "e"), ("d", 3, "f"), (None, 1, "g")])
+    got = {r.record_id: r.accepted for r in run(state.directory_updates(s), tmp_path, "directory")}
+    assert got == {"a": True, "b": True, "c": False, "x": True, "e": True, "f": False}

@@ -8,15 +8,15 @@ import pytest
 sys.path.insert(0, str(Path(__file__).parent))
 from oracle import same  # noqa: E402
 
-from mailquarry.plans import table_queries  # noqa: E402
+from mailquarry.plans import every, table_queries  # noqa: E402
 
 
-@pytest.mark.parametrize("name", sorted(table_queries.SQL))
+@pytest.mark.parametrize("name", sorted(every.SQL))
 def test_query_matches_sql(spark, tiny, name):
     same(table_queries.QUERIES[name](spark, tiny), table_queries.SQL[name], tiny)
 
 
-@pytest.mark.parametrize("name", sorted(set(table_queries.QUERIES) - set(table_queries.SQL)))
+@pytest.mark.parametrize("name", sorted(set(every.QUERIES) - set(every.SQL)))
 def test_query_without_sql_runs(spark, tiny, name):
     assert table_queries.QUERIES[name](spark, tiny).count() > 0
 
