@@ -512,10 +512,10 @@ def siem_event_compact(spark, sf_dir):
 
 
 @query(
-    """WITH RECURSIVE o AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id AS call_id, epoch_us(ts) / 1e6 AS at, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
-r AS (SELECT key, call_id, i, true AS admitted, [at] AS times FROM o WHERE i = 1
-  UNION ALL SELECT o.key, o.call_id, o.i, len(list_filter(r.times, lambda t: t > o.at - 60)) < 4 AND len(list_filter(r.times, lambda t: t > o.at - 86400)) < 500,
-    CASE WHEN len(list_filter(r.times, lambda t: t > o.at - 60)) < 4 AND len(list_filter(r.times, lambda t: t > o.at - 86400)) < 500 THEN list_append(list_filter(r.times, lambda t: t > o.at - 86400), o.at) ELSE list_filter(r.times, lambda t: t > o.at - 86400) END
+    """WITH RECURSIVE o AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id AS call_id, epoch_us(ts) / 1e6 AS sec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT key, call_id, i, true AS admitted, [sec] AS times FROM o WHERE i = 1
+  UNION ALL SELECT o.key, o.call_id, o.i, len(list_filter(r.times, lambda t: t > o.sec - 60)) < 4 AND len(list_filter(r.times, lambda t: t > o.sec - 86400)) < 500,
+    CASE WHEN len(list_filter(r.times, lambda t: t > o.sec - 60)) < 4 AND len(list_filter(r.times, lambda t: t > o.sec - 86400)) < 500 THEN list_append(list_filter(r.times, lambda t: t > o.sec - 86400), o.sec) ELSE list_filter(r.times, lambda t: t > o.sec - 86400) END
   FROM r JOIN o ON o.key = r.key AND o.i = r.i + 1)
 SELECT key, call_id, admitted FROM r"""
 )
