@@ -21,6 +21,8 @@ BLOCK_ROWS, BLOCKS = 2048, 1024
 STEPS = 128
 #: Rows of a block that are multiplied at once.
 TILE = 1024
+#: Vector bytes on one side of a cell of the grid of blocks.
+GRID_BYTES = 8 << 20
 
 
 def unit(matrix: np.ndarray) -> np.ndarray:
@@ -108,32 +110,39 @@ def _block(pivots: np.ndarray, kind: str):
     return make
 
 
-def _tiles(batches: Iterator[pa.RecordBatch], least: float, kind: str) -> Iterator[pa.RecordBatch]:
-    """For each block pair: (rep, links to other vectors, root of its component in the tile)."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            same = row["a"] == row["b"]
-            ia, ib = np.frombuffer(row["ids_a"], "<i8"), np.frombuffer(row["ids_b"], "<i8")
-            ca, cb = np.frombuffer(row["copies_a"], "<i8"), np.frombuffer(row["copies_b"], "<i8")
-            va, vb = (np.frombuffer(row[k], kind).reshape(len(i), -1) for k, i in (("vectors_a", ia), ("vectors_b", ib)))
-            for i in range(0, len(ia), TILE):
-                for j in range(i if same else 0, len(ib), TILE):
-                    link = linked(va[i : i + TILE], vb[j : j + TILE], least)
-                    own = same and i == j
-                    if own:
-                        np.fill_diagonal(link, False)
-                    if not link.any():
-                        continue
-                    rows, columns = _roots(link)
-                    p, q = ia[i : i + TILE], ib[j : j + TILE]
-                    both = np.r_[p, q]
-                    ids, links, roots = [], [], []
-                    ra = np.flatnonzero(link.any(1))
-                    ids.append(p[ra]), links.append(link[ra] @ cb[j : j + TILE]), roots.append(both[rows[ra]])
-                    rb = np.flatnonzero(link.any(0))
-                    # a block with itself: both sides of the symmetric matrix count once, but its roots are of both sides
-                    ids.append(q[rb]), links.append(np.zeros(len(rb), np.int64) if own else ca[i : i + TILE] @ link[:, rb]), roots.append(both[columns[rb]])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z).astype(np.int64)) for z in (ids, links, roots)], names=["rep", "links", "root"])
+def _pair(a: dict, b: dict, same: bool, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rep, links to other vectors, root of its component in the tile) for the tiles of two blocks."""
+    ia, ca, va = a["ids"], a["copies"], a["vectors"]
+    ib, cb, vb = b["ids"], b["copies"], b["vectors"]
+    for i in range(0, len(ia), TILE):
+        for j in range(i if same else 0, len(ib), TILE):
+            link = linked(va[i : i + TILE], vb[j : j + TILE], least)
+            own = same and i == j
+            if own:
+                np.fill_diagonal(link, False)
+            if not link.any():
+                continue
+            rows, columns = _roots(link)
+            p, q = ia[i : i + TILE], ib[j : j + TILE]
+            both = np.r_[p, q]
+            ra, rb = np.flatnonzero(link.any(1)), np.flatnonzero(link.any(0))
+            yield p[ra], link[ra] @ cb[j : j + TILE], both[rows[ra]]
+            # a block with itself: both sides of the symmetric matrix count once, but its roots are of both sides
+            yield q[rb], np.zeros(len(rb), np.int64) if own else ca[i : i + TILE] @ link[:, rb], both[columns[rb]]
+
+
+def _grid(least: float, kind: str):
+    def compare(blocks: pa.Table, pairs: pa.Table) -> pa.Table:
+        """The blocks of one cell of the grid and the pairs to compare in it."""
+        held = {}
+        for row in blocks.to_pylist():
+            ids = np.frombuffer(row["ids"], "<i8")
+            held[row["block"]] = {"ids": ids, "copies": np.frombuffer(row["copies"], "<i8"), "vectors": np.frombuffer(row["vectors"], kind).reshape(len(ids), -1)}
+        found = [x for i, j in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True) for x in _pair(held[i], held[j], i == j, least)]
+        columns = [np.concatenate(c).astype(np.int64) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3
+        return pa.table(dict(zip(("rep", "links", "root"), map(pa.array, columns), strict=True)))
+
+    return compare
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
@@ -215,9 +224,18 @@ def _of_one_length(classes: DataFrame, dims: int, count: int, least: float, kind
     for i, r in enumerate(bounds):
         apart = np.maximum(low[i:] - high[i], low[i] - high[i:]).max(1)
         pairs += [(r.block, bounds[i + int(j)].block) for j in np.flatnonzero(apart <= reach)]
-    side = lambda s: blocks.select(F.col("block").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("ids", "copies", "vectors")))
-    pairs_df = spark.createDataFrame(pairs, "a int, b int").repartition(max(1, min(len(pairs), int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    return stored(pairs_df.join(side("a"), "a").join(side("b"), "b").mapInArrow(lambda it: _tiles(it, least, kind), "rep long, links long, root long"), "tiles")
+    # a grid over runs of blocks: a block goes to its row and column of cells, once each, not to every pair
+    place = {r.block: k for k, r in enumerate(bounds)}
+    run = max(1, min(len(bounds) // 16, GRID_BYTES // max(1, 2 * size * dims * np.dtype(kind).itemsize)))
+    cells: dict[tuple[int, int], int] = {}
+    asked, wanted = [], set()
+    for x, y in pairs:
+        cell = cells.setdefault((place[x] // run, place[y] // run), len(cells))
+        asked.append((cell, x, y))
+        wanted |= {(cell, x), (cell, y)}
+    dealt_to = F.broadcast(spark.createDataFrame(sorted(wanted), "cell int, block int"))
+    data = blocks.join(dealt_to, "block").select("cell", "block", "ids", "copies", "vectors")
+    return stored(data.groupBy("cell").cogroup(spark.createDataFrame(asked, "cell int, a int, b int").groupBy("cell")).applyInArrow(_grid(least, kind), "rep long, links long, root long"), "tiles")
 
 
 def op6_int8(spark, sf_dir: str) -> DataFrame:
