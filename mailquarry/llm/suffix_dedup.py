@@ -34,6 +34,11 @@ _B = np.uint64(0x9E3779B97F4A7C15)
 _LOW39 = np.uint64((1 << 39) - 1)
 #: Bytes of text in one part of the corpus, about; the number of parts follows from the input.
 PART_BYTES = 32 << 20
+#: An anchor is hot if at least this share of the parts, and 8 of them, have it.
+HOT_SHARE, HOT_LEAST = 0.5, 8
+#: Bytes before a hot anchor that split its contexts.
+BEFORE = 8
+_HOT = np.uint64(1 << 63)
 _C, _D = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
@@ -276,8 +281,12 @@ def _five(blob: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8").astype(np.uint64)
 
 
-def _shared_rows(table: pa.Table) -> pa.Table:
-    """One bucket -> (part, bucket, blob of the anchors there that more than one row, or one with several documents, has)."""
+def _shared_rows(table: pa.Table, hot: int) -> pa.Table:
+    """One bucket -> (part, bucket, blob of the anchors there that more than one row, or one with several documents, has).
+
+    The highest bit of an anchor tells that ``hot`` rows or more have it; all
+    parts are told the same.
+    """
     parts = table.column("part").to_pylist()
     rows = [_five(b) for b in table.column("blob").to_pylist()]
     entry = np.concatenate(rows)
@@ -286,17 +295,46 @@ def _shared_rows(table: pa.Table) -> pa.Table:
     several = np.zeros(len(found), bool)
     several[back[(entry & np.uint64(1)) > 0]] = True
     good = ((n > 1) | several)[back]
+    h = h | np.where(n >= hot, _HOT, np.uint64(0))[back]
     of = np.repeat(np.array(parts), [len(r) for r in rows])
     kept, of = h[good], of[good]
     out = [(int(p), np.unique(kept[of == p])) for p in np.unique(of)]
     return pa.table({"part": pa.array([p for p, _ in out], pa.int32()), "bucket": pa.array([table.column("bucket")[0].as_py()] * len(out), pa.int32()), "blob": pa.array([x.tobytes() for _, x in out], pa.binary())})
 
 
+def _flagged(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted anchors, whether each is hot)."""
+    low = values & ~_HOT
+    order = np.argsort(low, kind="stable")
+    return low[order], (values[order] & _HOT) > 0
+
+
+def hot_buckets(full: np.ndarray, low: np.ndarray, buckets: int, span: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two buckets of each context of a hot anchor: by the bytes before it, and by those after it.
+
+    A common string that begins BEFORE bytes or more ahead of the anchor has
+    the same bytes before it in both documents; one that begins later has the
+    same span - gram - BEFORE + 1 bytes after it. So every common string has a
+    bucket that all its contexts are in, and no anchor fills one bucket.
+    """
+    side = span - gram
+    ahead = np.ascontiguousarray(full[:, side - BEFORE : side]).view("<u8")[:, 0]
+    size = side - BEFORE + 1
+    after = np.zeros((len(full), -(-size // 8) * 8), np.uint8)
+    after[:, :size] = full[:, side + gram : side + gram + size]
+    with np.errstate(over="ignore"):
+        one, two = mix((low ^ ahead) * _C + _D), low * _C
+        for w in after.view("<u8").T:
+            two = mix(two * _B + w + np.uint64(1))
+    return (one % np.uint64(buckets)).astype(np.int64), (two % np.uint64(buckets)).astype(np.int64)
+
+
 def _context_rows(texts: pa.Table, shared: pa.Table, buckets: int, span: int, gram: int) -> pa.Table:
     """A part's texts and shared anchors -> its distinct contexts for each bucket, and where they occur."""
     trimmed()
     width = 2 * span - gram
-    known = {b: np.sort(np.concatenate([np.frombuffer(x, "<u8") for x, c in zip(shared.column("blob").to_pylist(), shared.column("bucket").to_pylist(), strict=True) if c == b])) for b in set(shared.column("bucket").to_pylist())}
+    split = span - gram >= BEFORE
+    known = {b: _flagged(np.concatenate([np.frombuffer(x, "<u8") for x, c in zip(shared.column("blob").to_pylist(), shared.column("bucket").to_pylist(), strict=True) if c == b])) for b in set(shared.column("bucket").to_pylist())}
     rows: list[tuple[int, int, bytes]] = []
     if known and texts.num_rows:
         texts = texts.sort_by([("doc_id", "ascending")])  # so the first text with a context is the one with the smallest doc_id
@@ -314,15 +352,16 @@ def _context_rows(texts: pa.Table, shared: pa.Table, buckets: int, span: int, gr
             own, at_offs = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
             at, h, of = anchors(own, at_offs, span, gram)
             bucket, low = ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64), h & _LOW39
-            good = np.zeros(len(h), bool)
+            good, hot = np.zeros(len(h), bool), np.zeros(len(h), bool)
             order = np.argsort(bucket, kind="stable")
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for b, have in known.items():
+            for b, (have, flag) in known.items():
                 mine = order[cut[b] : cut[b + 1]]
                 spot = np.searchsorted(have, low[mine])
                 spot[spot == len(have)] = 0
                 good[mine] = have[spot] == low[mine]
-            at, of, bucket = at[good], of[good], bucket[good]
+                hot[mine] = flag[spot] & split
+            at, of, bucket, low, hot = at[good], of[good], bucket[good], low[good], hot[good]
             for k in range(0, len(at), CHUNK):
                 a, o, b_of = at[k : k + CHUNK], of[k : k + CHUNK], bucket[k : k + CHUNK]
                 full = np.zeros((len(a), size), np.uint8)
@@ -346,10 +385,17 @@ def _context_rows(texts: pa.Table, shared: pa.Table, buckets: int, span: int, gr
                 sent = np.concatenate([first[new], odd])
                 put = np.searchsorted(seen, found[new])
                 seen, other, number = np.insert(seen, put, found[new]), np.insert(other, put, lane[new]), np.insert(number, put, ids[new].astype(np.uint32))
-                sent = sent[np.argsort(b_of[sent], kind="stable")]
+                to = b_of[sent]
+                warm = np.flatnonzero(hot[k : k + CHUNK][sent])
+                if len(warm):  # in place of the anchor's bucket, two others
+                    x, y = hot_buckets(full[sent[warm]], low[k : k + CHUNK][sent[warm]], buckets, span, gram)
+                    to[warm] = x
+                    sent, to = np.concatenate([sent, sent[warm]]), np.concatenate([to, y])
+                order = np.argsort(to, kind="stable")
+                sent, to = sent[order], to[order]
                 rec = np.zeros(len(sent), kind)
                 rec["id"], rec["doc"], rec["ctx"] = ids_of[sent], doc[o[sent] + i], full[sent, : width + 2]
-                cut = np.searchsorted(b_of[sent], np.arange(buckets + 1))
+                cut = np.searchsorted(to, np.arange(buckets + 1))
                 for b in np.flatnonzero(np.diff(cut)):
                     blobs.setdefault(int(b), []).append(rec[cut[b] : cut[b + 1]].tobytes())
         if occ:
@@ -506,7 +552,8 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> tuple
     texts = spark.table(name)
 
     rows = texts.select("part", "doc_id", "text").mapInArrow(lambda it: _anchor_rows(it, n, span, gram), "part int, bucket int, blob binary")
-    shared = stored(rows.groupBy("bucket").applyInArrow(_shared_rows, "part int, bucket int, blob binary"), "shared_anchors")
+    hot = max(HOT_LEAST, int(HOT_SHARE * n))
+    shared = stored(rows.groupBy("bucket").applyInArrow(lambda t: _shared_rows(t, hot), "part int, bucket int, blob binary"), "shared_anchors")
     freed(spark)
     made, made_at = stored_at(
         texts.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(lambda x, y: _context_rows(x, y, n, span, gram), "bucket int, part int, blob binary"),

@@ -95,3 +95,17 @@ def test_contexts_with_one_code_stay_apart(monkeypatch):
     monkeypatch.setattr(s, "context_codes", lambda full: (np.zeros(len(full), np.uint64),) * 2)
     back, groups = s.equal_groups(rows)
     assert back[0] == back[2] and len({back[0], back[1], back[3]}) == 3 == groups
+
+
+def test_contexts_of_hot_anchors_are_split(spark, monkeypatch):
+    monkeypatch.setattr(s, "HOT_LEAST", 1)
+    monkeypatch.setattr(s, "HOT_SHARE", 0.0)  # every shared anchor counts as hot
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    common, rows = word(20), []
+    for d in range(120):  # one short string everywhere, in surroundings that two or three documents share in part
+        near = random.Random(d // 3)
+        left, right = ("".join(near.choice("xyz ") for _ in range(40)) for _ in range(2))
+        rows.append((d, word(30) + left[rng.randrange(30) :] + common + right[: rng.randrange(40)] + word(30)))
+    assert result(s.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+    assert sum(x[1] > 0 for x in brute(rows).values()) > 20
