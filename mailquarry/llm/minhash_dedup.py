@@ -182,6 +182,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     least = screen(num / den)
     keyed = classes.select("rep", "bits", F.explode("bands").alias("key"))
     pivots = keyed.groupBy("key").agg(F.min(F.struct("rep", "bits")).alias("p"), F.count("*").alias("n")).where("n > 1").select("key", F.col("p.rep").alias("pivot"), F.col("p.bits").alias("pivot_bits"))
+    pivots = stored(pivots, "pivots")  # a table of its own, so that the join with a hot key's members can be split
     members = stored(keyed.join(pivots, "key"), "members")
 
     ids = stored(members.select(F.col("rep").alias("doc_id")).distinct(), "candidates")
@@ -202,6 +203,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
 
     placed = members.select("key", "rep", "pivot").join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", "pivot", F.coalesce("component", "rep").alias("c"))
     mixed = placed.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("c", "n").alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
+    mixed = stored(mixed, "mixed")
     away = tried.select(F.col("u").alias("rep"), F.col("v").alias("pivot"), (F.col("nu") + F.col("nv") - 2 * F.col("common")).alias("away"))
     traits = sets.select(F.col("doc_id").alias("rep"), "size", "long_bits").join(classes.select("rep", "bands"), "rep")
     open_ = placed.join(mixed, "key").join(away, ["rep", "pivot"], "left").withColumn("away", F.when(F.col("rep") == F.col("pivot"), 0).otherwise(F.col("away"))).join(traits, "rep")
