@@ -385,3 +385,39 @@ def siem_documents(spark, sf_dir):
     none = F.array().cast("array<string>")
     r = read(spark, sf_dir, "documents").select(k.alias("msg_id"), F.when(k % 3 == 0, "danger").when(k % 3 == 1, "review").otherwise("safe").alias("tone"), F.when(k % 4 > 1, F.col("source")).otherwise("").alias("subject"), F.when(k % 2 == 1, k.cast("string")).alias("message_id"), F.when(k % 2 == 0, F.array("lang", "lang")).otherwise(none).alias("reasons"))
     return siem_events(r).withColumnRenamed("msg_id", "doc_id")
+
+
+_BARE = r"regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g')"
+
+
+@query(
+    rf"""WITH a AS (SELECT page_id, unnest(l) AS u, generate_subscripts(l, 1) AS i FROM (SELECT page_id, regexp_extract_all({_BARE}, '(?i)<a\s[^>]*?href\s*=\s*"([^"]*)"', 1) AS l FROM pages)),
+k AS (SELECT page_id, i, replace(trim(u), '&amp;', '&') AS u FROM a WHERE trim(u) <> ''), f AS (SELECT page_id, lower(regexp_replace(string_split(u, '#')[1], '^((?i)https?://[^/?#]*)/?$', '\1')) AS key, min(struct_pack(i := i, u := u)) AS f FROM k GROUP BY ALL)
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY f.i) - 1 AS position, f.u AS target FROM f"""
+)
+def page_anchors(spark, sf_dir):
+    from pyspark.sql import Window
+
+    links = html.extract_links(read(spark, sf_dir, "pages").select(F.col("page_id").alias("msg_id"), "html")).where("source = 'anchor'")
+    w = Window.partitionBy("msg_id").orderBy("link_index")
+    return links.select(F.col("msg_id").alias("page_id"), (F.row_number().over(w) - 1).cast("bigint").alias("position"), F.col("url").alias("target"))
+
+
+_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+
+
+def _unescaped(x: str) -> str:
+    for a, b in _ENTITIES:
+        x = f"replace({x}, '{a}', '{b}')"
+    return x
+
+
+@query(
+    rf"""WITH t AS (SELECT page_id, regexp_replace({_BARE}, '(?is)<head.*?</head>|<noscript.*?</noscript>|<template.*?</template>|<iframe.*?</iframe>', '', 'g') AS h FROM pages),
+a AS (SELECT page_id, regexp_replace(h, '(?i)<img\s[^>]*?alt\s*=\s*"([^"]*)"[^>]*>', ' \1 ', 'g') AS h FROM t), p AS (SELECT page_id, {_unescaped("regexp_replace(h, '<[^>]*>', '', 'g')")} AS t FROM a)
+SELECT page_id, md5(regexp_replace(t, '[\s\x{{a0}}]+', '', 'g')) AS letters, length(regexp_replace(t, '[\s\x{{a0}}]+', '', 'g')) AS n FROM p"""
+)
+def page_text_letters(spark, sf_dir):
+    t = F.regexp_replace(F.col("t"), r"[\s ]+", "")
+    seen = read(spark, sf_dir, "pages").select("page_id", html.visible_text(F.col("html")).alias("t"))
+    return seen.select("page_id", F.md5(t).alias("letters"), F.length(t).cast("bigint").alias("n"))
