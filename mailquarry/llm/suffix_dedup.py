@@ -31,11 +31,12 @@ CHUNK, SORTED = 20_000, 30_000
 #: Rows (document ids) that are broadcast to leave copies out; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 _B = np.uint64(0x9E3779B97F4A7C15)
-_LOW39 = np.uint64((1 << 39) - 1)
+#: Bits by which the anchors of a bucket are told apart; four more say how often one occurs.
+_LOW = np.uint64((1 << 36) - 1)
 #: Bytes of text in one part of the corpus, about; the number of parts follows from the input.
 PART_BYTES = 32 << 20
-#: An anchor is hot if at least this share of the parts, and 8 of them, have it.
-HOT_SHARE, HOT_LEAST = 0.5, 8
+#: An anchor is hot if it occurs about so often, in several documents.
+HOT_CONTEXTS = 200_000
 #: Bytes before a hot anchor that split its contexts.
 BEFORE = 8
 _HOT = np.uint64(1 << 63)
@@ -244,7 +245,7 @@ def _packed(entries: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], buckets: int, span: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """part, doc_id, text -> (part, bucket, blob of the distinct anchors in the part; the lowest bit: several documents have it)."""
+    """part, doc_id, text -> (part, bucket, blob of the distinct anchors in the part; the lowest four bits: 0 for one document, else the logarithm of the occurrences)."""
     for batch in batches:
         found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         part, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -261,10 +262,11 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], buckets: int, span: int, gra
             order = np.argsort(h, kind="stable")
             h, d = h[order], d[order]
             first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-            several = (np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)).astype(np.uint64)
+            several = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)
+            times = np.where(several, np.clip(np.log2(np.diff(np.r_[first, len(h)])), 1, 15), 0).astype(np.uint64)
             h = h[first]
             bucket = (h >> np.uint64(40)) % np.uint64(buckets)
-            entry = (((h & _LOW39) << np.uint64(1)) | several)
+            entry = ((h & _LOW) << np.uint64(4)) | times
             order = np.argsort(bucket, kind="stable")
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
             entry = entry[order].view(np.uint8).reshape(-1, 8)[:, :5]
@@ -284,18 +286,19 @@ def _five(blob: bytes) -> np.ndarray:
 def _shared_rows(table: pa.Table, hot: int) -> pa.Table:
     """One bucket -> (part, bucket, blob of the anchors there that more than one row, or one with several documents, has).
 
-    The highest bit of an anchor tells that ``hot`` rows or more have it; all
-    parts are told the same.
+    The highest bit of an anchor tells that it occurs about ``hot`` times or
+    more; all parts are told the same.
     """
     parts = table.column("part").to_pylist()
     rows = [_five(b) for b in table.column("blob").to_pylist()]
     entry = np.concatenate(rows)
-    h = entry >> np.uint64(1)
+    h, times = entry >> np.uint64(4), entry & np.uint64(15)
     found, back, n = np.unique(h, return_inverse=True, return_counts=True)
     several = np.zeros(len(found), bool)
-    several[back[(entry & np.uint64(1)) > 0]] = True
+    several[back[times > 0]] = True
+    often = np.bincount(back, weights=np.exp2(times.astype(float)), minlength=len(found)) >= hot
     good = ((n > 1) | several)[back]
-    h = h | np.where(n >= hot, _HOT, np.uint64(0))[back]
+    h = h | np.where(often, _HOT, np.uint64(0))[back]
     of = np.repeat(np.array(parts), [len(r) for r in rows])
     kept, of = h[good], of[good]
     out = [(int(p), np.unique(kept[of == p])) for p in np.unique(of)]
@@ -351,7 +354,7 @@ def _context_rows(texts: pa.Table, shared: pa.Table, buckets: int, span: int, gr
         for i, j in pieces(offs, PIECE):
             own, at_offs = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
             at, h, of = anchors(own, at_offs, span, gram)
-            bucket, low = ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64), h & _LOW39
+            bucket, low = ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64), h & _LOW
             good, hot = np.zeros(len(h), bool), np.zeros(len(h), bool)
             order = np.argsort(bucket, kind="stable")
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -552,7 +555,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> tuple
     texts = spark.table(name)
 
     rows = texts.select("part", "doc_id", "text").mapInArrow(lambda it: _anchor_rows(it, n, span, gram), "part int, bucket int, blob binary")
-    hot = max(HOT_LEAST, int(HOT_SHARE * n))
+    hot = HOT_CONTEXTS
     shared = stored(rows.groupBy("bucket").applyInArrow(lambda t: _shared_rows(t, hot), "part int, bucket int, blob binary"), "shared_anchors")
     freed(spark)
     made, made_at = stored_at(

@@ -98,8 +98,7 @@ def test_contexts_with_one_code_stay_apart(monkeypatch):
 
 
 def test_contexts_of_hot_anchors_are_split(spark, monkeypatch):
-    monkeypatch.setattr(s, "HOT_LEAST", 1)
-    monkeypatch.setattr(s, "HOT_SHARE", 0.0)  # every shared anchor counts as hot
+    monkeypatch.setattr(s, "HOT_CONTEXTS", 1)  # every shared anchor counts as hot
     rng = random.Random(9)
     word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
     common, rows = word(20), []
