@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # How adverse an authentication status is, higher is worse.
 AUTH_PRIORITY = {"fail": 100, "permerror": 95, "temperror": 90, "softfail": 85, "policy": 80, "neutral": 70, "none": 60, "unknown": 50, "bestguesspass": 10, "pass": 0}
@@ -76,6 +77,15 @@ SIGNAL_POLICY = [
 ]
 
 
+#: Rows up to which a reference table is sent to every task; a larger one is joined by shuffle.
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """The table with a broadcast hint if it has at most BROADCAST_ROWS rows, counted, else without."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 

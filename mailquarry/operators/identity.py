@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mailquarry.dims import small
 from mailquarry.functions.text import exact_span
 
 #: Own words that may follow an organisation's name in a display name.
@@ -87,7 +88,7 @@ def protected_brands(messages: DataFrame, known: DataFrame, catalog: DataFrame)
     common = common.groupBy("official").agg(F.min(F.struct("o", "brand", "token")).alias("b")).select("b.brand", "b.token", "official")
     ids = messages.select("msg_id")
     own = messages.select("msg_id", F.explode("recipient_registered").alias("official")).where("official <> ''").distinct().select("msg_id", F.col("official").alias("brand"), token.alias("token"), "official")
-    fixed = ids.crossJoin(F.broadcast(common))  # a few rows of dimensions for each message
+    fixed = ids.crossJoin(small(common))  # a few rows of dimensions for each message
     return fixed.join(own.select("msg_id", "official"), ["msg_id", "official"], "left_anti").select("msg_id", "brand", "token", "official").unionByName(own)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailquarry.dims import ACTION_PRIORITY, IMPERSONATION_WEIGHTS, LEVEL_EFFECTS
+from mailquarry.dims import ACTION_PRIORITY, IMPERSONATION_WEIGHTS, LEVEL_EFFECTS, small
 
 # Fields that say nothing about an embedded message, and diagnostics that never count.
 EMBEDDED_IGNORED = ["spf", "dkim", "dmarc", "authentication-results", "received", "return-path", "reply-to", "display name", "reply thread"]
@@ -53,7 +53,7 @@ def verdict_signals(flags: DataFrame, policy: DataFrame, scope: str | None = Non
     if reply_level:
         routed = (key == "reply-to") & F.col(reply_level).isNotNull()
         flags = flags.where(~routed | (F.col(reply_level) != "NONE")).withColumn("level", F.when(routed, F.col(reply_level)).otherwise(F.col("level")))
-    out = flags.where(keep).withColumn("field_key", key).join(F.broadcast(policy), "field_key", "left")
+    out = flags.where(keep).withColumn("field_key", key).join(small(policy), "field_key", "left")
     silent = (F.col("field_key") == "dkim") & F.lower("message").rlike(r"\bnone\b|missing|not present")
     effect = F.when(silent, "informational").otherwise(F.coalesce(_map(LEVEL_EFFECTS)[F.upper("level")], F.lit("informational")))
     slug = F.regexp_replace(F.regexp_replace("field_key", r"[^a-z0-9]+", "-"), "^-|-$", "")

@@ -65,11 +65,26 @@ def section_choice(sections: DataFrame, message: str, index: str, score: str, bu
     return out.withColumn("_rank", rank).where(~F.col("_middle") | (F.col("_rank") <= budget - 2)).drop("_last", "_middle", "_rank")
 
 
-def budgeted(rows: DataFrame, keys: list[str], order: list[str], size: str, budget: int) -> DataFrame:
-    """kept: how much of each row fits a running budget; truncated: whether something is missing."""
-    before = F.coalesce(F.sum(size).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+def budgeted(rows: DataFrame, keys: list[str], order: list[str], size: str, budget: int, width: int | None = None) -> DataFrame:
+    """kept: how much of each row fits a running budget; truncated: whether something is missing.
+
+    With ``width`` the first order column is a whole number that is cut into
+    ranges of that width: sums are taken within ranges and shifted by what the
+    ranges before hold, so that a key with very many rows is not one task.
+    """
+    earlier = lambda w: F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if width is None:
+        before = earlier(Window.partitionBy(*keys).orderBy(*order))
+    else:
+        rows = rows.withColumn("_range", F.floor(F.col(order[0]) / width))
+        sums = rows.groupBy(*keys, "_range").agg(F.sum(size).alias(size))
+        shift = sums.select(*keys, "_range", earlier(Window.partitionBy(*keys).orderBy("_range")).alias("_shift"))
+        rows = rows.join(shift, [*keys, "_range"])
+        before = F.col("_shift") + earlier(Window.partitionBy(*keys, "_range").orderBy(*order))
+    rows = rows.withColumn("_before", before)
+    before = F.col("_before")
     kept = F.greatest(F.lit(0), F.least(F.col(size), F.lit(budget) - before))
-    return rows.withColumn("kept", kept.cast("bigint")).withColumn("truncated", F.col("kept") < F.col(size))
+    return rows.withColumn("kept", kept.cast("bigint")).withColumn("truncated", F.col("kept") < F.col(size)).drop("_before", "_shift", "_range")
 
 
 def top_k(rows: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:

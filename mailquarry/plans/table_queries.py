@@ -442,7 +442,7 @@ def iban_checksum(spark, sf_dir):
 SELECT doc_id, CAST(greatest(0, least(n_chars, 20000 - before)) AS BIGINT) AS kept, greatest(0, least(n_chars, 20000 - before)) < n_chars AS truncated FROM b"""
 )
 def budget_truncate(spark, sf_dir):
-    return ranking.budgeted(read(spark, sf_dir, "documents"), ["source"], ["doc_id"], "n_chars", 20_000).select("doc_id", "kept", "truncated")
+    return ranking.budgeted(read(spark, sf_dir, "documents"), ["source"], ["doc_id"], "n_chars", 20_000, width=4096).select("doc_id", "kept", "truncated")
 
 
 @query("SELECT l_suppkey, l_orderkey, l_linenumber, l_extendedprice, rank FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) AS rank FROM lineitem) WHERE rank <= 5")
