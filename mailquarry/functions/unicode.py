@@ -110,6 +110,13 @@ normal_form = F.pandas_udf(_series(plain_form), T.StringType())
 host_ascii = F.pandas_udf(_series(ascii_host), T.StringType())
 host_shown = F.pandas_udf(_series(shown_host), T.StringType())
 has_mixed_script = F.pandas_udf(_series(mixed_script), T.BooleanType())
+def evidence_normal(text):
+    """The form in which quotations and texts are compared: compatibility form without hidden characters, folded quotes, one line, lower case."""
+    from mailquarry.functions.text import evidence_form
+
+    return evidence_form(normal_form(text))
+
+
 latin_form = F.pandas_udf(_series(latin_look), T.StringType())
 text_addresses = F.pandas_udf(_series(addresses_of), T.ArrayType(T.StringType()))
 sender_address = F.pandas_udf(_series(preferred_address), T.StringType())

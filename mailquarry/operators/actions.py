@@ -13,6 +13,7 @@ PATTERNS = {
     "payment": r"(?i)\b(pay|payment|transfer|wire|invoice|bonifico|pagamento|pago|überweis\w+|virement)\b",
     "payment_request": r"(?i)\b(please|kindly|you (must|need to|have to)|prego di|bitte|veuillez|por favor) (pay|transfer|wire|remit|settle|send (the )?(payment|money)|pagare|versare|überweisen|payer|virer|pagar|transferir)\b|\b(pay|wire|transfer|remit) (now|today|immediately|by \w+|the (amount|sum|balance|invoice)|to (the|this|our))\b",
     "bank_details": r"(?i)\b(iban|bic|swift|account number|bank details|coordinate bancarie|cuenta bancaria|bankverbindung)\b",
+    "information_request": r"(?i)\b(send|give|confirm|provide|update|complete|enter|fill in|verify) (us |me )?(your|the) (full )?(details|data|information|address|date of birth|name|documents?|profile|records?)\b|\b(inserisc\w+|fornisc\w+|conferm\w+) (i tuoi|i suoi|le tue) (dati|informazioni)\b",
     "threat": r"(?i)\b(suspend\w*|terminat\w*|legal action|blocked|deactivat\w*|sospes\w+|gesperrt|bloque\w+)\b",
     "urgency": r"(?i)\b(urgent\w*|immediately|within \d+ (hours?|days?)|today|subito|sofort|inmediatamente|immédiatement)\b",
     "reward": r"(?i)\b(prize|reward|gift card|winner|lottery|premio|gewinn)\b",
@@ -110,21 +111,30 @@ def correlated(m: DataFrame) -> DataFrame:
     steps = [
         ("qr", f("qr_requested") & a.isin("none", "informational"), "visit_link"),
         ("implicit_bank", f("implicit_bank_instruction"), "pay_or_transfer"),
-        ("copy_deception", f("copy_deception"), "open_attachment"),
+        ("copy_deception", f("copy_deception") & a.isin("none", "informational", "visit_link", "open_attachment"), "other"),
         ("reward", f("reward") & f("has_links") & a.isin("none", "informational", "visit_link"), "claim_reward"),
         ("payment", f("payment_request") & (f("bank_details") | f("payment")), "pay_or_transfer"),
         ("credential", f("credentials") & f("supplied_channel"), "provide_credentials"),
         ("unsupported_payment", (a == "pay_or_transfer") & ~f("payment") & ~f("bank_details") & ~f("implicit_bank_instruction"), "informational"),
         ("unsupported_credentials", (a == "provide_credentials") & ~f("credentials"), "informational"),
+        ("unsupported_information", (a == "provide_information") & ~f("information_request") & ~f("qr_requested"), "informational"),
         ("link_fallback", a.isin("none", "informational") & f("visit_link") & f("has_links"), "visit_link"),
         ("attachment_fallback", a.isin("none", "informational") & f("open_attachment") & f("has_attachments"), "open_attachment"),
+        ("link_for_attachment", (a == "open_attachment") & ~f("has_attachments") & f("has_links"), "visit_link"),
+        ("no_attachment", (a == "open_attachment") & ~f("has_attachments"), "informational"),
+        ("no_link", (a == "visit_link") & ~f("has_links") & ~f("qr_requested"), "informational"),
         ("ungrounded", ~a.isin("none", "informational") & F.col("evidence").isNull() & ~f("payment") & ~f("credentials") & ~f("visit_link") & ~f("open_attachment") & ~f("qr_requested") & ~f("copy_deception") & ~f("implicit_bank_instruction") & ~f("reward"), "informational"),
     ]
     out = m.withColumn("overrides", F.array().cast("array<string>"))
     for name, condition, action in steps:
         c = F.coalesce(condition, F.lit(False))
         out = out.withColumn("_c", c & (F.col("requested_action") != action)).withColumn("overrides", F.when(F.col("_c"), F.array_append("overrides", F.lit(name))).otherwise(F.col("overrides"))).withColumn("requested_action", F.when(F.col("_c"), action).otherwise(F.col("requested_action"))).drop("_c")
-    return out
+    if "action_channel" not in m.columns:
+        return out
+    # a channel that the message doesn't have is none
+    gone = (F.col("action_channel").isin("link", "form") & ~f("has_links")) | ((F.col("action_channel") == "attachment") & ~f("has_attachments"))
+    out = out.withColumn("action_channel", F.when(F.coalesce(gone, F.lit(False)), "none").otherwise(F.col("action_channel")))
+    return out.withColumn("supplied_channel", F.coalesce(F.col("supplied_channel"), F.lit(False)) & F.col("action_channel").isin("link", "form", "attachment"))
 
 
 def verifier_gates(m: DataFrame) -> DataFrame:

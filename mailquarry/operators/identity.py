@@ -128,6 +128,27 @@ def fresh(observations: DataFrame, now: Column) -> DataFrame:
     return last.withColumn("expires_at", F.timestamp_add("SECOND", seconds, F.col("observed_at"))).where(F.col("expires_at") > now)
 
 
+#: Own marks of mail exchangers: (suffix of the exchanger, provider, class).
+EXCHANGERS = [("google.com", "Google", "hosted"), ("outlook.com", "Microsoft", "hosted"), ("pphosted.com", "Proofpoint", "gateway"), ("mimecast.com", "Mimecast", "gateway"), ("secureserver.net", "GoDaddy", "shared"), ("aruba.it", "Aruba", "shared")]
+
+
+def provider_class(records: DataFrame) -> DataFrame:
+    """(domain, provider, provider_class) from mail exchanger records (domain, preference, exchanger): the preferred one decides.
+
+    An exchanger within the domain itself is ``own``, an unknown one
+    ``other``; a domain without any is ``none``.
+    """
+    best = records.groupBy("domain").agg(F.min_by(F.lower(F.rtrim(F.col("exchanger"), F.lit("."))), F.struct("preference", "exchanger")).alias("mx"))
+    mx = F.col("mx")
+    provider = kind = None
+    for suffix, name, cls in EXCHANGERS:
+        c = (mx == suffix) | mx.endswith("." + suffix)
+        provider = F.when(c, name) if provider is None else provider.when(c, name)
+        kind = F.when(c, cls) if kind is None else kind.when(c, cls)
+    own = (mx == F.col("domain")) | mx.endswith(F.concat(F.lit("."), F.col("domain")))
+    return best.select("domain", provider.alias("provider"), F.when(mx.isNull() | (mx == ""), "none").otherwise(F.coalesce(kind, F.when(own, "own").otherwise("other"))).alias("provider_class"))
+
+
 def verified_domains(signatures: DataFrame, senders: DataFrame, suffixes: DataFrame, most: int = 3) -> DataFrame:
     """(msg_id, status, verified_domains): domains whose signature over the whole original bytes holds and belongs to the sender.
 

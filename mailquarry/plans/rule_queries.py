@@ -544,10 +544,12 @@ def link_labels(spark, sf_dir):
 _CORRELATED = ["has_links", "has_attachments", "qr_requested", "implicit_bank_instruction", "copy_deception", *actions.PATTERNS]
 _COR = Bits("event_id", _CORRELATED)
 _STEPS = [
-    ("qr", "qr_requested AND {a} IN ('none', 'informational')", "visit_link"), ("implicit_bank", "implicit_bank_instruction", "pay_or_transfer"), ("copy_deception", "copy_deception", "open_attachment"),
+    ("qr", "qr_requested AND {a} IN ('none', 'informational')", "visit_link"), ("implicit_bank", "implicit_bank_instruction", "pay_or_transfer"), ("copy_deception", "copy_deception AND {a} IN ('none', 'informational', 'visit_link', 'open_attachment')", "other"),
     ("reward", "reward AND has_links AND {a} IN ('none', 'informational', 'visit_link')", "claim_reward"), ("payment", "payment_request AND (bank_details OR payment)", "pay_or_transfer"), ("credential", "credentials AND supplied_channel", "provide_credentials"),
     ("unsupported_payment", "{a} = 'pay_or_transfer' AND NOT payment AND NOT bank_details AND NOT implicit_bank_instruction", "informational"), ("unsupported_credentials", "{a} = 'provide_credentials' AND NOT credentials", "informational"),
+    ("unsupported_information", "{a} = 'provide_information' AND NOT information_request AND NOT qr_requested", "informational"),
     ("link_fallback", "{a} IN ('none', 'informational') AND visit_link AND has_links", "visit_link"), ("attachment_fallback", "{a} IN ('none', 'informational') AND open_attachment AND has_attachments", "open_attachment"),
+    ("link_for_attachment", "{a} = 'open_attachment' AND NOT has_attachments AND has_links", "visit_link"), ("no_attachment", "{a} = 'open_attachment' AND NOT has_attachments", "informational"), ("no_link", "{a} = 'visit_link' AND NOT has_links AND NOT qr_requested", "informational"),
     ("ungrounded", "{a} NOT IN ('none', 'informational') AND evidence IS NULL AND NOT payment AND NOT credentials AND NOT visit_link AND NOT open_attachment AND NOT qr_requested AND NOT copy_deception AND NOT implicit_bank_instruction AND NOT reward", "informational"),
 ]
 

@@ -219,3 +219,16 @@ def test_control_of_domains(spark):
     said = rel.where("record_id = '1'").select(F.lower("domain").alias("domain"), registry.challenge(F.col("domain"), F.col("record_id"), "s").alias("value"))
     assert {r.record_id: r.verified for r in registry.control_verified(rel, said, "s").collect()} == {"1": True, "2": False}
     assert not any(r.verified for r in registry.control_verified(rel, said, "other").collect())
+
+
+def test_providers_of_domains(spark):
+    rows = [("a.example", 10, "mx1.mail.Google.com."), ("a.example", 20, "mx.a.example"), ("b.example", 5, "mx.b.example"), ("c.example", 1, "x.else.test"), ("d.example", 1, None)]
+    got = {r.domain: (r.provider, r.provider_class) for r in identity.provider_class(spark.createDataFrame(rows, "domain string, preference int, exchanger string")).collect()}
+    assert got == {"a.example": ("Google", "hosted"), "b.example": (None, "own"), "c.example": (None, "other"), "d.example": (None, "none")}
+
+
+def test_channels_that_are_not_there(spark):
+    rows = [("visit_link", "link", True, False, True), ("open_attachment", "attachment", True, True, False), ("provide_credentials", "form", True, False, False)]
+    m = spark.createDataFrame(rows, "requested_action string, action_channel string, supplied_channel boolean, has_attachments boolean, has_links boolean").withColumns({"evidence": F.lit("q"), "credentials": F.lit(True)})
+    got = [(r.requested_action, r.action_channel, r.supplied_channel) for r in actions.correlated(m).collect()]
+    assert got[0][1:] == ("link", True) and got[1][1:] == ("attachment", True) and got[2] == ("provide_credentials", "none", False)
