@@ -91,13 +91,19 @@ def padding_runs(text: Column) -> Column:
     return F.regexp_count(F.translate(text, CONTROLS.replace("\u200c", "").replace("\u200d", ""), ""), F.lit(JOINER_PADDING))
 
 
+# Elements whose opening tag shows that a text is a page.
+PAGE_ELEMENTS = ["!doctype html", "html", "body", "table", "div", "span", "p", "br", "a", "img", "style", "head"]
+PAGE_MARK = r"(?i)<\s*(" + "|".join(e.replace(" ", r"\s+") for e in PAGE_ELEMENTS) + r")\b"
+
+
 def looks_like_html(text: Column) -> Column:
-    """An opening tag of the usual elements of a page."""
-    return F.coalesce(text.rlike(r"(?i)<\s*(!doctype\s+html|html|head|body|style|table|div|span|p|br|a|img)\b"), F.lit(False))
+    return F.coalesce(text.rlike(PAGE_MARK), F.lit(False))
 
 
-#: Own words: to scan, and what is scanned, in one stretch of text.
-QR_REQUEST = r"(?is)\b(scan\w*|scannen|inquadra\w*|escane\w*|flash\w*)\b.{0,120}?\b(qr|code|codice|c[oó]digo)\b"
+#: Own words for taking a code with a camera, and for the code.
+TO_SCAN = ["scan", "scanning", "scannen", "scannez", "flashez", "inquadra", "inquadrate", "scansiona", "escanea", "escanee", "photograph", "point your camera"]
+CODES = ["qr", "qr-code", "code", "barcode", "codice", "codigo", "square"]
+QR_REQUEST = rf"(?i)\b({'|'.join(TO_SCAN)})\b[^\n]{{0,90}}?\b({'|'.join(CODES)})\b"
 #: Own words for money matters, and for a document that comes along.
 MONEY = r"(?i)\b(invoices?|bill|payments?|remittance|transfer|fattur[ae]|pagament[oi]|bonifico|factures?|faktur[ay]?|rechnung(en)?|przelew|facturas?)\b"
 ENCLOSED = r"(?i)\b(attached|attachment|enclosed|in allegato|allegat[oaie]|ci-joint|im anhang|adjunt[oa]|w za[lł][aą]czeniu|za[lł][aą]cznik\w*)\b"
@@ -141,8 +147,8 @@ def is_sender_notice_url(url: Column) -> Column:
 def without_sender_notice(text: Column) -> Column:
     """Without the clients' notice, where its words and its address stand together."""
     for first, last in NOTICE_TEXTS:
-        quoted = [r"\Q" + x + r"\E" for x in (first, last, NOTICE_URL)]
-        text = F.regexp_replace(text, rf"(?i){quoted[0]}[^\n<>]{{1,200}}?\.\s*{quoted[1]}\s*<?{quoted[2]}>?(?![\w/?#])", " ")
+        one, two, url = (r"\Q" + x + r"\E" for x in (first, last, NOTICE_URL))
+        text = F.regexp_replace(text, rf"(?i){one}[^<\n]{{0,220}}?{two}[\s<(]*{url}[>)]?(?=[\s.,;]|$)", " ")
     return text
 
 

@@ -10,6 +10,11 @@ from mailquarry.functions.text import exact_span
 
 #: Own words that may follow an organisation's name in a display name.
 ROLES = ["support", "security", "billing", "payments", "team", "service", "customer service", "account", "help desk", "assistenza", "sicurezza"]
+# What a sentence says that tells a model what to put out.
+ORDERS = ["claimed_brand", "claimed_role", "ignore previous instructions", "ignore all previous instructions"]
+#: Own words that close a letter, and that speak to its reader.
+CLOSINGS = ["regards", "thanks", "thank you", "cheers", "sincerely", "yours", "grazie", "saluti", "grüße", "saludos", "cordialement"]
+ADDRESSED = ["your account", "your profile", "your order", "dear customer", "we noticed", "we detected", "we have received", "il tuo account", "gentile cliente", "dein konto", "votre compte", "su cuenta"]
 #: Where a name can stand, the strongest place first.
 PLACES = ["sender", "subject", "body", "attachment"]
 # Seconds that an observation of a name server or a registry holds, found or not found.
@@ -31,9 +36,12 @@ def brand_in_display(display: Column, brand: Column) -> Column:
 
 def identity_text(text: Column) -> Column:
     """A text without addresses, links and host names, and without sentences that tell a model what to put out."""
-    t, orders = F.coalesce(text, F.lit("")), r"\b(claimed_brand|claimed_role|ignore (all )?previous instructions)\b"
-    t = F.when(t.rlike(f"(?i){orders}"), F.regexp_replace(t, rf"(?i)[^.!?\n]*{orders}[^.!?\n]*", " ")).otherwise(t)
-    return F.regexp_replace(t, r"(?i)https?://\S+|www\.\S+|[^\s@]+@[^\s@]+|\b([a-z0-9-]+\.){1,20}[a-z]{2,}\b", " ")
+    t = F.coalesce(text, F.lit(""))
+    said = lambda s: F.regexp_replace(F.lower(s), r"\s+", " ")
+    orders = lambda s: F.exists(F.array(*map(F.lit, ORDERS)), lambda o: F.contains(said(s), o))
+    t = F.when(orders(t), F.array_join(F.filter(F.split(t, r"(?<=[.!?\n])"), lambda s: ~orders(s)), "")).otherwise(t)
+    t = F.regexp_replace(t, r"\S*(://|@)\S*", " ")
+    return F.regexp_replace(t, r"(?i)\b[a-z0-9-]+(\.[a-z0-9-]+){0,10}\.[a-z]{2,24}\b", " ")
 
 
 def brand_occurrences(texts: DataFrame, brands: DataFrame) -> DataFrame:
@@ -68,8 +76,8 @@ def visible_identity(messages: DataFrame, names: DataFrame) -> DataFrame:
     q = quoted(F.col("name"))
     like = lambda text, *parts: F.regexp_like(text, F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)))
     sender = brand_in_display(F.col("shown"), F.col("name"))
-    signed = like(F.col("said"), r"(?i)\b(thanks|thank you|regards|grazie|saluti)[,.!\s]+", q, r"\s*([.!]|$)")
-    heads = like(F.col("said"), "(?i)^", q, r"\s+(" + "|".join(ROLES) + r")\b") & F.left("said", F.lit(700)).rlike(r"(?i)\b(your account|we (detected|noticed|received)|il tuo account|abbiamo (rilevato|ricevuto))\b")
+    signed = like(F.col("said"), "(?i)(" + "|".join(CLOSINGS) + r")\W{1,5}", q, r"\W*$")
+    heads = like(F.col("said"), "(?i)^", q, r"\s+(" + "|".join(ROLES) + r")\b") & F.exists(F.array(*map(F.lit, ADDRESSED)), lambda a: F.contains(F.lower(F.left("said", F.lit(700))), a))
     owns = like(F.col("said"), r"(?i)\byour\s+", q, r"\s+account\b") & like(F.col("shown"), "(?i)^", q, r"\b")
     claims = pairs.where(sender | signed | heads | owns).groupBy("msg_id").agg(F.count_distinct("record_id").alias("n"), F.max(F.struct(F.length("name"), "name")).alias("best"))
     return claims.where("n = 1").select("msg_id", F.col("best.name").alias("brand"))

@@ -52,7 +52,7 @@ def merged_counts(static: DataFrame, structural: DataFrame) -> DataFrame:
 def nested_urls(url: Column) -> Column:
     """Destinations within an address: its redirect parameters' values, then any address inside another value; at most ten."""
     pairs = F.transform(F.split(ur.query(url), "&"), lambda p: ur.decoded_repeatedly(F.regexp_extract(p, r"^[^=]*=(.*)$", 1)))
-    inside = F.flatten(F.transform(pairs, lambda v: F.regexp_extract_all(v, F.lit(r"(https?://[^\s<>{}\"']+)"), 1)))
+    inside = F.flatten(F.transform(pairs, lambda v: F.regexp_extract_all(v, F.lit(r"(https?://[^\s\"'<>]+)"), 1)))
     return F.slice(F.array_distinct(F.concat(ur.redirect_targets(url), inside)), 1, 10)
 
 

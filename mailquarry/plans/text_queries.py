@@ -29,7 +29,7 @@ def qr_requests(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", tx.qr_request(t).alias("request"))
 
 
-@query(r"""SELECT page_id AS id, regexp_matches(html, '(?i)<\s*(!doctype\s+html|html|head|body|style|table|div|span|p|br|a|img)\b') AS is_html FROM pages UNION ALL SELECT -doc_id - 1, regexp_matches(text, '(?i)<\s*(!doctype\s+html|html|head|body|style|table|div|span|p|br|a|img)\b') FROM documents""")
+@query(r"""SELECT page_id AS id, regexp_matches(html, '(?i)<\s*(!doctype\s+html|html|body|table|div|span|p|br|a|img|style|head)\b') AS is_html FROM pages UNION ALL SELECT -doc_id - 1, regexp_matches(text, '(?i)<\s*(!doctype\s+html|html|body|table|div|span|p|br|a|img|style|head)\b') FROM documents""")
 def html_detected(spark, sf_dir):
     p = read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), tx.looks_like_html(F.col("html")).alias("is_html"))
     return p.unionByName(read(spark, sf_dir, "documents").select((-F.col("doc_id") - 1).alias("id"), tx.looks_like_html(F.col("text")).alias("is_html")))
@@ -168,7 +168,7 @@ _BRANDS = ["the", "der", "que", "and the", "les"]
 
 
 @query(
-    rf"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)[^.!?\n]*\b(claimed_brand|claimed_role|ignore (all )?previous instructions)\b[^.!?\n]*', ' ', 'g'), '(?i)https?://\S+|www\.\S+|[^\s@]+@[^\s@]+|\b([a-z0-9-]+\.){{1,20}}[a-z]{{2,}}\b', ' ', 'g') AS t FROM documents),
+    rf"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(text, '\S*(://|@)\S*', ' ', 'g'), '(?i)\b[a-z0-9-]+(\.[a-z0-9-]+){{0,10}}\.[a-z]{{2,24}}\b', ' ', 'g') AS t FROM documents),
 b AS (SELECT unnest({_BRANDS}) AS brand) SELECT doc_id AS msg_id, brand, 'body' AS place, lower(brand) AS evidence FROM t, b WHERE regexp_matches(' ' || t || ' ', '(?i)[^\p{{L}}\p{{N}}_]' || replace(brand, ' ', '[\s-]+') || '[^\p{{L}}\p{{N}}_]')"""
 )
 def brand_mentions(spark, sf_dir):
