@@ -23,7 +23,7 @@ MODEL_BYTES = 200 << 20
 #: Bytes of the longest context.
 ORDER = 3
 #: Code lengths that are held at once.
-CELLS = 4 << 20
+CELLS = 1 << 20
 UNDETERMINED = "und"
 
 
@@ -228,7 +228,7 @@ def identify(docs: DataFrame, model: PpmModel | None) -> DataFrame:
             if m is not None and n:
                 ok = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), bool)
                 data, offs = text_buffer(batch.column(2))
-                for i, j in pieces(offs):
+                for i, j in pieces(offs, 1 << 18):
                     own = offs[i : j + 1] - offs[i]
                     bits = code_lengths(m, data[offs[i] : offs[j]], own)
                     best = bits.argmin(1)

@@ -18,7 +18,7 @@ from mailquarry.llm.bytetext import mix, pieces, powers, same_runs
 #: Segments remembered by a worker; the memory is emptied when it is full.
 REMEMBERED = 600_000
 #: Bytes that are cut and looked up at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 class SegmentCache:
