@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,9 +28,9 @@ PATTERNS = {
 RISK_LINE = "|".join(p.replace("(?i)", "") for p in PATTERNS.values())
 
 
-def evidence_flags(text: Column) -> dict[str, Column]:
-    """Whether each kind of request or pressure is in a text."""
-    return {k: F.coalesce(text.rlike(p), F.lit(False)) for k, p in PATTERNS.items()}
+def evidence_flags(text: Column, taken: Callable[[str], str] = str) -> dict[str, Column]:
+    """Whether each kind of request or pressure is in a text; ``taken`` is how a pattern is read."""
+    return {k: F.coalesce(text.rlike(taken(p)), F.lit(False)) for k, p in PATTERNS.items()}
 
 
 def risk_bearing(line: Column) -> Column:

@@ -58,3 +58,7 @@ def odd_words(spark, folder):
 
 def test_action_scores_of_odd_words(spark, tmp_path):
     assert same(table_queries.QUERIES["action_scores"](spark, odd_words(spark, tmp_path)), table_queries.SQL["action_scores"], str(tmp_path)) == len(ODD_WORDS)
+
+
+def test_section_risks_of_odd_words(spark, tmp_path):
+    assert same(table_queries.QUERIES["section_risks"](spark, odd_words(spark, tmp_path)), table_queries.SQL["section_risks"], str(tmp_path)) == len(ODD_WORDS)
