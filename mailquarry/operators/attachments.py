@@ -39,13 +39,14 @@ def magic_format(payload: Column) -> Column:
     return out
 
 
-def attachments(messages: DataFrame) -> DataFrame:
+def attachments(messages: DataFrame, kept: tuple[str, ...] = ()) -> DataFrame:
     """One row for each attachment or inline resource of parsed messages, with hashes, formats, role and file-type findings.
 
     ``extension_match`` is null where nothing is known about one of the sides.
+    The columns ``kept`` of a message stand in each of its rows.
     """
-    parts = messages.select("msg_id", F.posexplode(F.filter("parts", lambda p: (p["disposition"] == "attachment") | p["filename"].isNotNull() | ~p["content_type"].isin("text/plain", "text/html"))).alias("att_index", "p"))
-    a = parts.select("msg_id", "att_index", "p.filename", "p.content_type", "p.disposition", "p.content_id", "p.payload")
+    parts = messages.select("msg_id", *kept, F.posexplode(F.filter("parts", lambda p: (p["disposition"] == "attachment") | p["filename"].isNotNull() | ~p["content_type"].isin("text/plain", "text/html"))).alias("att_index", "p"))
+    a = parts.select("msg_id", *kept, "att_index", "p.filename", "p.content_type", "p.disposition", "p.content_id", "p.payload")
     pl = F.col("payload")
     a = a.withColumns({"ext": extension(F.col("filename")), "magic_format": magic_format(pl), "size_bytes": F.octet_length(pl), "md5": F.md5(pl), "sha1": F.sha1(pl), "sha256": F.sha2(pl, 256)})
     a = a.withColumn("mime_role", F.when(F.col("content_id").isNotNull() & F.col("content_type").startswith("image/") & ~F.coalesce(F.col("disposition") == "attachment", F.lit(False)), "inline_resource").otherwise("attachment"))

@@ -169,3 +169,17 @@ def test_reply_rules(spark):
     assert [r.threading_level for r in envelope.reply_threading(t).collect()] == ["MEDIUM", "NONE", "NONE", "MEDIUM"]
     assert [r.threading_level for r in envelope.reply_threading(t.withColumns({"quoted_recipient": F.lit(1)})).collect()] == ["HIGH", "NONE", "NONE", "HIGH"]
     assert [r.threading_level for r in envelope.reply_threading(t.withColumns({"is_bulk_sender": F.lit(True)})).collect()] == ["LOW", "NONE", "NONE", "MEDIUM"]
+
+
+def test_messages_are_parsed_once_and_go_on_together(spark, tiny):
+    import pyarrow as pa
+
+    from mailquarry.plans import mail_queries
+
+    raw = [b"From: a@b.test\r\n\r\nx", b"", None, b"From: c@d.test\r\n\r\ny"]
+    batch = pa.RecordBatch.from_pydict({"path": list("abcd"), "content": pa.array(raw, pa.binary())})
+    out = list(eml._rows([batch, batch]))
+    assert len(out) == 1 and out[0].column(0).to_pylist() == list("abcdabcd")
+    files = mail_queries.mail_attachments(spark, tiny)
+    assert files._jdf.queryExecution().analyzed().toString().count("MapInArrow") == 1
+    assert mail_queries._files(spark, tiny).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
