@@ -15,10 +15,11 @@ _LATIN_MARK = re.compile("(?<=[A-Za-z])[̀-ͯ҃-҉᪰-᫿⃐-⃿]+(?=[A-Za-z])")
 
 def plain_form(text: str | None) -> str | None:
     """NFKC without format characters, variation selectors and marks that stand between Latin letters without joining them."""
-    if text is None:
-        return None
+    if text is None or text.isascii():
+        return text
     out = _LATIN_MARK.sub("", unicodedata.normalize("NFKC", text))
-    return "".join(c for c in out if unicodedata.category(c) != "Cf" and not "︀" <= c <= "️")
+    hidden = {c for c in set(out) if unicodedata.category(c) == "Cf" or "︀" <= c <= "️"}
+    return "".join(c for c in out if c not in hidden) if hidden else out
 
 
 def ascii_host(host: str | None) -> str | None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,6 +69,25 @@ def _segments(text: pd.Series) -> pd.Series:
     return text.map(segments_of)
 
 
+_OWN = T.StructType([T.StructField("own", T.StringType()), T.StructField("ibans", T.ArrayType(T.StringType())), T.StructField("quoted_ibans", T.ArrayType(T.StringType())), T.StructField("others", _SEGMENT)])
+
+
+def own_and_others(text: str | None) -> dict:
+    """The delivered turn, the accounts it and the quoted turns name, and the other turns without their texts."""
+    from mailquarry.operators.payments import ibans_of
+
+    segs = segments_of(text)
+    quoted = "\n".join(s["text"] for s in segs if s["kind"] == "quoted")
+    return {"own": segs[0]["text"], "ibans": ibans_of(segs[0]["text"]), "quoted_ibans": ibans_of(quoted), "others": [s | {"text": None} for s in segs[1:]]}
+
+
+@F.arrow_udf(_OWN)
+def own_turn(text: pa.Array) -> pa.Array:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return pa.array([own_and_others(t) for t in text.to_pylist()], to_arrow_type(_OWN))
+
+
 def segments(bodies: DataFrame) -> DataFrame:
     """(msg_id, position, kind, from_raw, address, domain, date_raw, subject, text, preview, action_score, recommended_role) of (msg_id, body)."""
     from mailquarry.operators.envelope import address, domain

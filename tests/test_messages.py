@@ -183,3 +183,41 @@ def test_messages_are_parsed_once_and_go_on_together(spark, tiny):
     files = mail_queries.mail_attachments(spark, tiny)
     assert files._jdf.queryExecution().analyzed().toString().count("MapInArrow") == 1
     assert mail_queries._files(spark, tiny).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_results_of_a_row_are_those_of_the_tables(spark):
+    own = "Authentication-Results: mx.test; spf=pass smtp.mailfrom=a.test; dkim=fail header.d=a.test; dkim=none; dmarc=pass header.from=a.test"
+    arc = "ARC-Authentication-Results: i={}; mx.test; spf={} smtp.mailfrom=x@b.test client-ip={}; arc={}"
+    spf = "Received-SPF: {} client-ip={}; envelope-from=x@c.test"
+    hop = "Received: from h{} ([{}]) by mx.test; {}"
+    day, none = "Mon, 01 Jan 2024 1{}:00:00 +0100", "some day"
+    heads = [
+        [own, hop.format(1, "203.0.113.9", day.format(2)), hop.format(2, "8.8.8.8", day.format(1))],
+        [own, hop.format(1, "203.0.113.9", day.format(1)), hop.format(2, "8.8.8.8", day.format(2)), hop.format(3, "x", none)],
+        [own, own.replace("pass", "fail"), arc.format(2, "neutral", "9.9.9.9", "pass"), arc.format(1, "fail", "8.8.4.4", "none")],
+        [arc.format(2, "neutral", "9.9.9.9", "fail"), arc.format(1, "pass", "9.9.9.9", "pass"), hop.format(1, "10.0.0.1", none)],
+        [own, spf.format("Fail", "8.8.8.8"), spf.format("Pass", "8.8.8.8"), spf.format("Pass", "9.9.9.9")],
+        [spf.format("Pass", "9.9.9.9"), arc.format(1, "pass", "9.9.9.9", "pass")],
+        [hop.format(1, "203.0.113.9", day.format(1)), hop.format(2, "8.8.8.8", day.format(1))],
+        ["Subject: nothing"],
+    ]
+    rows = [(str(k), "\r\n".join(["From: a@a.test", *h, "", "x"]).encode()) for k, h in enumerate(heads)]
+    m = eml.parse(spark.createDataFrame(rows, "path string, content binary")).localCheckpoint()
+    items, route = auth.items(m), auth.hops(m)
+    eff, ip = auth.effective_results(items, auth.arc_passed(m)).localCheckpoint(), auth.injection_ip(items, route)
+    status = eff.groupBy("msg_id").agg(*(F.max(F.when(F.col("protocol") == p, F.col("status"))).alias(p.lower()) for p in ("SPF", "DKIM", "DMARC")), F.bool_or((F.col("protocol") == "SPF") & F.col("path_conflict")).alias("spf_conflict"), F.bool_or((F.col("protocol") == "DMARC") & (F.col("source") == "direct")).alias("dmarc_direct"))
+    passed = eff.where("protocol = 'SPF' and status = 'pass'").select("msg_id", F.lower(F.regexp_extract("identity", r"([^@]*)$", 1)).alias("spf_domain"))
+    want = m.select("msg_id", "path").join(status, "msg_id", "left").join(passed, "msg_id", "left").join(ip, "msg_id", "left").join(auth.injection_authorised(auth.checkpoints(items, route), ip), "msg_id", "left")
+    names = ["path", "spf", "dkim", "dmarc", "spf_conflict", "dmarc_direct", "spf_domain", "injection_ip", "spf_authorised"]
+    got = {r.path: tuple(r) for r in auth.message_results(m).select(*names).collect()}
+    assert got == {r.path: tuple(r) for r in want.select(*names).collect()} and len(got) == len(heads)
+    assert [got[k][1] for k in ("0", "2", "3", "7")] == ["pass", "fail", "neutral", None] and got["4"][-1] is True and got["1"][-2] == "8.8.8.8"
+    assert auth.clauses("from a (x (from y) z) by b) with c (open by d") == {"from": "a", "by": "b", "with": "c"}
+
+
+def test_verdicts_parse_messages_once(spark, tiny):
+    from mailquarry.plans import mail_queries
+
+    out = mail_queries.mail_verdicts(spark, tiny)
+    assert "MapInArrow" not in out._jdf.queryExecution().analyzed().toString()  # no message is parsed again for its id
+    assert out.count() == spark.read.parquet(f"{tiny}/customer.parquet").count()
